@@ -109,6 +109,7 @@ def whole_copies(size: np.ndarray, n: np.ndarray, rate: np.ndarray) -> np.ndarra
 
 
 def _solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("size", ignore_index=True)  # sums in one order, so that reruns agree
     size, n = rows["size"].to_numpy(np.float64), rows["n"].to_numpy(np.float64)
     rate, copies = np.ones(len(rows)), n.astype(np.int64)
     some = size > 0
@@ -169,6 +170,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it has copies."""
     sizes = shared.staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     # Names that cannot clash with columns of docs.
-    named = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    inner = {c: f"_doc{k}" for k, c in enumerate(docs.columns)}
+    named = docs.select(*(F.col(c).alias(n) for c, n in inner.items()), "doc_id", "source", n_words(F.col("text")).alias("size"))
     rows = mixed(named, decisions(sizes)).where("copies > 0")
-    return rows.select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("_doc.*")
+    times = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_time")
+    return rows.select(*inner.values(), times).select(*(F.col(n).alias(c) for c, n in inner.items()))
