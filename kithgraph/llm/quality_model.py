@@ -1,9 +1,10 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained with
 follow-the-regularised-leader updates, scored as sparse dot products.
 
-Features are the word uni- and bigrams and the uni- and bigrams of word shapes
-(letters by case, digits, other bytes, runs collapsed), all hashed into one table of
-weights. Executors turn labelled texts into sparse vectors; the driver gets at most
+Features are the word uni- and bigrams, the uni- and bigrams of word shapes (letters by
+case, digits, other bytes, runs collapsed), and what n-grams are like among themselves
+(a bigram of one word twice, a trigram that the text had before), all hashed into one
+table of weights. Executors turn labelled texts into sparse vectors; the driver gets at most
 SAMPLE of them, chosen by a hash of their ids, and learns. Scoring hashes whole pieces
 of text at once and adds up weights; it needs no shuffle.
 
@@ -23,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.llm import shared
-from kithgraph.llm.textbytes import SPACES, SpanHash, mixed, rows_of, runs, windows
+from kithgraph.llm.textbytes import SPACES, SpanHash, again, mixed, rows_of, runs, windows
 
 #: Bits of a feature's number.
 BITS = 18
 #: Most labelled documents that the classifier is fitted on.
 SAMPLE = 6000
-_SEEDS = [np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF) for k in range(1, 5)]
+_SEEDS = [np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF) for k in range(1, 7)]
 
 
 def _shapes() -> np.ndarray:
@@ -55,9 +56,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     place = np.concatenate([[0], np.cumsum(keep)])
     shapes = SpanHash(shape[keep]).of(place[starts], place[ends])
     numbers, rows = [], []
-    for seed, (h, r) in zip(_SEEDS, ((words, row), (shapes, row), *((g, row[at]) for g, at in (windows(words, row, 2), windows(shapes, row, 2)))), strict=True):
+    for seed, (h, r) in zip(_SEEDS[:4], ((words, row), (shapes, row), *((g, row[at]) for g, at in (windows(words, row, 2), windows(shapes, row, 2)))), strict=True):
         numbers.append((mixed(h ^ seed) >> np.uint64(64 - BITS)).astype(np.int64))
         rows.append(r)
+    # N-grams like others, whatever their words: one feature number for each kind.
+    twice = row[1:][(words[1:] == words[:-1]) & (row[1:] == row[:-1])]
+    h, at = windows(words, row, 3)
+    before = row[at][again(h, row[at])]
+    for seed, r in zip(_SEEDS[4:], (twice, before), strict=True):
+        numbers.append(np.full(len(r), int(seed) >> (64 - BITS)))
+        rows.append(r)
     return np.concatenate(numbers), np.concatenate(rows)
 
 
