@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithgraph.operators.layout import fnv1a
+
 #: Links of a capped graph; more belong to label propagation.
 KERNEL_LINKS = 2_000_000
 
@@ -134,3 +136,38 @@ def partition_gate(found: DataFrame, members: int, least_held: float = 0.95, mos
     by = size.groupBy("resolution").agg(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("held"), F.avg((F.col("n") == 1).cast("double")).alias("single"), F.expr("percentile(n, 0.5)").alias("median"), F.count("*").alias("communities"))
     ok = (F.col("held") / members >= least_held) & (F.col("single") < most_single) & F.col("median").between(*sizes)
     return by.select("resolution", "communities", (F.col("held") / members).alias("held"), "single", "median", ok.alias("accepted"))
+
+
+def multiplex(layers: DataFrame) -> DataFrame:
+    """One weighted graph (u, v, weight) of layers (layer, u, v, raw, weight): weights times strengths, summed over layers."""
+    return layers.groupBy("u", "v").agg(F.sum(F.col("raw") * F.col("weight")).alias("weight"))
+
+
+def macro_selection(found: DataFrame, links: DataFrame, groups: tuple[int, int] = (8, 12)) -> DataFrame:
+    """resolution, communities and modularity of level-1 partitions, best first, those with the wanted number of groups ahead."""
+    level = found.where("level = 1").select("resolution", "id", "community_id")
+    both = links.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b"), "weight"), F.struct(F.col("v").alias("a"), F.col("u").alias("b"), "weight"))).alias("e")).select("e.*")
+    m2 = both.agg(F.sum("weight").cast("double").alias("m2"))
+    degree = both.groupBy(F.col("a").alias("id")).agg(F.sum("weight").cast("double").alias("d")).join(level, "id")
+    kk = degree.groupBy("resolution", "community_id").agg(F.sum("d").alias("k")).groupBy("resolution").agg(F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("communities"))
+    a = level.select("resolution", F.col("id").alias("a"), F.col("community_id").alias("ca"))
+    b = level.select("resolution", F.col("id").alias("b"), F.col("community_id").alias("cb"))
+    w = both.join(a, "a").join(b, ["resolution", "b"]).where("ca = cb").groupBy("resolution").agg(F.sum("weight").cast("double").alias("w"))
+    q = F.coalesce("w", F.lit(0.0)) / F.col("m2") - F.col("kk") / (F.col("m2") * F.col("m2"))
+    out = kk.join(w, "resolution", "left").crossJoin(F.broadcast(m2)).select("resolution", "communities", q.alias("modularity"))  # m2: one row
+    fits = F.col("communities").between(*groups)
+    return out.withColumn("accepted", fits).orderBy(F.desc("accepted"), F.desc("modularity"), "resolution")
+
+
+#: Roles of the palette in the order in which new groups take them. Fixed values.
+PALETTE = ("amber", "azure", "coral", "cyan", "emerald", "indigo", "lime", "magenta", "orange", "rose", "teal", "violet")
+
+
+def palette_roles(groups: list[str], kept: dict[str, str]) -> dict[str, str]:
+    """A role for each of at most twelve macro groups: the one it had, else the first that is free."""
+    out = {g: kept[g] for g in groups if g in kept}
+    free = [r for r in PALETTE if r not in out.values()]
+    for g in sorted(set(groups) - set(out)):
+        out[g] = free.pop(0) if free else PALETTE[fnv1a(g) % len(PALETTE)]
+    return out
+

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithgraph.functions import columns as C
-from kithgraph.operators import affinity, client, communities, integrity, layout, ranking, relational, search, spatial
+from kithgraph.operators import affinity, client, communities, integrity, layout, ranking, relational, scopes, search, spatial
 from kithgraph.plans import catalog, publish
 from kithgraph.plans.oracle import with_tables
 from kithgraph.sources import exports
@@ -318,3 +318,66 @@ add("backlog_limit", lambda c: incremental.started_within(c.events, "2024-01-15
 add("crawl_request_upsert", lambda c: incremental.merged_requests(c.events.select(F.col("user_id").alias("target"), F.col("value").alias("priority"), F.col("ts").alias("due_at"))), "SELECT user_id AS target, max(value) AS priority, min(ts) AS due_at FROM events GROUP BY 1")
 add("discovery_scoring", lambda c: incremental.discoveries(c.events.select(F.col("user_id").alias("target"), F.col("event_id").alias("score"), (F.col("event_id") % 97 == 0).alias("mention")), 40), "SELECT user_id AS target, CAST(sum(event_id) AS BIGINT) AS score, max(CAST(event_id % 97 = 0 AS INTEGER)) AS mention FROM events GROUP BY 1 ORDER BY mention DESC, score DESC, target LIMIT 40")
 add("priority_aging", lambda c: incremental.aged(c.events.select("event_id", (F.col("event_id") % 90).alias("priority"), F.col("ts").alias("created_at")), "2024-02-01").select("event_id", "priority"), "SELECT event_id, least(event_id % 90 + CAST(floor((epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) / 86400) AS BIGINT), 100) AS priority FROM events")
+
+# --- bounded reads
+
+
+def _hidden(c: Corpus) -> DataFrame:
+    """Suppressions of typed ids: every seventh post, some of them restored."""
+    return c.posts.where("id % 7 = 0").select(C.typed_id("post", "id").alias("entity_id"), F.when(F.col("id") % 2 == 0, F.lit("2024-01-01").cast("timestamp")).alias("restored_at"))
+
+
+_HIDDEN = "(SELECT 'post_' || id FROM posts WHERE id % 7 = 0 AND id % 2 <> 0)"
+add("community_subgraph", lambda c: scopes.community_subgraph(c.points.select("id", "name", "val", "type"), _chain(c), c.points.where("community_id = 2"), 30), f"SELECT * FROM (WITH m AS (SELECT * FROM points WHERE community_id = 2) SELECT data_type, id, name, val, type, source, target FROM (SELECT 'node' AS data_type, id, name, val, type, NULL AS source, NULL AS target FROM m UNION ALL SELECT 'link', source || '->' || target, NULL, NULL, NULL, source, target FROM {_CHAIN} WHERE source IN (SELECT id FROM m) AND target IN (SELECT id FROM m)) ORDER BY data_type, id LIMIT 30)")
+add("communities_page", lambda c: scopes.communities_page(_landmarks(c).select("id", "size"), 5, 2), "SELECT id, size, (SELECT count(*) FROM landmarks) AS total FROM landmarks ORDER BY size DESC, id LIMIT 5 OFFSET 2")
+add("overview", lambda c: scopes.overview(_landmarks(c).select("id", F.col("id").alias("overview_rank")), spatial.bundle_weights(_chain(c), c.points).withColumn("affinity", F.col("weight") / 10.0), 6, 8), f"SELECT 'node' AS data_type, CAST(id AS VARCHAR) AS id FROM (SELECT id FROM landmarks ORDER BY id LIMIT 6) UNION ALL SELECT * FROM (SELECT 'link', source || '->' || target FROM ({_BW}) WHERE source IN (SELECT id FROM landmarks ORDER BY id LIMIT 6) AND target IN (SELECT id FROM landmarks ORDER BY id LIMIT 6) ORDER BY weight DESC, source, target LIMIT 8)")
+add("community_scene", lambda c: scopes.community_scene(_entities(c), _hidden(c), "community_3", ["user", "post"], 100), f"SELECT id, label, type, value FROM ents WHERE community_id = 'community_3' AND type IN ('user', 'post') AND id NOT IN {_HIDDEN} ORDER BY value DESC, id LIMIT 100")
+add("entity_system", lambda c: scopes.entity_system(_entities(c), "community_3", 20), "SELECT * FROM (WITH p AS (SELECT id, author_id FROM ents WHERE community_id = 'community_3' AND type = 'post' ORDER BY value DESC, id LIMIT 20) SELECT id, type, value FROM ents WHERE id IN (SELECT id FROM p) OR id IN (SELECT author_id FROM p))")
+add("lateral_unnest_refs", lambda c: scopes.references(_entities(c), "comment_5_2"), "SELECT id, type FROM ents WHERE id IN (SELECT unnest([parent_id, author_id, community_id]) FROM ents WHERE id = 'comment_5_2')")
+add("node_details", lambda c: scopes.node_details(c.nodes.select("id", F.col("name").alias("label")), c.links, "user_7", 10), "SELECT d.id, degree, name AS label, (SELECT degree FROM degree WHERE id = 'user_7') AS entity_degree FROM degree d JOIN nodes n ON d.id = n.id WHERE d.id IN (SELECT target FROM links WHERE source = 'user_7' UNION SELECT source FROM links WHERE target = 'user_7') ORDER BY degree DESC, d.id LIMIT 10")
+add("entity_page", lambda c: scopes.entity_pages(_docs(c)), "SELECT id, CASE WHEN NOT sensitive THEN title END AS heading, CASE WHEN NOT sensitive THEN left(regexp_replace(body, '\\s+', ' ', 'g'), 320) END AS summary FROM docs")
+add("sensitivity_flags", lambda c: scopes.sensitivity(_docs(c).select("id", F.col("sensitive").alias("source_sensitive"), (F.col("id") % 5 == 0).alias("administrative_sensitive"))), "SELECT id, sensitive OR id % 5 = 0 AS sensitive, concat_ws(',', CASE WHEN sensitive THEN 'source' END, CASE WHEN id % 5 = 0 THEN 'administrative' END) AS sources FROM docs")
+add("telemetry_totals", lambda c: scopes.telemetry(_entities(c), catalog.structural_links(_entities(c)), _hidden(c)), f"SELECT count(*) AS entities, count(*) FILTER (WHERE type = 'community') AS n_community, count(*) FILTER (WHERE type = 'user') AS n_user, count(*) FILTER (WHERE type = 'post') AS n_post, count(*) FILTER (WHERE type = 'comment') AS n_comment, (SELECT count(*) FROM structural WHERE source NOT IN {_HIDDEN} AND target NOT IN {_HIDDEN}) AS links FROM ents WHERE id NOT IN {_HIDDEN}")
+add("sitemap_tiers", lambda c: scopes.sitemap_tiers(_entities(c), _hidden(c), 500), f"SELECT e.id, CASE WHEN type = 'community' THEN 1 WHEN t.id IS NOT NULL THEN 2 ELSE 3 END AS tier FROM ents e LEFT JOIN (SELECT id FROM ents WHERE type IN ('user', 'post') AND id NOT IN {_HIDDEN} ORDER BY value DESC, id LIMIT 500) t ON e.id = t.id WHERE e.id NOT IN {_HIDDEN}")
+
+
+def _levels(c: Corpus) -> DataFrame:
+    """Two levels of communities over the points, in long format."""
+    level = F.explode(F.array(F.struct(F.lit(1).alias("level"), F.col("community_id").alias("community_id")), F.struct(F.lit(2).alias("level"), (F.col("community_id") % 3).alias("community_id"))))
+    return c.points.select("id", level.alias("l")).select("id", "l.*")
+
+
+_LEVELS = "(SELECT id, 1 AS level, community_id FROM points UNION ALL SELECT id, 2, community_id % 3 FROM points)"
+add("communities_at_level", lambda c: scopes.level_summary(_levels(c), c.points.select("id", *spatial.AXES), 2).select("community_id", "size", _r("pos_x"), _r("pos_y"), _r("pos_z")), "SELECT community_id % 3 AS community_id, count(*) AS size, round(avg(pos_x), 6) AS pos_x, round(avg(pos_y), 6) AS pos_y, round(avg(pos_z), 6) AS pos_z FROM points GROUP BY 1")
+add("distinct_levels", lambda c: _levels(c).select("level").distinct(), f"SELECT DISTINCT level FROM {_LEVELS}")
+add("nodes_at_level", lambda c: _levels(c).where("level = 1").select("id", "community_id"), f"SELECT id, community_id FROM {_LEVELS} WHERE level = 1")
+add("manifest", lambda c: scopes.manifest(c.posts.agg(F.max("id").alias("revision_id")), _levels(c), catalog.quantiles(_entities(c).where("type in ('user', 'post')"))), f"SELECT (SELECT max(id) FROM posts) AS revision_id, (SELECT string_agg(CAST(level AS VARCHAR), ',' ORDER BY level) FROM (SELECT DISTINCT level FROM {_LEVELS})) AS levels, '{{' || string_agg('\"' || type || '\":{{\"low\":' || lo || ',\"high\":' || hi || '}}', ',' ORDER BY type) || '}}' AS quantiles FROM (SELECT type, quantile_disc(value, 0.05) AS lo, quantile_disc(value, 0.95) AS hi FROM ents WHERE type IN ('user', 'post') GROUP BY 1)")
+add("bundles_min_weight", lambda c: spatial.bundle_weights(_chain(c), c.points).where("weight >= 5"), f"SELECT * FROM ({_BW}) WHERE weight >= 5")
+add("revision_bundles", lambda c: spatial.bundles(spatial.bundle_weights(_chain(c), c.points), spatial.centroids(c.points), 0.0).select("source", "target", _r("control_x", 5), _r("control_y", 5), _r("control_z", 5)), f"SELECT * FROM (WITH w AS ({_BW}), k AS (SELECT community_id, avg(pos_x) AS x, avg(pos_y) AS y, avg(pos_z) AS z FROM points GROUP BY 1) SELECT w.source, w.target, round((a.x + b.x) / 2, 5) AS control_x, round((a.y + b.y) / 2, 5) AS control_y, round((a.z + b.z) / 2, 5) AS control_z FROM w JOIN k a ON a.community_id = w.source JOIN k b ON b.community_id = w.target)")
+add("comments_by_post", lambda c: c.comments.where("post_id = 5").select("id", "depth", "created_at").orderBy("created_at", "id"), "SELECT id, depth, created_at FROM comments WHERE post_id = 5")
+add("community_members_page", lambda c: ranking.offset_page(c.activity.where("community_id = 3").select("user_id"), ["user_id"], 40, 10), "SELECT user_id FROM active WHERE community_id = 3 ORDER BY user_id LIMIT 40 OFFSET 10")
+add("current_version", lambda c: c.table("orders").where("o_orderstatus = 'F'").agg(F.max("o_orderkey").alias("id")), "SELECT max(o_orderkey) AS id FROM orders WHERE o_orderstatus = 'F'")
+
+
+def _versions(c: Corpus) -> DataFrame:
+    return c.table("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"))
+
+
+add("diffs_since", lambda c: scopes.diffs_since(c.lines.select(F.col("l_orderkey").alias("version_id"), F.col("l_returnflag").alias("action")), _versions(c), 100), "SELECT l_orderkey AS version_id, l_returnflag AS action, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND o_orderkey > 100 GROUP BY 1, 2")
+add("jobs_with_names", lambda c: c.events.select("event_id", (F.col("user_id") % 10 + 1).alias("id")).join(c.communities.select("id", "name"), "id").select("event_id", "name"), "SELECT event_id, name FROM events JOIN communities ON id = user_id % 10 + 1")
+add("resolve_reference_target", lambda c: c.posts.select(F.col("id").alias("post_id"), F.concat(F.lit("SUPPLIER#"), F.lpad((F.col("id") % 20).cast("string"), 9, "0")).alias("ref")).join(c.communities.select(F.col("id").alias("target_id"), F.lower("name").alias("_n")), F.lower("ref") == F.col("_n"), "left").select("post_id", "target_id"), "SELECT p.id AS post_id, c.id AS target_id FROM posts p LEFT JOIN communities c ON lower('SUPPLIER#' || lpad(CAST(p.id % 20 AS VARCHAR), 9, '0')) = lower(c.name)")
+add("enqueue_if_absent", lambda c: c.users.select("id").join(c.events.select(F.col("user_id").alias("id")), "id", "left_anti"), "SELECT id FROM users WHERE id NOT IN (SELECT user_id FROM events)")
+add("touch_community", lambda c: c.communities.select("id", F.when(F.col("name") == "Supplier#000000003", F.lit("2024-06-01").cast("timestamp")).alias("last_seen")), "SELECT id, CASE WHEN name = 'Supplier#000000003' THEN TIMESTAMP '2024-06-01' END AS last_seen FROM communities")
+add("representative_members", lambda c: scopes.representative_members(c.communities.select(F.col("nation").alias("group_id"), "id", "name", F.col("subscribers").cast("double").alias("strength")), c.communities.where("id % 4 = 0").select("name"), 3).select("group_id", "id", _r("score")), "SELECT group_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, id) AS k FROM (SELECT nation AS group_id, id, (0.4 * subscribers / greatest(max(subscribers) OVER (PARTITION BY nation), 1e-12) + 0.15 + 0.14 + 0.1 * CASE WHEN id % 4 = 0 THEN 0.0 ELSE 1.0 END) * CASE WHEN id % 4 = 0 THEN 0.5 ELSE 1.0 END AS score FROM communities)) WHERE k <= 3")
+
+
+def _topics(c: Corpus) -> DataFrame:
+    return search.topics(c.table("documents").select("source", "text"), "source", [], 5).select(F.col("source").alias("group_id"), "token", "rank")
+
+
+add("label_fallback", lambda c: scopes.labels(_topics(c).where("rank <= 2").withColumn("token", F.lower("token"))))
+add("label_cache", lambda c: scopes.cached_labels(c.communities.select(F.col("id").alias("group_id"), F.col("name").alias("label"), F.sha2("name", 256).alias("fingerprint")), c.communities.where("id % 3 = 0").select(F.sha2("name", 256).alias("fingerprint"), F.lit("cached").alias("label"))), "SELECT id AS group_id, CASE WHEN id % 3 = 0 THEN 'cached' ELSE name END AS label, id % 3 = 0 AS hit FROM communities")
+add("landmark_coverage", lambda c: _landmarks(c).groupBy("macro_id").agg(F.sum("size").alias("held")).agg(F.min("held").alias("least"), F.count("*").alias("n_groups")).select("least", "n_groups", (F.col("least") >= 5).alias("passed")), "SELECT CAST(min(held) AS BIGINT) AS least, count(*) AS n_groups, min(held) >= 5 AS passed FROM (SELECT macro_id, sum(size) AS held FROM landmarks GROUP BY 1)")
+add("multiplex_graph", lambda c: communities.multiplex(affinity.layers_of(_affinity(c))).select("u", "v", _r("weight", 5)))
+add("macro_partition_select", lambda c: communities.macro_selection(communities.hierarchy(_point_links(c), [0.05, 0.5, 1.0, 3.0]), _point_links(c)))
+add("shell_position", lambda c: layout.shell_positions(c.points, 100.0))
