@@ -4,8 +4,10 @@ inside hot groups, and Arrow batches cut into pieces of bounded size."""
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_OPEN = threading.local()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Delete on exit what this thread stages inside; results must be written by then."""
+    outer, _OPEN.paths = getattr(_OPEN, "paths", None), []
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in _OPEN.paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+        _OPEN.paths = outer
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
@@ -41,10 +60,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_OPEN, "paths", None) is not None:
+        _OPEN.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def thinned(df: DataFrame, key: str, want: int) -> DataFrame:
+    """About twice `want` rows of df, chosen by a hash of their key; all rows where there are no more.
+
+    What a bounded sample is taken from: a top-k of the whole table would send k rows of
+    every partition to the driver.
+    """
+    n = df.count()
+    if n <= 2 * want:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(2 * want / n * (1 << 30)) + 1)
+
+
 def salts(spark: SparkSession, most: int = 512) -> int:
     """Parts into which a hot group is dealt."""
     return max(1, min(most, int(spark.conf.get("spark.sql.shuffle.partitions"))))
