@@ -9,7 +9,7 @@ TABLES: dict[str, str] = {
     "communities": "SELECT s_suppkey AS id, s_name AS name, greatest(CAST(trunc(s_acctbal) AS INTEGER), 0) AS subscribers, s_nationkey AS nation FROM supplier",
     "users": "SELECT c_custkey AS id, c_name AS username FROM customer",
     "lines": "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS n FROM lineitem",
-    "all_posts": "SELECT o_orderkey AS id, o_custkey AS author_id, l_suppkey AS community_id, o_orderpriority || ' ' || o_orderstatus AS title, CAST(trunc(o_totalprice) AS INTEGER) AS score, o_orderdate AS created_at FROM orders LEFT JOIN (SELECT l_orderkey, l_suppkey FROM lines WHERE n = 1) ON o_orderkey = l_orderkey",
+    "all_posts": "SELECT o_orderkey AS id, o_custkey AS author_id, l_suppkey AS community_id, o_orderpriority || ' ' || o_orderstatus AS title, CAST(trunc(o_totalprice / 1000) AS INTEGER) AS score, o_orderdate AS created_at FROM orders LEFT JOIN (SELECT l_orderkey, l_suppkey FROM lines WHERE n = 1) ON o_orderkey = l_orderkey",
     "posts": "SELECT * FROM all_posts WHERE community_id IS NOT NULL",
     "comments": "SELECT l_orderkey || '_' || n AS id, l_orderkey AS post_id, o_custkey AS author_id, l_suppkey AS community_id, CASE WHEN n = 1 THEN 't3_' || l_orderkey ELSE 't1_' || l_orderkey || '_' || (n - 1) END AS parent_id, 'flag ' || l_returnflag || ' status ' || l_linestatus AS body, CAST(trunc(l_quantity) AS INTEGER) AS score, CAST(n - 1 AS INTEGER) AS depth, l_shipdate AS created_at FROM lines JOIN orders ON o_orderkey = l_orderkey",
     "cross_references": "SELECT * FROM (SELECT l_orderkey AS post_id, l_suppkey AS source, lead(l_suppkey) OVER w AS target, lead(l_shipdate) OVER w AS observed_at FROM lines WINDOW w AS (PARTITION BY l_orderkey ORDER BY n)) WHERE target IS NOT NULL AND source <> target",

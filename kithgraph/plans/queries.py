@@ -97,7 +97,7 @@ add("detailed_content_graph", lambda c: relational.detailed_content(c.posts, c.c
 
 # --- ranking, windows, pages
 add("top_nodes", lambda c: relational.top_nodes(c.nodes, 1000), f"SELECT id, name, val, type FROM weighted {_TOP} 1000")
-add("keyset_page", lambda c: ranking.keyset_page(c.nodes, 100, (300_000, "post_1")), f"SELECT id, name, val, type FROM weighted WHERE w < 300000 OR (w = 300000 AND id > 'post_1') {_TOP} 101")
+add("keyset_page", lambda c: ranking.keyset_page(c.nodes, 100, (300, "post_1")), f"SELECT id, name, val, type FROM weighted WHERE w < 300 OR (w = 300 AND id > 'post_1') {_TOP} 101")
 add("offset_page", lambda c: ranking.offset_page(c.posts.select("id", "score"), [F.desc("score"), "id"], 50, 100), "SELECT id, score FROM posts ORDER BY score DESC, id LIMIT 50 OFFSET 100")
 add("typed_quota_topk", lambda c: ranking.typed_quota(c.nodes, {"community": 40, "user": 200, "post": 100, "comment": 0}, 300), "SELECT id, name, val, type FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY w DESC, id) AS k, CASE type WHEN 'community' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS p FROM weighted) WHERE k <= CASE type WHEN 'community' THEN 40 WHEN 'user' THEN 200 ELSE 100 END ORDER BY p, w DESC, id LIMIT 300")
 add("distinct_on_best_anchor", lambda c: catalog.best_anchor(c.activity), "SELECT user_id, community_id, activity_count FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY activity_count DESC, community_id) AS k FROM active) WHERE k = 1")
@@ -126,7 +126,7 @@ add("representative_clusters", lambda c: publish.representative_clusters(_landma
 add("orphan_posts", lambda c: integrity.orphan_posts(c.all_posts, c.communities, c.users), "SELECT id FROM all_posts WHERE community_id IS NULL OR community_id NOT IN (SELECT id FROM communities) OR author_id NOT IN (SELECT id FROM users)")
 add("orphan_comments", lambda c: integrity.orphan_comments(c.comments, c.posts.where("id % 10 <> 0"), c.users), "SELECT id FROM comments WHERE post_id NOT IN (SELECT id FROM posts WHERE id % 10 <> 0) OR author_id NOT IN (SELECT id FROM users)")
 add("orphan_links", lambda c: integrity.orphan_links(c.links, c.nodes.where("type <> 'user'")), "SELECT DISTINCT source, target FROM links WHERE source LIKE 'user%'")
-add("orphan_nodes", lambda c: integrity.orphan_nodes(c.nodes, c.links), "SELECT id, type FROM nodes WHERE id NOT IN (SELECT id FROM degree)")
+add("orphan_nodes", lambda c: integrity.orphan_nodes(c.nodes, c.links.where("source not like 'user%'")), "SELECT id, type FROM nodes WHERE id NOT IN (SELECT source FROM links WHERE source NOT LIKE 'user%' UNION SELECT target FROM links WHERE source NOT LIKE 'user%')")
 add("lost_replies", lambda c: integrity.lost_replies(c.comments.where("depth <> 1")), "SELECT id, parent_id FROM comments WHERE depth = 2")
 add("orphan_deletes", lambda c: integrity.sound(c.all_posts, integrity.orphan_posts(c.all_posts, c.communities, c.users), ["id"]).select("id"), "SELECT id FROM posts")
 add("integrity_report", lambda c: integrity.report({"posts": integrity.orphan_posts(c.all_posts, c.communities, c.users), "nodes": integrity.orphan_nodes(c.nodes, c.links)}), "SELECT 'posts' AS check, (SELECT count(*) FROM all_posts WHERE community_id IS NULL) AS count, (SELECT count(*) FROM all_posts WHERE community_id IS NULL) > 0 AS has_issues UNION ALL SELECT 'nodes', (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT id FROM degree)), (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT id FROM degree)) > 0")
@@ -229,7 +229,7 @@ _MATCH = "(len(list_intersect(" + _TOK.format("title || ' ' || body") + ", ['the
 add("search_legacy", lambda c: search.contains(c.nodes, "000012", 100), f"SELECT id, name, val, type, CASE WHEN lower(name) = '000012' THEN 0 WHEN lower(id) = '000012' THEN 1 ELSE 2 END AS rank FROM weighted WHERE contains(lower(name), '000012') OR contains(lower(id), '000012') ORDER BY rank, w DESC, id LIMIT 100")
 add("search_tiered", lambda c: search.tiered(c.nodes, "customer#00000001", 60), "SELECT id, name, val, type, CASE WHEN id = 'customer#00000001' THEN 2 WHEN lower(left(name, 128)) = 'customer#00000001' THEN 1 ELSE 0 END AS tier FROM weighted WHERE starts_with(lower(left(name, 128)), 'customer#00000001') ORDER BY tier DESC, w DESC, id LIMIT 60")
 add("catalog_filter", lambda c: search.matching(_docs(c), "the license", lang="en", source="").select("id"), f"SELECT id FROM docs WHERE {_MATCH} AND lang = 'en'")
-add("catalog_relevance", lambda c: search.catalog(_docs(c), "the license", 50).select("id", F.round("relevance", 6).alias("relevance")), "SELECT id, round(len(list_intersect(" + _TOK.format("title") + ", ['the', 'license'])) * 1.0 + len(list_intersect(" + _TOK.format("body") + f", ['the', 'license'])) * 0.2 + CASE WHEN lower(title) = 'the license' THEN 2.0 WHEN starts_with(lower(title), 'the license') THEN 1.0 ELSE 0.0 END, 6) AS relevance FROM docs WHERE {_MATCH} ORDER BY relevance DESC, id LIMIT 50")
+add("catalog_relevance", lambda c: search.catalog(_docs(c), "the license", 50).select("id", F.round("relevance", 6).alias("relevance")), "SELECT id, CAST(round(len(list_intersect(" + _TOK.format("title") + ", ['the', 'license'])) * 1.0 + len(list_intersect(" + _TOK.format("body") + f", ['the', 'license'])) * 0.2 + CASE WHEN lower(title) = 'the license' THEN 2.0 WHEN starts_with(lower(title), 'the license') THEN 1.0 ELSE 0.0 END, 6) AS DOUBLE) AS relevance FROM docs WHERE {_MATCH} ORDER BY relevance DESC, id LIMIT 50")
 add("catalog_facets", lambda c: search.facets(_docs(c), "the license", "source"), f"SELECT source, count(*) AS n FROM docs WHERE {_MATCH} GROUP BY 1")
 add("exact_total", lambda c: search.matching(_docs(c), "the license").agg(F.count("*").alias("total")), f"SELECT count(*) AS total FROM docs WHERE {_MATCH}")
 add("snippet", lambda c: search.snippet(_docs(c)), "SELECT id, CASE WHEN NOT sensitive THEN left(title || ' ' || body, 240) END AS snippet FROM docs")

@@ -50,7 +50,7 @@ class Corpus:
         title = F.concat_ws(" ", "o_orderpriority", "o_orderstatus")
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", title.alias("title"))
         return orders.join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-            F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("author_id"), F.col("l_suppkey").alias("community_id"), "title", F.col("o_totalprice").cast("int").alias("score"), F.col("o_orderdate").alias("created_at")
+            F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("author_id"), F.col("l_suppkey").alias("community_id"), "title", (F.col("o_totalprice") / 1000).cast("int").alias("score"), F.col("o_orderdate").alias("created_at")
         )
 
     @cached_property
