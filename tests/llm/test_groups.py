@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 import struct
 import zlib
@@ -15,7 +16,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from kithgraph.llm import chat, gif, media, mixing, simhash, warc
+from kithgraph.llm import chat, gif, media, mixing, shared, simhash, warc
 from pyspark.sql import functions as F
 from tests.llm.conftest import SF, clashing, rows, table
 
@@ -387,3 +388,31 @@ def test_pipeline_on_nothing(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int")):
         table(spark, [], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+# --- what the operators share
+
+
+def test_thinned_samples(spark):
+    df = spark.range(20_000)
+    assert 120 < shared.thinned(df, "id", 100).count() < 300
+    assert shared.thinned(df, "id", 10_000).count() == 20_000
+    assert sorted(shared.thinned(df, "id", 50).collect()) == sorted(shared.thinned(df.repartition(7), "id", 50).collect())
+
+
+def test_passing_tables_are_deleted(spark):
+    with shared.passing(spark):
+        inner = shared.staged(spark.range(3), "passing")
+        (path,) = {f.removeprefix("file://").rsplit("/", 1)[0] for f in inner.inputFiles()[:1]}
+        kept = shared.staged(spark.range(2), "other")
+        assert os.path.isdir(path) and kept.count() == 2
+    assert not os.path.exists(path)
+    assert shared.staged(spark.range(4), "later").count() == 4
+
+
+def test_ranks_inside_salts(spark):
+    df = spark.createDataFrame([("a", i) for i in range(500)] + [("b", 1)], "k string, v long")
+    ranked = shared.salted(df, ["k"], ["v"], F.pmod(F.xxhash64("v"), F.lit(7)))
+    offsets = shared.salt_offsets(ranked.groupBy("k", "_salt").agg(F.count("*").alias("n")), ["k"])
+    places = ranked.join(offsets, ["k", "_salt"]).select("k", (F.col("_off") + F.col("_nth")).alias("p")).collect()
+    assert sorted(r["p"] for r in places if r["k"] == "a") == list(range(500))
