@@ -139,7 +139,8 @@ def frames(content: bytes) -> Iterator[bytes]:
 def dictionary_of(pages: DataFrame, sample: int = DICTIONARY_SAMPLE, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary trained on the pages with the smallest hashes; empty if they are too few or too much alike."""
     stretch = F.substring("html", 1, 20_000)  # what the dictionary is trained on, not what is stored
-    found = [r[0].encode() for r in pages.where(F.length("html") > 0).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select(stretch).collect()]
+    some = shared.thinned(pages.where("html <> ''"), "page_id", sample)
+    found = [r[0].encode() for r in some.orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select(stretch).collect()]
     try:
         return zstandard.train_dictionary(size, found).as_bytes() if len(found) >= 8 else b""
     except zstandard.ZstdError:
