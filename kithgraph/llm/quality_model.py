@@ -129,7 +129,8 @@ def vectors(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn quality from labels (doc_id, quality), on at most `sample` of its rows with crc32(doc_id) mod 3 not 1."""
     usable = labels.where((shared.crc_of() % 3 != 1) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-    chosen = usable.select("doc_id", F.col("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    usable = shared.thinned(usable.select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id", sample)
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     # At most `sample` rows of an id and a label.
     found = vectors(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample).toArrow()
     if not found.num_rows:
