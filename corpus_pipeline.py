@@ -17,8 +17,8 @@ from kithgraph.llm.queries import tokenizer_path
 
 #: A document goes if its quality score is below this one.
 LEAST_QUALITY = 0.5
-#: A document goes if its language is unknown or less likely than this.
-LEAST_LANGUAGE = 0.5
+#: A document goes if its language is unknown or if none is likelier than this (four languages alike have a quarter each).
+LEAST_LANGUAGE = 0.35
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
