@@ -52,15 +52,20 @@ def run_refresh(log: DataFrame, apply: Callable[[DataFrame, int], None], checkpo
     return log.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Event times without a zone are taken as the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def windowed_counts(events: DataFrame, width: str = "5 minutes", step: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Events by sliding window and type, with a bound for late ones where events is a stream."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late) if events.isStreaming else events
     return rows.groupBy(F.window("ts", width, step), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def once(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
     """Each event once, of those that repeat within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return _timed(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
 def started_within(events: DataFrame, now: str, minutes: int, limit: int) -> DataFrame:
