@@ -46,7 +46,9 @@ class Corpus:
     @cached_property
     def all_posts(self) -> DataFrame:
         """Posts, those without a community (orders without lines) included."""
-        first = self.lines.where("n = 1").select("l_orderkey", "l_suppkey")
+        # The first line by aggregation, which needs neither a window nor a sort of all lines.
+        order = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+        first = self.table("lineitem").groupBy("l_orderkey").agg(F.min(order).alias("first")).select("l_orderkey", F.col("first.l_suppkey").alias("l_suppkey"))
         title = F.concat_ws(" ", "o_orderpriority", "o_orderstatus")
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", title.alias("title"))
         return orders.join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
