@@ -10,7 +10,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kithgraph.llm import language_id, mixing, packing, quality_model, shared, simhash
 from kithgraph.llm.queries import tokenizer_path
@@ -24,13 +23,12 @@ LEAST_LANGUAGE = 0.35
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the quality classifier rejects."""
     model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_model.scored(docs, model).where(F.col("score") >= LEAST_QUALITY).drop("score")
+    return quality_model.accepted(docs, model, LEAST_QUALITY)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a language that the network is sure enough of."""
-    found = language_id.predicted(docs, language_id.fit(docs))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    return language_id.accepted(docs, language_id.fit(docs), LEAST_LANGUAGE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

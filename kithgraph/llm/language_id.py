@@ -9,7 +9,7 @@ weighted by bytes.
 
 Defined results: und with score 0 where a text is null or has no letter, and for every
 text if there is nothing to learn from; equal texts get equal results; an empty table
-gives no rows.
+gives no rows; other columns are carried on, whatever their names.
 """
 
 from __future__ import annotations
@@ -170,8 +170,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
 
 
 def predicted(docs: DataFrame, network: Network | None, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all, if None), lang_pred and score."""
-    names = docs.columns if keep is None else keep
+    """The columns `keep` of docs (all, if None), lang_pred and score, which replace those of their names."""
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
     if network is None:
         return docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = docs.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
@@ -181,10 +181,17 @@ def predicted(docs: DataFrame, network: Network | None, keep: list[str] | None =
         scorer = network.scorer()
         for batch, data, offsets in shared.pieces(batches, "text"):
             chance = scorer.texts(data, offsets)
-            letter = batch.column("_letter").to_numpy(zero_copy_only=False)
+            letter = batch.column(flag).to_numpy(zero_copy_only=False)
             best = np.where(letter, chance.argmax(axis=1), len(network.languages))
             score = np.where(letter, np.clip(chance.max(axis=1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(languages[best]), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter")
+    flag = "_letter" + "_" * max(map(len, names), default=0)  # longer than any name of docs
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(flag)
     return docs.select(*dict.fromkeys([*names, "text"]), letter).mapInArrow(make, schema)
+
+
+def accepted(docs: DataFrame, network: Network | None, least: float) -> DataFrame:
+    """The rows of docs, as they are, whose language is known with a score of `least` or more."""
+    rows, back = shared.set_aside(docs)
+    return predicted(rows, network).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*back)

@@ -171,7 +171,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     sizes = shared.staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     # Names that cannot clash with columns of docs.
     inner = {c: f"_doc{k}" for k, c in enumerate(docs.columns)}
-    named = docs.select(*(F.col(c).alias(n) for c, n in inner.items()), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    named = docs.select(*(shared.own_column(c).alias(n) for c, n in inner.items()), "doc_id", "source", n_words(F.col("text")).alias("size"))
     rows = mixed(named, decisions(sizes)).where("copies > 0")
     times = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_time")
     return rows.select(*inner.values(), times).select(*(F.col(n).alias(c) for c, n in inner.items()))

@@ -10,7 +10,7 @@ of text at once and adds up weights; it needs no shuffle.
 
 Defined results: null and empty texts have no n-grams and score by the bias alone;
 without any labels every score is 0.5; an empty table gives no rows; equal texts get
-equal scores; other columns are ignored.
+equal scores; other columns are carried on, whatever their names.
 """
 
 from __future__ import annotations
@@ -144,8 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all, if None) and score."""
-    names = docs.columns if keep is None else keep
+    """The columns `keep` of docs (all, if None) and score, which replaces one of that name."""
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() != "score"]
     schema = docs.select(*names).withColumn("score", F.lit(0.0)).schema
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,3 +153,9 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(model.scores(data, offsets))], names=[*names, "score"])
 
     return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(make, schema)
+
+
+def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, as they are, that score `least` or more."""
+    rows, back = shared.set_aside(docs)
+    return scored(rows, model).where(F.col("score") >= least).select(*back)

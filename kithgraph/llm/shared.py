@@ -78,6 +78,18 @@ def thinned(df: DataFrame, key: str, want: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(2 * want / n * (1 << 30)) + 1)
 
 
+def own_column(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def set_aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """docs with text alone under its own name and all others under names that clash with none, and the way back."""
+    inner = [c if c == "text" else f"_doc{k}" for k, c in enumerate(docs.columns)]
+    rows = docs.select(*(own_column(c).alias(n) for c, n in zip(docs.columns, inner, strict=True)))
+    return rows, [F.col(n).alias(c) for c, n in zip(docs.columns, inner, strict=True)]
+
+
 def salts(spark: SparkSession, most: int = 512) -> int:
     """Parts into which a hot group is dealt."""
     return max(1, min(most, int(spark.conf.get("spark.sql.shuffle.partitions"))))

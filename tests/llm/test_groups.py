@@ -127,7 +127,7 @@ def _classes(fp: list[int], ids: list) -> list:
 
 
 def test_near_duplicates(docs, odd, nothing):
-    for df in (docs, odd, clashing(odd).drop("fp")):
+    for df in (docs, odd, clashing(odd)):
         data = df.collect()
         fp = [_print(r["text"]) for r in data]
         want = [(r["doc_id"], f - (1 << 64) if f >> 63 else f, c) for r, f, c in zip(data, fp, _classes(fp, [r["doc_id"] for r in data]), strict=True)]
@@ -384,6 +384,19 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in kept.collect()}
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    raw = spark.read.parquet(f"{SF}/documents.parquet")
+    wide = clashing(raw).withColumns({c: F.lit(c) for c in ("lang_pred", "_letter", "component_id", "rate", "target", "_text", "a.b")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns
+        extra = out.select(*(F.col(f"`{c}`") for c in wide.columns[len(raw.columns) :])).distinct().collect()
+        assert [tuple(r) for r in extra] == [tuple(wide.columns[len(raw.columns) :])]
+        assert Counter(out.select(*raw.columns).collect()) == Counter(stage(spark, raw, SF).collect())
+    last = corpus_pipeline.STAGES[-1][1]
+    assert Counter(last(spark, wide, SF).drop("sequence_id", "offset").collect()) == Counter(last(spark, raw, SF).drop("sequence_id", "offset").collect())
+
+
 def test_pipeline_on_nothing(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int")):
         table(spark, [], schema).write.parquet(str(tmp_path / f"{name}.parquet"))

@@ -109,7 +109,7 @@ def test_language_id(spark, docs, odd, nothing):
     held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and r["lang"]]
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
     assert all(0 <= r["score"] <= 1 for r in got)
-    found = {(r["doc_id"], r["text"]): r for r in language_id.predicted(clashing(odd).drop("score"), network).collect()}
+    found = {(r["doc_id"], r["text"]): r for r in language_id.predicted(clashing(odd), network).collect()}
     for (_, text), r in found.items():
         assert (r["lang_pred"] == "und") == (text is None or not re.search(r"[^\W\d_]", text))
     assert language_id.predicted(nothing, network).collect() == []
