@@ -32,7 +32,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates."""
+    """Keep one document of each group whose fingerprints (of three-word shingles) link within two bits.
+
+    Texts that are merely similar, such as 0.8 of their five-word shingles, mostly stay: see the README.
+    """
     return simhash.representatives(docs)
 
 
