@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kithgraph.llm import language_id, mixing, packing, quality_model, shared, simhash
+from kithgraph.llm import language_id, mixing, packing, quality_model, shared, similar
 from kithgraph.llm.queries import tokenizer_path
 
 #: A document goes if its quality score is below this one.
@@ -32,11 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group whose fingerprints (of three-word shingles) link within two bits.
-
-    Texts that are merely similar, such as 0.8 of their five-word shingles, mostly stay: see the README.
-    """
-    return simhash.representatives(docs)
+    """Keep one document of each group that links: at least 0.8 of the five-word shingles alike, or fingerprints within two bits."""
+    return similar.representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from kithgraph.llm import chat, gif, media, mixing, shared, simhash, warc
+from kithgraph.llm import chat, gif, media, mixing, shared, similar, simhash, warc
 from pyspark.sql import functions as F
 from tests.llm.conftest import SF, clashing, rows, table
 
@@ -179,6 +179,70 @@ def test_representatives(odd, docs):
     assert {r["doc_id"] for r in simhash.representatives(docs).collect()} == {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
 
 
+# --- near copies by shingles
+
+
+def _shingles(text: str | None) -> frozenset:
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def _alike(texts: list[str | None]) -> set[tuple[int, int]]:
+    sets = [_shingles(t) for t in texts]
+    return {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 9 * len(a & b) >= 4 * (len(a) + len(b))}
+
+
+def _near_copies() -> list[str]:
+    """Texts with 0 to 4 of 100 words replaced, so that similarities lie about 0.8; some share half their words only."""
+    rng = np.random.default_rng(11)
+    out = []
+    for g in range(30):
+        base = [f"g{g}w{i}" if i < 50 or g % 3 else f"common{i}" for i in range(100)]
+        for k in range(6):
+            words = list(base)
+            for at in rng.integers(0, 100, k % 5):
+                words[at] = f"x{rng.integers(0, 10**9)}"
+            out.append(" ".join(words))
+    return out
+
+
+def test_near_copies_against_brute_force(spark, docs, odd):
+    made = table(spark, [(k, t, "en", "a", None) for k, t in enumerate(_near_copies())])
+    for df in (made, docs, odd):
+        texts = sorted({r["text"] or "" for r in df.collect()})
+        parent = list(range(len(texts)))
+
+        def find(i: int, parent: list[int] = parent) -> int:
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i, j in _alike(texts):
+            parent[find(i)] = find(j)
+        data = table(spark, [(None, t, None, None, None) for t in texts])
+        at = {r["v"]: texts.index(r["text"]) for r in data.select("text", similar.vertex().alias("v")).collect()}
+        root = {at[r["vertex"]]: at[r["root"]] for r in similar.linked_texts(df).collect()}
+        got, want = defaultdict(set), defaultdict(set)
+        for i in range(len(texts)):
+            got[root.get(i, i)].add(i)
+            want[find(i)].add(i)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_pipeline_leaves_no_near_copies(spark):
+    rows_ = [(k, t, "en", "a", None) for k, t in enumerate(_near_copies())]
+    kept = [r["text"] for r in corpus_pipeline.near_duplicates(spark, table(spark, rows_), SF).collect()]
+    assert len(kept) < len(rows_) / 2 and not _alike(kept)
+
+
+def test_rows_of_one_id_stay_unless_linked(spark, nothing):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    made = [(1, a, "en", "s", 1), (1, b, "en", "s", 2), (2, b, "en", "s", 3), (None, a, "en", "s", 4), (None, a[::-1], "en", "s", 5), (None, a[::-1], "en", "s", 6)]
+    kept = similar.representatives(table(spark, made)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, a), (1, b), (0, a[::-1])])
+    assert similar.representatives(nothing).collect() == []
+
+
 # --- chat
 
 
