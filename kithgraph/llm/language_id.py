@@ -29,8 +29,6 @@ WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDED = 8, 8
 #: Texts for each language that the network is trained on, at most.
 SAMPLE = 400
-#: Languages that can be learnt, the commonest first.
-LANGUAGES = 64
 #: Characters of the stretches of a text that are trained on, and their number.
 STRETCH, STRETCHES = 160, 3
 UNKNOWN = "und"
@@ -143,7 +141,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """Learn from docs (doc_id, text, lang) with crc32(doc_id) mod 5 not 0, on about `sample` texts a language at most."""
     usable = docs.where((shared.crc_of() % 5 != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     named = docs.where((shared.crc_of() % 5 != 0) & F.col("lang").isNotNull())
-    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not common:
         return None
     # The part of each language that gives about twice the sample; the hash of the id chooses.

@@ -117,6 +117,13 @@ def test_language_id(spark, docs, odd, nothing):
     assert {r["lang_pred"] for r in language_id.predicted(odd, None).collect()} == {"und"}
 
 
+def test_rare_languages_are_learnt(spark):
+    made = [(70 * k + i, f"word{i} " * 20, f"l{i:02}", "a", None) for i in range(70) for k in range(4 + (i < 64))]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    named = {r[2] for r in made if zlib.crc32(str(r[0]).encode()) % 5}
+    assert len(named) > 64 and set(language_id.fit(df).languages) == named
+
+
 def test_tables_agree_with_the_network(docs):
     network = language_id.fit(docs, sample=20)
     rng = np.random.default_rng(0)
