@@ -8,8 +8,9 @@ text is all its windows; its language is the one with the largest mean probabili
 weighted by bytes.
 
 Defined results: und with score 0 where a text is null or has no letter, and for every
-text if there is nothing to learn from; equal texts get equal results; an empty table
-gives no rows; other columns are carried on, whatever their names.
+text if there is nothing to learn from; of languages with equal probability the first by
+name; equal texts get equal results; an empty table gives no rows; other columns are
+carried on, whatever their names. A text of any length is worked on in parts of LONG bytes.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SAMPLE = 400
 #: Characters of the stretches of a text that are trained on, and their number.
 STRETCH, STRETCHES = 160, 3
 UNKNOWN = "und"
+#: Bytes of a text (whole windows) beyond which it is worked on in parts.
+LONG = 1 << 20
 
 
 @dataclass
@@ -79,6 +82,9 @@ class _Scorer:
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(rows, languages): the mean probabilities of each row's windows by bytes."""
+        if len(offsets) == 2 and len(data) > LONG:  # a text of its own, some windows at a time
+            parts = [data[k : k + LONG] for k in range(0, len(data), LONG)]
+            return sum(len(p) * self.texts(p, np.array([0, len(p)])) for p in parts) / len(data)
         size = np.diff(offsets)
         each = (size + WINDOW - 1) // WINDOW
         first = np.cumsum(each) - each

@@ -5,16 +5,19 @@ Features are the word uni- and bigrams, the uni- and bigrams of word shapes (let
 case, digits, other bytes, runs collapsed), and what n-grams are like among themselves
 (a bigram of one word twice, a trigram that the text had before), all hashed into one
 table of weights. Executors turn labelled texts into sparse vectors; the driver gets at most
-SAMPLE of them, chosen by a hash of their ids, and learns. Scoring hashes whole pieces
-of text at once and adds up weights; it needs no shuffle.
+SAMPLE of them, chosen by a hash of their ids, and learns. Scoring hashes the words of
+whole texts and adds up weights; it needs no shuffle.
 
 Defined results: null and empty texts have no n-grams and score by the bias alone;
 without any labels every score is 0.5; an empty table gives no rows; equal texts get
-equal scores; other columns are carried on, whatever their names.
+equal scores; an id with both labels is learnt from once with each, repeated rows with
+one label and text once for each row; other columns are carried on, whatever their names.
+A text of any length is worked on in stretches (textbytes.STRETCH_BYTES).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.llm import shared
-from kithgraph.llm.textbytes import SPACES, SpanHash, again, mixed, rows_of, runs, windows
+from kithgraph.llm.textbytes import again, hashes, mixed, stretches, texts_of, windows
 
 #: Bits of a feature's number.
 BITS = 18
@@ -40,33 +43,30 @@ def _shapes() -> np.ndarray:
 
 
 _SHAPE = _shapes()
-
-
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature numbers, rows) of all n-grams; rows ascend inside each kind only."""
-    starts, ends = runs(~SPACES[data], offsets)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row = rows_of(starts, offsets)
-    words = SpanHash(data).of(starts, ends)
-    shape = _SHAPE[data]
-    keep = np.ones(len(shape), bool)
-    keep[1:] = shape[1:] != shape[:-1]
-    keep[starts] = True
-    place = np.concatenate([[0], np.cumsum(keep)])
-    shapes = SpanHash(shape[keep]).of(place[starts], place[ends])
-    numbers, rows = [], []
-    for seed, (h, r) in zip(_SEEDS[:4], ((words, row), (shapes, row), *((g, row[at]) for g, at in (windows(words, row, 2), windows(shapes, row, 2)))), strict=True):
-        numbers.append((mixed(h ^ seed) >> np.uint64(64 - BITS)).astype(np.int64))
-        rows.append(r)
+#: N-grams whose feature numbers are made at once.
+_AT_ONCE = 1 << 18
+
+
+def _word_and_shape_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    words, shapes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for part in stretches(text):
+        words.append(hashes(part.split()))
+        shape = _SHAPE[np.frombuffer(part, np.uint8)]
+        keep = np.ones(len(shape), bool)
+        keep[1:] = shape[1:] != shape[:-1]
+        shapes.append(hashes(shape[keep].tobytes().split()))
+    return np.concatenate(words), np.concatenate(shapes)
+
+
+def features(text: bytes) -> Iterator[np.ndarray]:
+    """The feature numbers of all n-grams of a text, some at a time."""
+    words, shapes = _word_and_shape_hashes(text)
+    for seed, h, n in zip(_SEEDS[:4], (words, shapes, words, shapes), (1, 1, 2, 2), strict=True):
+        for lo in range(0, max(0, len(h) - n + 1), _AT_ONCE):
+            yield (mixed(windows(h[lo : lo + _AT_ONCE + n - 1], n) ^ seed) >> np.uint64(64 - BITS)).astype(np.int64)
     # N-grams like others, whatever their words: one feature number for each kind.
-    twice = row[1:][(words[1:] == words[:-1]) & (row[1:] == row[:-1])]
-    h, at = windows(words, row, 3)
-    before = row[at][again(h, row[at])]
-    for seed, r in zip(_SEEDS[4:], (twice, before), strict=True):
-        numbers.append(np.full(len(r), int(seed) >> (64 - BITS)))
-        rows.append(r)
-    return np.concatenate(numbers), np.concatenate(rows)
+    for seed, times in zip(_SEEDS[4:], (int((words[1:] == words[:-1]).sum()), int(again(windows(words, 3)).sum())), strict=True):
+        yield np.full(times, int(seed) >> (64 - BITS))
 
 
 @dataclass
@@ -74,12 +74,13 @@ class Model:
     weights: np.ndarray  # float32, one for each feature number
     bias: float
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """A row's dot product is the mean weight of its n-grams, scaled as in training."""
-        numbers, rows = features(data, offsets)
-        n = len(offsets) - 1
-        total, count = np.bincount(rows, self.weights[numbers], n), np.bincount(rows, minlength=n)
-        return 1 / (1 + np.exp(-np.clip(self.bias + total / np.maximum(count, 1), -30, 30)))
+    def score(self, text: bytes) -> float:
+        """The dot product is the mean weight of the text's n-grams, scaled as in training."""
+        total, count = 0.0, 0
+        for numbers in features(text):
+            total += float(self.weights[numbers].sum(dtype=np.float64))
+            count += len(numbers)
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.bias + total / max(count, 1)))))
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]], alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3, epochs: int = 4, seed: int = 7) -> Model:
@@ -108,18 +109,23 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], alpha: float = 2.0
     return Model(w[:-1].astype(np.float32), float(w[-1]))
 
 
+def vector_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The different feature numbers of a text, and the part of its n-grams that each is."""
+    count = np.zeros(1 << BITS, np.int64)
+    for numbers in features(text):
+        count += np.bincount(numbers, minlength=1 << BITS)
+    some = np.flatnonzero(count)
+    return some, count[some] / max(1, int(count.sum()))
+
+
 def vectors(docs: DataFrame) -> DataFrame:
     """label, numbers and values (parts of all n-grams) of labelled docs (doc_id, text, label)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in shared.pieces(batches, "text"):
-            numbers, rows = features(data, offsets)
-            n = len(offsets) - 1
-            packed, count = np.unique((rows << BITS) | numbers, return_counts=True)
-            row = packed >> BITS
-            bounds = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
-            value = count / np.maximum(np.bincount(rows, minlength=n), 1)[row]
-            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in ((packed & ((1 << BITS) - 1)).astype(np.int32), value.astype(np.float32))]
+            numbers, values = zip(*map(vector_of, texts_of(data, offsets)), strict=True)
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in (np.concatenate(numbers).astype(np.int32), np.concatenate(values).astype(np.float32))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], names=["doc_id", "label", "numbers", "values"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -150,7 +156,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in shared.pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(model.scores(data, offsets))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([model.score(t) for t in texts_of(data, offsets)], pa.float64())], names=[*names, "score"])
 
     return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(make, schema)
 

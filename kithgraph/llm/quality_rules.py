@@ -1,17 +1,22 @@
 """Quality rules: per-document counts, and lines that too many documents of a host share.
 
 Base counts come from whole texts in one pass. The rule across documents hashes every
-normalised line (lower case, single blanks), counts the different documents of each
-host that hold it, and takes the lines above the limit out; a document that keeps too
-few of its words is rejected. A document counts once for each different text, so exact
-copies do not make their lines frequent.
-
-Lines travel as hashes. A host and a line that a third of all documents share are
-counted by partial sums; the frequent lines, a small part of all, are broadcast where
-their number is small and joined by a shuffle that splits hot keys where it is not.
+normalised line (lower case, single blanks), counts the distinct documents of each host
+that hold it, and removes the lines above the limit; a document that keeps too few of
+its words is rejected. Documents are told apart by their ids, so copies count each, and
+a page that a host serves again and again is depleted; the limit is a number of
+documents, the same for small and large hosts.
+
+Lines travel as hashes. A first count is of rows, by partial sums; only lines that it
+puts above the limit, a small part of all, are counted by distinct ids, which spreads a
+hot line over all its documents. The frequent lines are broadcast where their number is
+small and joined by a shuffle that splits hot keys where it is not; a hot host is only
+half of each key.
 
 Defined results: null and empty texts have no words and fail the base rule; a null host
-is a host of its own; repeated rows get equal results; an empty table gives no rows.
+is a host of its own; rows without an id are a document each; repeated rows count once
+and get equal results; an empty table gives no rows; other columns are ignored, whatever
+their names. A text of any length is worked on in stretches (textbytes.STRETCH_BYTES).
 """
 
 from __future__ import annotations
@@ -20,106 +25,112 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.llm import shared
-from kithgraph.llm.textbytes import LOWER, SPACES, SpanHash, again, byte_set, per_row, rows_of, runs, sums_by, windows
+from kithgraph.llm.textbytes import SPACES, STRETCH_BYTES, several, stretches, texts_of, windows, word_hashes
 
-#: A line is frequent if more different documents of its host hold it than both of these allow.
-MOST_DOCUMENTS, MOST_PART = 20, 0.002
+#: A line is frequent if more documents of its host hold it.
+MOST_DOCUMENTS = 20
 #: A document is depleted below this part of its words or this many words.
 LEAST_PART, LEAST_WORDS = 0.5, 10
 #: Frequent lines up to which they are broadcast.
 BROADCAST_ROWS = 200_000
 WINDOW = 8
-_SYMBOLS = byte_set(*((ord(c), ord(c)) for c in "#*$%&|<>"))
-_NEWLINE = 10
-
-
-def base_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The counts of every row, and (row, hash of normalised line, words) of every line with a word."""
-    rows = len(offsets) - 1
-    inside = ~SPACES[data]
-    starts, ends = runs(inside, offsets)
-    row = rows_of(starts, offsets)
-    n_words = np.bincount(row, minlength=rows)
-    sums = np.concatenate([[0], np.cumsum(inside & ((data & 0xC0) != 0x80))])
-    symbols = np.concatenate([[0], np.cumsum(_SYMBOLS[data])])
-    counts = {"n_words": n_words, "word_chars": np.diff(sums[offsets]), "n_symbols": np.diff(symbols[offsets])}
-    # Lines: maximal runs without a newline; those without a word don't count.
-    line_starts, line_ends = runs(data != _NEWLINE, offsets)
-    first = np.searchsorted(starts, line_starts)
-    words = np.searchsorted(starts, line_ends) - first
-    some = words > 0
-    line_starts, line_ends, words, first = line_starts[some], line_ends[some], words[some], first[some]
-    line_row = rows_of(line_starts, offsets)
-    counts["n_dup_lines"] = np.bincount(line_row[again(SpanHash(data).of(line_starts, line_ends), line_row)], minlength=rows)
-    # Words inside windows that occur more than once in their row.
-    h, at = windows(SpanHash(data).of(starts, ends), row, WINDOW)
-    order = np.lexsort((h, row[at]))
-    same = (h[order][1:] == h[order][:-1]) & (row[at][order][1:] == row[at][order][:-1])
-    twice = np.zeros(len(h), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
-    cover = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(cover, at[twice], 1)
-    np.add.at(cover, at[twice] + WINDOW, -1)
-    counts["n_repeat_words"] = np.bincount(row[np.cumsum(cover)[:-1] > 0], minlength=rows)
-    # Normalised lines: lower-cased words with one blank between them.
-    keep = inside.copy()
-    keep[1:] |= inside[:-1]
-    place = np.concatenate([[0], np.cumsum(keep)])
-    normal = SpanHash(np.where(inside[keep], LOWER[data[keep]], 32))
-    line_hash = normal.of(place[starts[first]], place[ends[first + words - 1]]) if len(first) else np.zeros(0, np.uint64)
-    return counts, (line_row, line_hash, words)
+_SYMBOLS = b"#*$%&|<>"
+#: Bytes that are no first byte of a code point outside white space.
+_NO_CHARACTER = SPACES + bytes(range(0x80, 0xC0))
+
+
+def lines_of(text: bytes) -> Iterator[bytes]:
+    """The lines of a text, split at newlines; the pieces at hand stay small."""
+    at = 0
+    while at <= len(text):
+        cut = text.find(b"\n", at + STRETCH_BYTES)
+        end = cut if cut >= 0 else len(text)
+        yield from text[at:end].split(b"\n")
+        at = end + 1
+
+
+def line_hash(line: bytes) -> tuple[int, int]:
+    """The hash of a normalised line and its number of words."""
+    if len(line) <= STRETCH_BYTES:
+        words = line.lower().split()
+        return xxhash.xxh3_64_intdigest(b" ".join(words)), len(words)
+    whole, n = xxhash.xxh3_64(), 0
+    for part in stretches(line):
+        words = part.lower().split()
+        if words:
+            whole.update(b" " * (n > 0) + b" ".join(words))
+        n += len(words)
+    return whole.intdigest(), n
+
+
+def counts_of(text: bytes) -> tuple[tuple[int, ...], dict[int, int]]:
+    """The counts of a text in the order of _COUNTS, and the words of each of its different normalised lines by hash."""
+    h = word_hashes(text)
+    # Words inside windows that occur more than once.
+    begins = np.flatnonzero(several(windows(h, WINDOW)))
+    cover = np.zeros(len(h) + 1, np.int32)
+    cover[begins] += 1
+    cover[begins + WINDOW] -= 1
+    seen: set[int] = set()
+    lines: dict[int, int] = {}
+    with_words = 0
+    for line in lines_of(text):
+        normal, n = line_hash(line)
+        if n:
+            with_words += 1
+            seen.add(xxhash.xxh3_64_intdigest(line))
+            lines[normal] = lines.get(normal, 0) + n
+    repeated = int((np.cumsum(cover)[:-1] > 0).sum())
+    return (len(h), len(text.translate(None, _NO_CHARACTER)), len(text) - len(text.translate(None, _SYMBOLS)), with_words - len(seen), repeated), lines
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Counts of every document, with its host, its text's hash, and its lines as (hash, words)."""
+    """Counts of every document (doc_id, text, source), with its host and its lines as (hash, words)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in shared.pieces(batches, "text"):
-            counts, (row, line, words) = base_counts(data, offsets)
-            n = len(offsets) - 1
-            # One entry for each different line of a document, with the words of all its occurrences.
-            order = np.lexsort((line, row))
-            row, line, words = row[order], line[order], words[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
-            total = np.add.reduceat(words, np.flatnonzero(new)) if len(row) else words
-            bounds = np.searchsorted(row[new], np.arange(n + 1)).astype(np.int32)
-            lines = pa.StructArray.from_arrays([pa.array(line[new].view(np.int64)), pa.array(total.astype(np.int32))], names=["line", "words"])
-            whole = SpanHash(data).of(offsets[:-1], offsets[1:]).view(np.int64)
-            columns = [batch.column("doc_id"), batch.column("host"), pa.array(whole), *(pa.array(counts[k].astype(np.int64)) for k in _COUNTS), pa.ListArray.from_arrays(pa.array(bounds), lines)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "host", "whole", *_COUNTS, "lines"])
+            counts, lines = zip(*map(counts_of, texts_of(data, offsets)), strict=True)
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int32)
+            n = int(bounds[-1])
+            line = np.fromiter((h for x in lines for h in x), np.uint64, n).view(np.int64)
+            words = np.fromiter((w for x in lines for w in x.values()), np.int32, n)
+            each = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(line), pa.array(words)], names=["line", "words"]))
+            columns = [batch.column("doc_id"), batch.column("host"), *(pa.array(c, pa.int64()) for c in zip(*counts, strict=True)), each]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "host", *_COUNTS, "lines"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     host = F.xxhash64(F.col("source").isNull(), "source").alias("host")
-    return docs.select("doc_id", host, "text").mapInArrow(make, f"doc_id {kind}, host long, whole long, {', '.join(f'{k} long' for k in _COUNTS)}, lines array<struct<line: long, words: int>>")
+    return docs.select("doc_id", host, "text").mapInArrow(make, f"doc_id {kind}, host long, {', '.join(f'{k} long' for k in _COUNTS)}, lines array<struct<line: long, words: int>>")
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def frequent_lines(rows: DataFrame, most: int = MOST_DOCUMENTS, part: float = MOST_PART) -> DataFrame:
-    """host and line of every line that more than max(most, part of the host's documents) different documents hold."""
-    texts = rows.select("host", "whole").distinct().groupBy("host").agg(F.count("*").alias("documents"))
-    held = rows.select("host", "whole", F.explode("lines.line").alias("line")).distinct()
-    counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    return counts.join(texts, "host").where(F.col("n") > part * F.col("documents")).select("host", "line")
+def frequent_lines(rows: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
+    """host and line of every line that more than `most` distinct documents of the host hold; rows are staged and numbered (row)."""
+    held = rows.select("doc_id", "row", "host", F.explode("lines.line").alias("line"))
+    often = shared.staged(held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > most).select("host", "line"), "rules-often")
+    often = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+    own_row = F.when(F.col("doc_id").isNull(), F.col("row"))
+    documents = held.join(often, ["host", "line"]).select("host", "line", "doc_id", own_row.alias("own_row")).distinct()
+    return documents.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > most).select("host", "line")
 
 
-def judged(docs: DataFrame, most: int = MOST_DOCUMENTS, part: float = MOST_PART) -> DataFrame:
+def judged(docs: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
     """doc_id, the counts, n_words_left, base_failed and kept for docs (doc_id, text, source)."""
-    rows = shared.staged(measured(docs), "rules")
-    frequent = shared.staged(frequent_lines(rows, most, part), "rules-frequent")
+    rows = shared.staged(measured(docs).withColumn("row", F.monotonically_increasing_id()), "rules")
+    frequent = shared.staged(frequent_lines(rows, most), "rules-frequent")
     if frequent.count() <= BROADCAST_ROWS:
         frequent = F.broadcast(frequent)
-    lines = rows.where("n_words > 0").select("host", "whole", F.explode("lines").alias("l")).select("host", "whole", "l.line", "l.words")
-    # Copies of a text in a host repeat the same rows; max stands for one of them.
-    gone = lines.join(frequent, ["host", "line"]).groupBy("host", "whole", "line").agg(F.max("words").alias("words")).groupBy("host", "whole").agg(F.sum("words").alias("gone"))
+    lines = rows.select("host", "row", F.explode("lines").alias("l")).select("host", "row", "l.line", "l.words")
+    gone = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("gone"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     depleted = (left < LEAST_WORDS) | (left < LEAST_PART * F.col("n_words"))
-    out = rows.drop("lines").join(gone, ["host", "whole"], "left")
+    out = rows.drop("lines").join(gone, "row", "left")
     return out.select("doc_id", *_COUNTS, left.cast("long").alias("n_words_left"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))

@@ -12,13 +12,14 @@ and small stars over the edges, each step written to the shared folder.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any
 other; exact copies share a fingerprint and are one vertex; a null id never becomes a
-component's id unless all ids in it are null; an empty table gives no rows.
+component's id unless all ids in it are null; an empty table gives no rows; other columns
+are ignored. A text of any length is worked on in stretches (textbytes.STRETCH_BYTES).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.llm import shared
-from kithgraph.llm.textbytes import LOWER, SPACES, per_row, rows_of, runs
+from kithgraph.llm.textbytes import stretches, texts_of
 
 RADIUS = 2
 #: Words of a shingle and the seed of its hash.
@@ -44,37 +45,25 @@ def bits_of(values: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
+def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
+    """The fingerprint of a text, from stretches that share shingle - 1 words."""
+    ones, total, tail = np.zeros(64, np.int64), 0, []
+    for part in stretches(text):
+        words = tail + part.lower().split()
+        joined = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64)
+        for lo in range(0, len(h), _AT_ONCE):
+            ones += bits_of(h[lo : lo + _AT_ONCE]).sum(axis=0, dtype=np.int64)
+        total += len(h)
+        tail = words[max(0, len(words) - shingle + 1) :]
+    if not total:
+        return xxhash.xxh64_intdigest(b" ".join(tail), SEED) if tail else 0
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+
+
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     """The fingerprint of every row of UTF-8."""
-    rows = len(offsets) - 1
-    out = np.zeros(rows, np.uint64)
-    inside = ~SPACES[data]
-    starts, ends = runs(inside, offsets)
-    if not len(starts):
-        return out
-    # Lower-cased words with one blank between them, so that each shingle is one slice.
-    keep = inside.copy()
-    keep[1:] |= inside[:-1]
-    place = np.concatenate([[0], np.cumsum(keep)])
-    text = np.where(inside[keep], LOWER[data[keep]], 32).astype(np.uint8).tobytes()
-    starts_at, ends_at = place[starts], place[ends]
-    words = per_row(starts, offsets)
-    first = np.cumsum(words) - words
-    each = np.where(words > 0, np.maximum(words - shingle + 1, 1), 0)
-    row = np.repeat(np.arange(rows), each)
-    at = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-    last = np.minimum(at + shingle, first[row] + words[row]) - 1
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(text[a:b], SEED) for a, b in zip(starts_at[at].tolist(), ends_at[last].tolist(), strict=True)), np.uint64, len(row))
-    some = np.flatnonzero(each)
-    counts = np.zeros((len(some), 64), np.int64)
-    begins = (np.cumsum(each) - each)[some]
-    for lo in range(0, len(some), 256):  # the bits of a few rows at a time
-        part = begins[lo : lo + 256]
-        end = begins[lo + 256] if lo + 256 < len(some) else len(h)
-        counts[lo : lo + 256] = np.add.reduceat(bits_of(h[part[0] : end]), part - part[0], axis=0, dtype=np.int64)
-    out[some] = np.packbits(2 * counts > each[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+    return np.fromiter((fingerprint_of(t, shingle) for t in texts_of(data, offsets)), np.uint64, len(offsets) - 1)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -233,14 +222,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     moved = placed.join(least, "root").select("fp", "component_id")
     classes = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def representatives(docs: DataFrame) -> DataFrame:
-    """docs without all but the smallest id of each component.
-
-    Rows that repeat that id stay once; rows without an id are neither dropped nor drop others.
-    """
-    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()))
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -2,55 +2,63 @@
 
 Candidates come from minwise hashing: BANDS keys of ROWS minima each, so a pair at exactly
 0.8 shares no key in about one of 80,000 cases, and closer pairs more rarely still. Texts
-that keys connect form a cluster. In a cluster every link is found by the shingles
+that keys connect form a cluster. In a block of texts every link is found by the shingles
 themselves: a search from text to text compares each with those not yet reached that share
-one of its rarest shingles (a prefix that no pair at 0.8 can avoid), so nothing in a cluster
-is missed, what is reached once is not compared again, and pairs are never written. Texts whose
-fingerprints link as op6_simhash links them belong together too; components are those of
-both kinds of links.
+one of its rarest shingles (a prefix that no pair at 0.8 can avoid), so nothing in a block
+is missed, what is reached once is not compared again, and pairs are never written.
+
+A block holds about BLOCK shingles. Most clusters are one block. Larger ones, such as one
+very large family of near copies or texts chained by chance keys, are dealt into blocks;
+what is linked inside them contracts to one text each, which are dealt again until that
+joins no more. Where a cluster still has several components, each key that texts of
+several components have is searched: all texts but those of its heaviest component are
+queries against all of its texts, block by block. So no task holds more than two blocks,
+and a link between texts of a common key is found whatever the cluster's size.
+
+Texts whose fingerprints link as op6_simhash links them belong together too; components
+are those of both kinds of links.
 
 Defined results: texts with fewer words than a shingle have one shingle of all their words;
-null, empty and blank texts are copies of one another; exact copies are one vertex; of a
-component the row with the smallest id stays, one without an id only where none has any.
+null, empty and blank texts are copies of one another; exact copies are one vertex (a hash
+of 64 bits of the text); of a component the row with the smallest id stays, one without an
+id only where none has any; rows that repeat id and text stay once; other columns are
+carried on, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.llm import shared, simhash
-from kithgraph.llm.textbytes import LOWER, SPACES, SpanHash, mixed, per_row, rows_of, runs, windows
+from kithgraph.llm.textbytes import hashes, mixed, texts_of, windows, word_hashes
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
 LEAST, OF = 4, 5
 BANDS, ROWS = 48, 7
-#: Candidates up to which they are broadcast.
-BROADCAST_ROWS = 200_000
+#: Shingles of a block.
+BLOCK = 4_000_000
+#: Rows of hashes (two numbers each) up to which a table of them is broadcast.
+BROADCAST_ROWS = 500_000
 _RANDOM = np.random.default_rng(7)
 _XORS = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS), np.uint64)
 _FACTORS = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the different shingles of every row of UTF-8, and the rows' bounds in them; no row is without one."""
-    starts, ends = runs(~SPACES[data], offsets)
-    row = rows_of(starts, offsets)
-    h, at = windows(SpanHash(LOWER[data]).of(starts, ends), row, SHINGLE)
-    short = np.flatnonzero(per_row(starts, offsets) < SHINGLE)
-    whole = [xxhash.xxh64_intdigest(b" ".join(data[offsets[r] : offsets[r + 1]].tobytes().lower().split())) for r in short.tolist()]
-    h, row = np.concatenate([h, np.array(whole, np.uint64)]), np.concatenate([row[at], short])
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[new], np.searchsorted(row[new], np.arange(len(offsets)))
+    """Hashes of the different shingles of every row of UTF-8, ascending, and the rows' bounds in them; no row is without one."""
+    found = []
+    for text in texts_of(data, offsets):
+        h = windows(word_hashes(text, lower=True), SHINGLE)
+        found.append(np.unique(h) if len(h) else hashes([b" ".join(text.lower().split())]))
+    return np.concatenate([np.zeros(0, np.uint64), *found]), np.concatenate([[0], np.cumsum([len(h) for h in found])]).astype(np.int64)
 
 
 def keys_of(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -143,40 +151,119 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(head[some]), pa.array(v[some])], names=["u", "v"])
 
 
-def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vertex and root for what is linked to another text; rows come sorted by cluster, which may go on in the next batch."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # vertices, shingles and their number, of one cluster
+def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """vertex and root for what is linked to another text of its block; rows come sorted by block, which may go on in the next batch."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # vertices, shingles and their number, of one block
     of = None
 
     def out() -> pa.RecordBatch:
         v, h, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
         label = linked(h, np.concatenate([[0], np.cumsum(sizes)]))
-        some = np.bincount(label, minlength=len(v))[label] > 1
-        return pa.RecordBatch.from_arrays([pa.array(v[some]), pa.array(v[label[some]])], names=["vertex", "root"])
+        some = label != np.arange(len(v))
+        return pa.RecordBatch.from_arrays([pa.array(v[some]), pa.array(v[label[some]])], names=["u", "v"])
 
-    for batch, data, offsets in shared.pieces(batches, "text"):
-        cluster, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cluster", "vertex"))
-        h, bounds = shingles_of(data, offsets)
-        cuts = [0, *(np.flatnonzero(cluster[1:] != cluster[:-1]) + 1).tolist(), len(cluster)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "vertex"))
+        each = batch.column("shingles")
+        bounds = each.offsets.to_numpy()
+        h = each.values.to_numpy().view(np.uint64)
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            if held and cluster[a] != of:
+            if held and block[a] != of:
                 yield out()
                 held.clear()
-            of = cluster[a]
-            held.append((v[a:b], h[bounds[a] : bounds[b]], np.diff(bounds[a : b + 1])))
+            of = block[a]
+            # A text that is both query and row of its block comes twice, one after the other.
+            some = np.flatnonzero(np.concatenate([[not held or held[-1][0][-1] != v[a]], v[a + 1 : b] != v[a : b - 1]])) + a
+            if len(some):
+                held.append((v[some], h[_spans(bounds[some], bounds[some + 1])], bounds[some + 1] - bounds[some]))
     if held:
         yield out()
 
 
-def linked_texts(docs: DataFrame) -> DataFrame:
+def _by_blocks(rows: DataFrame) -> DataFrame:
+    """u, v: edges inside blocks of rows (block, vertex, shingles)."""
+    return rows.select("block", "vertex", "shingles").repartition("block").sortWithinPartitions("block", "vertex").mapInArrow(_linked_blocks, "u long, v long")
+
+
+def _places(blocks: Column, *salt: Column) -> Column:
+    """Which of a group's blocks a text is dealt to."""
+    return F.pmod(F.xxhash64("vertex", *salt), blocks)
+
+
+def _blocks(weight: Column, size: int) -> Column:
+    return F.ceil(weight / size).cast("long")
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, data, offsets in shared.pieces(batches, "text"):
+        h, bounds = shingles_of(data, offsets)
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("vertex"), batch.column("cluster"), pa.array(np.diff(bounds)), lists], names=["vertex", "cluster", "n", "shingles"])
+
+
+def _components(edges: list[DataFrame]) -> DataFrame:
+    """vertex and label of everything with an edge."""
+    return shared.staged(simhash.components(reduce(DataFrame.unionByName, edges)).select(F.col("node").alias("vertex"), F.col("root").alias("label")), "similar-labels")
+
+
+def _joined(rows: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join with what is broadcast if it is small."""
+    return rows.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+
+
+def _links_of_large(texts: DataFrame, keys: DataFrame, found: DataFrame, block: int) -> list[DataFrame]:
+    """Edges of clusters of several blocks, besides those found inside blocks; texts has vertex, cluster, n, shingles."""
+    edges = [found]
+    known, before = _components(edges), math.inf
+    total = texts.count()
+    # One text of each component, dealt anew while that joins a tenth of them.
+    while (left := total - known.where("vertex <> label").count()) <= 0.9 * before:
+        before = left
+        firsts = _joined(texts, known, "vertex", "left").where("label is null or label = vertex").drop("label")
+        weight = firsts.groupBy("cluster").agg(_blocks(F.sum("n"), block).alias("blocks"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+        dealt = _joined(firsts, shared.staged(weight, "similar-weights"), "cluster")
+        edges.append(shared.staged(_by_blocks(dealt.withColumn("block", F.xxhash64("cluster", _places(F.col("blocks"), F.lit(len(edges)))))), "similar-edges"))
+        known = _components(edges)
+    # Keys that texts of several components have.
+    owned = _joined(texts.select("vertex", "n"), known, "vertex", "left").select("vertex", "n", F.coalesce("label", "vertex").alias("label"))
+    dealt = shared.staged(_joined(keys, owned, "vertex"), "similar-owned")
+    parts = dealt.groupBy("key", "label").agg(F.sum("n").alias("n"))
+    mixed_ = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    mixed_ = mixed_.select("key", F.col("main.label").alias("main"), _blocks(F.col("n"), block).alias("rows"), _blocks(F.col("n") - F.col("main.n"), block).alias("queries"))
+    some = _joined(dealt.select("key", "vertex", "label"), shared.staged(mixed_, "similar-mixed"), "key")
+    as_row = some.select("key", "vertex", _places(F.col("rows")).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("queries") - 1)).alias("q"))
+    as_query = some.where("label <> main").select("key", "vertex", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("r"), _places(F.col("queries"), F.lit("q")).alias("q"))
+    pairs = as_row.unionByName(as_query).select("vertex", F.xxhash64("key", "r", "q").alias("block"))
+    return [*edges, shared.staged(_by_blocks(pairs.join(texts.select("vertex", "shingles"), "vertex")), "similar-edges")]
+
+
+def keyed(texts: DataFrame) -> DataFrame:
+    """vertex and key of every different text, BANDS rows each."""
+    keys = texts.mapInArrow(_keys, "vertex long, keys array<long>").dropDuplicates(["vertex"])
+    return keys.select("vertex", F.explode("keys").alias("key"))
+
+
+def linked_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """vertex and root (one vertex of the component) of every text (docs.text) that is linked to a different one."""
     texts = docs.select(vertex().alias("vertex"), "text")
-    keys = texts.mapInArrow(_keys, "vertex long, keys array<long>").dropDuplicates(["vertex"])
-    dealt = keys.select("vertex", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "vertex")
-    edges = shared.staged(dealt.select("key", "vertex").mapInArrow(_stars, "u long, v long").distinct(), "similar-candidates")
+    edges = shared.staged(keyed(texts).repartition("key").sortWithinPartitions("key", "vertex").select("key", "vertex").mapInArrow(_stars, "u long, v long").distinct(), "similar-candidates")
     near = shared.staged(simhash.components(edges).select(F.col("node").alias("vertex"), F.col("root").alias("cluster")), "similar-clusters")
-    some = texts.join(F.broadcast(near) if near.count() <= BROADCAST_ROWS else near, "vertex").dropDuplicates(["vertex"])
-    return some.select("cluster", "vertex", "text").repartition("cluster").sortWithinPartitions("cluster", "vertex").mapInArrow(_clusters, "vertex long, root long")
+    some = _joined(texts, near, "vertex").dropDuplicates(["vertex"])
+    some = shared.staged(some.mapInArrow(_shingled, "vertex long, cluster long, n long, shingles array<long>"), "similar-shingles")
+    weight = shared.staged(some.groupBy("cluster").agg(_blocks(F.sum("n"), block).alias("blocks")), "similar-weights")
+    dealt = _joined(some, weight, "cluster")
+    found = shared.staged(_by_blocks(dealt.withColumn("block", F.xxhash64("cluster", _places(F.col("blocks"))))), "similar-edges")
+    large = weight.where("blocks > 1").select("cluster")
+    links = [found]
+    if not large.isEmpty():
+        members_ = shared.staged(_joined(near, large, "cluster", "left_semi").select("vertex"), "similar-large")
+        inside = _joined(found, members_.withColumnRenamed("vertex", "u"), "u", "left_semi").select("u", "v")
+        keys = shared.staged(keyed(_joined(texts, members_, "vertex", "left_semi")), "similar-keys")
+        links += _links_of_large(_joined(some, large, "cluster", "left_semi"), keys, inside, block)
+    return _components(links).select("vertex", F.col("label").alias("root"))
 
 
 def members(docs: DataFrame) -> DataFrame:
@@ -187,16 +274,26 @@ def members(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: only rows that are linked replace one another, whatever their ids."""
+    """docs with one row of each component: only rows that are linked replace one another, whatever their ids.
+
+    What goes is decided on hashes and ids; the rows themselves are only filtered.
+    """
     found = shared.staged(members(docs), "similar")
-    if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
-    firsts = shared.staged(docs.select(vertex().alias("vertex"), "doc_id").groupBy("vertex").agg(F.min("doc_id").alias("first")), "similar-firsts")
+    tally = shared.staged(docs.select(vertex().alias("vertex"), "doc_id").groupBy("vertex", "doc_id").agg(F.count("*").alias("copies")), "similar-tally")
+    firsts = tally.groupBy("vertex").agg(F.min("doc_id").alias("first"))
     best = F.min(F.struct(F.isnull("first").alias("none"), "first", "vertex")).alias("best")
-    chosen = firsts.join(found, "vertex").groupBy("root").agg(best).select("best.vertex", "best.first")
-    chosen = firsts.join(found, "vertex", "left_anti").unionByName(chosen)
+    chosen = _joined(firsts, found, "vertex").groupBy("root").agg(best).select("best.vertex", "best.first")
+    chosen = _joined(firsts, found, "vertex", "left_anti").unionByName(chosen)
+    row = lambda of, doc_id: [F.col(of).alias("_vertex"), F.xxhash64(of, F.isnull(doc_id), doc_id).alias("_row")]
+    chosen = shared.staged(chosen.select(*row("vertex", "first")), "similar-chosen")
+    counted = tally.select(*row("vertex", "doc_id"), "copies")
+    gone = shared.staged(counted.join(chosen, ["_vertex", "_row"], "left_anti").drop("copies"), "similar-gone")
+    twice = shared.staged(counted.where("copies > 1").join(chosen, ["_vertex", "_row"], "left_semi").drop("copies"), "similar-twice")
     rows, back = shared.set_aside(docs)
     own = f"_doc{docs.columns.index('doc_id')}"
     rows = rows.withColumn("_vertex", vertex()).withColumn("_row", F.xxhash64("_vertex", F.isnull(own), own))
-    chosen = chosen.select(F.col("vertex").alias("_vertex"), F.xxhash64("vertex", F.isnull("first"), "first").alias("_row"))
-    return rows.join(chosen, ["_vertex", "_row"], "left_semi").dropDuplicates(["_vertex", "_row"]).select(*back)
+    kept = _joined(rows, gone, ["_vertex", "_row"], "left_anti")
+    if not twice.isEmpty():  # of rows that repeat id and text, one
+        once = _joined(kept, twice, ["_vertex", "_row"], "left_semi").dropDuplicates(["_vertex", "_row"])
+        kept = _joined(kept, twice, ["_vertex", "_row"], "left_anti").unionByName(once)
+    return kept.select(*back)

@@ -1,46 +1,25 @@
-"""Words, lines and their hashes over a whole piece of UTF-8 at once, in numpy.
+"""Words of UTF-8 and their hashes, in stretches of bounded size.
 
-All of these work on (bytes, row offsets) as shared.pieces() gives them. Hashes of
-spans are differences of one running polynomial sum modulo 2**64, so a span costs the
-same whatever its length.
+Words are what bytes.split() gives: it separates at U+0020 and U+0009 to U+000D. A long
+text is worked on in stretches that cut no word, so what an operator holds besides the
+text is a few numbers a word at most. Hashes are XXH3 of the bytes themselves, which has
+no structure that texts could collide on.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
+import regex
+import xxhash
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
-
-
-def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
-    """256 flags, true for the bytes in the ranges (both ends included)."""
-    flags = np.zeros(256, bool)
-    for a, b in ranges:
-        flags[a : b + 1] = True
-    return flags
-
-
-#: What separates words: U+0020 and U+0009 to U+000D.
-SPACES = byte_set((0x20, 0x20), (0x09, 0x0D))
-#: Lower case for A-Z only.
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-
-
-@lru_cache(maxsize=2)
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, _U), np.full(n, _INVERSE, _U)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n - 1 of the hash's base and of its inverse."""
-    return tuple(x[:n] for x in _powers_to(1 << max(18, (n - 1).bit_length() if n > 1 else 0)))
+#: Bytes of a stretch; a longer word is a stretch of its own.
+STRETCH_BYTES = 1 << 20
+#: What separates words.
+SPACES = b"\t\n\x0b\x0c\r "
+_SPACE = regex.compile(rb"[\x20\x09-\x0D]")
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -52,68 +31,59 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of true flags; a row's end also ends a run."""
-    n = len(inside)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    before = np.zeros(n, bool)
-    before[1:] = inside[:-1]
-    after = np.zeros(n, bool)
-    after[:-1] = inside[1:]
-    cuts = offsets[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < n)]
-    before[cuts] = False
-    after[cuts - 1] = False
-    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+def stretches(text: bytes, size: int = STRETCH_BYTES) -> Iterator[bytes]:
+    """The text in parts of about `size` bytes that end before a blank or at the text's end."""
+    if len(text) <= size:
+        if text:
+            yield text
+        return
+    at = 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + size) if at + size < len(text) else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
 
 
-def rows_of(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The row of each start; starts ascend."""
-    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+def texts_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+    """The rows of a piece, one after the other."""
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield data[a:b].tobytes()
 
 
-def per_row(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many of the starts lie in each row."""
-    return np.diff(np.searchsorted(starts, offsets))
+def hashes(parts: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, parts), _U, len(parts))
 
 
-class SpanHash:
-    """Hashes of spans of one array of small numbers."""
+def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
+    """The hash of every word; of its lower case (A-Z only), if asked for."""
+    found = [hashes((part.lower() if lower else part).split()) for part in stretches(text)]
+    return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, _U), *found])
 
-    def __init__(self, values: np.ndarray) -> None:
-        up, self.down = powers(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, _U)
-        np.cumsum((values.astype(_U) + _U(1)) * up[: len(values)], out=self.sums[1:])
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mixed(h + (ends - starts).astype(_U) * _U(0x2545F4914F6CDD1D))
+def windows(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n consecutive word hashes."""
+    if len(words) < n:
+        return np.zeros(0, _U)
+    h = words[: len(words) - n + 1].copy()
+    for k in range(1, n):
+        h = mixed(h * _U(0xC2B2AE3D27D4EB4F) + words[k : k + len(h)])
+    return h
 
 
-def windows(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of n consecutive word hashes of one row, and the first word of each."""
-    if len(words) < n:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    at = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :])
-    h = np.zeros(len(at), _U)
-    for k in range(n):
-        h = mixed(h * _U(0xC2B2AE3D27D4EB4F) + words[at + k])
-    return h, at
-
-
-def sums_by(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """Whole-number sums by row."""
-    return np.bincount(row, values, rows).astype(np.int64) if len(row) else np.zeros(rows, np.int64)
-
-
-def again(h: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """True where the same hash stood earlier in the same row; row ascends."""
-    if not len(h):
-        return np.zeros(0, bool)
-    order = np.lexsort((np.arange(len(h)), h, row))
-    same = np.zeros(len(h), bool)
-    same[1:] = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
+def again(h: np.ndarray) -> np.ndarray:
+    """True where the same hash stood earlier."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    out = np.zeros(len(h), bool)
+    out[order[1:][same]] = True
+    return out
+
+
+def several(h: np.ndarray) -> np.ndarray:
+    """True where the same hash stands elsewhere, earlier or later."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
     out = np.zeros(len(h), bool)
-    out[order] = same
+    out[order[1:][same]] = out[order[:-1][same]] = True
     return out

@@ -1,8 +1,9 @@
 """Byte-level BPE over whole pieces of text, with one encoding for each different pretoken.
 
 The split into pretokens is done in numpy over code points; every pretoken that has
-not been met yet is encoded once, the rest are looked up. The file is one of the
-tokenizers library. Where its merges come in the order of their ids, which makes the
+not been met yet is encoded once, the rest are looked up by their bytes. A long text is
+worked on in parts that start where a pretoken starts whatever comes before. The file is
+one of the tokenizers library. Where its merges come in the order of their ids, which makes the
 ids themselves the ranks, tiktoken's faster merging gives the same ids and is used.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 from pathlib import Path
@@ -19,10 +20,10 @@ import numpy as np
 import regex
 import tiktoken
 
-from kithgraph.llm.textbytes import SpanHash
-
 #: Pretokens that a worker remembers; beyond that it starts anew.
-REMEMBERED = 3_000_000
+REMEMBERED = 500_000
+#: Bytes of a part of a long text, and of the stretch in which its end is looked for.
+PART_BYTES, LOOK_BYTES = 1 << 20, 1 << 12
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 #: What may follow an apostrophe as a pretoken of its own. Fixed values.
 _ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
@@ -101,6 +102,38 @@ def pretoken_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
+def parts(text: bytes, size: int = PART_BYTES) -> Iterator[bytes]:
+    """The text in parts of about `size` bytes, cut behind a letter or number that something of another class follows.
+
+    A pretoken starts there whatever stands before and behind, so the parts' ids make up the text's.
+    """
+    at, look = 0, size
+    while len(text) - at > look:
+        a, b = (_head(text, min(len(text), at + look + k)) for k in (0, LOOK_BYTES))
+        points = np.frombuffer(text[a:b].decode("utf-8").encode("utf-32-le"), "<u4")
+        kind = _classes()[points]
+        found = np.flatnonzero((kind[1:] != kind[:-1]) & ((kind[:-1] == _LETTER) | (kind[:-1] == _NUMBER)))
+        if not len(found):
+            look += LOOK_BYTES - 4  # stretches overlap, so no two neighbours are missed
+            continue
+        end = a + int(np.flatnonzero(_is_head(np.frombuffer(text[a:b], np.uint8)))[found[0] + 1])
+        yield text[at:end]
+        at, look = end, size
+    yield text[at:]
+
+
+def _is_head(data: np.ndarray) -> np.ndarray:
+    """Where a code point's first byte stands."""
+    return (data & 0xC0) != 0x80
+
+
+def _head(text: bytes, at: int) -> int:
+    """The first place from `at` back where a code point starts."""
+    while at < len(text) and text[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
 class Pretokens:
     """Encodes pieces of UTF-8 with one tokenizer file."""
 
@@ -110,9 +143,12 @@ class Pretokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = _merger(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Texts with one of these are not split here but encoded whole.
-        self.special = regex.compile("|".join(map(regex.escape, added)).encode()) if added else None
+        added = self.tokenizer.get_added_tokens_decoder()
+        #: Tokens that stand for a text of their own, wherever it occurs.
+        self.special = {t.content.encode(): k for k, t in added.items()}
+        self.at_special = regex.compile(b"|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if added else None
+        #: Whether a text is the tokens' texts and what stands between them, each by itself.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
         self.forget()
 
     @staticmethod
@@ -121,15 +157,14 @@ class Pretokens:
         return Pretokens(path)
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # hashes of the known pretokens, ascending
-        self.place = np.zeros(0, np.int32)  # the number of each of them
-        self.count = 0
+        self.number: dict[bytes, int] = {}  # of the known pretokens, from 1
         self.flat = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32)
-        self.ends = np.zeros(1 << 14, np.int32)  # where the ids of a pretoken end; numbers start at 1
+        self.ends = np.zeros(1 << 14, np.int64)  # where the ids of a pretoken end
 
-    def learn(self, hashes: np.ndarray, texts: list[bytes]) -> np.ndarray:
-        """Encode new pretokens (hashes ascend) and return their numbers."""
-        at = int(self.ends[self.count])
+    def learn(self, texts: list[bytes]) -> None:
+        """Encode new pretokens."""
+        count = len(self.number)
+        at = int(self.ends[count])
         if self.merge:
             found = list(map(self.merge, texts))
         else:
@@ -137,41 +172,53 @@ class Pretokens:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         while at + sizes.sum() > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.count + len(found) + 1 > len(self.ends):
+        while count + len(found) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.flat[at : at + sizes.sum()] = np.fromiter(chain.from_iterable(found), self.flat.dtype, int(sizes.sum()))
-        numbers = np.arange(self.count + 1, self.count + 1 + len(found), dtype=np.int32)
-        self.ends[numbers] = at + np.cumsum(sizes)
-        to = np.searchsorted(self.keys, hashes)
-        self.keys, self.place = np.insert(self.keys, to, hashes), np.insert(self.place, to, numbers)
-        self.count += len(found)
-        return numbers
+        self.ends[count + 1 : count + 1 + len(found)] = at + np.cumsum(sizes)
+        self.number.update(zip(texts, range(count + 1, count + 1 + len(found)), strict=True))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, end_id after each, and the bounds of the rows among them."""
-        rows = len(offsets) - 1
         body = data.tobytes()
+        if len(body) <= 2 * PART_BYTES and not (self.at_special and self.at_special.search(body)):
+            return self._rows(body, offsets, end_id)
+        each = [np.append(self._text(body[a:b]), np.uint32(end_id)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return np.concatenate([np.zeros(0, np.uint32), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+
+    def _text(self, text: bytes) -> np.ndarray:
+        """Ids of a text that may be long or hold special tokens."""
+        found, at = [np.zeros(0, np.uint32)], 0
+        marks = list(self.at_special.finditer(text)) if self.at_special else []
+        if marks and not self.plain:
+            return np.array(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids, np.uint32)
+        for m in [*marks, None]:
+            between = text[at : m.start() if m else len(text)]
+            found += [self._rows(p, np.array([0, len(p)]), 0)[0][:-1] for p in parts(between)]
+            if m:
+                found.append(np.array([self.special[m.group()]], np.uint32))
+                at = m.end()
+        return np.concatenate(found)
+
+    def _rows(self, body: bytes, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = len(offsets) - 1
         points = np.frombuffer(body.decode("utf-8").encode("utf-32-le"), "<u4")
-        heads = np.zeros(len(data) + 1, np.int64)
-        is_head = (data & 0xC0) != 0x80
+        is_head = _is_head(np.frombuffer(body, np.uint8))
+        heads = np.zeros(len(body) + 1, np.int64)
         np.cumsum(is_head, out=heads[1:])
         bounds = heads[offsets]
         starts = pretoken_starts(points, bounds)
-        ends = np.append(starts[1:], len(points))[: len(starts)]
-        unique, where, inverse = np.unique(SpanHash(points).of(starts, ends), return_index=True, return_inverse=True)
-        if self.count + len(unique) > REMEMBERED:
+        at = np.append(np.flatnonzero(is_head), len(body))
+        begins = [*at[starts].tolist(), len(body)]
+        texts = [body[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
+        if len(self.number) > REMEMBERED:
             self.forget()
-        index = np.zeros(len(unique), np.int64)
-        if self.count:
-            at = np.minimum(np.searchsorted(self.keys, unique), self.count - 1)
-            index = np.where(self.keys[at] == unique, self.place[at], 0)
-        new = np.flatnonzero(index == 0)
-        if len(new):
-            at = np.append(np.flatnonzero(is_head), len(data))
-            texts = [body[a:b] for a, b in zip(at[starts[where[new]]].tolist(), at[ends[where[new]]].tolist(), strict=True)]
-            index[new] = self.learn(unique[new], texts)
-        token = index[inverse]
-        begin = self.ends[token - 1].astype(np.int64)
+        token = list(map(self.number.get, texts))
+        if None in token:
+            self.learn(list(dict.fromkeys(t for t, n in zip(texts, token, strict=True) if n is None)))
+            token = list(map(self.number.get, texts))
+        token = np.array(token, np.int64)
+        begin = self.ends[token - 1]
         size = self.ends[token] - begin
         row = np.repeat(np.arange(rows), np.diff(np.searchsorted(starts, bounds)))
         out_bounds = np.concatenate([[0], np.cumsum(np.bincount(row, size, rows).astype(np.int64) + 1)])
@@ -180,16 +227,4 @@ class Pretokens:
         ids = np.full(out_bounds[-1], end_id, np.uint32)
         step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         ids[np.repeat(to, size) + step] = self.flat[np.repeat(begin, size) + step]
-        if self.special is not None and self.special.search(body):
-            return self._whole(body, offsets, ids, out_bounds, end_id)
         return ids, out_bounds
-
-    def _whole(self, body: bytes, offsets: np.ndarray, ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        each = []
-        for i in range(len(offsets) - 1):
-            text = body[offsets[i] : offsets[i + 1]]
-            if self.special.search(text):
-                each.append(np.array([*self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids, end_id], np.uint32))
-            else:
-                each.append(ids[bounds[i] : bounds[i + 1]])
-        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
