@@ -1,137 +1,175 @@
 """License scans by a positional index of rare words, in DataFrame operations only.
 
-Templates are word sequences with mandatory key phrases at fixed places. The index
-holds, for each template, the few of its words with the highest inverse document
-frequency among the templates, and their places. A text's words that are in the index
-are its highest-IDF licence words; each of their places, less the place in the
-template, is a vote for where the template would begin; where all of a template's
-indexed words vote for one beginning, its key phrases are verified word by word.
+Templates are licence texts and names with mandatory key phrases (license_texts). The
+index holds, for each template, the few of its words with the highest inverse document
+frequency among the templates, and their places. A file's words that are in the index
+are its highest-IDF licence words; each of their places, less the place in the template,
+is a vote for where the template would begin. Votes within a template's tolerance agree,
+so words may be put in or left out; where enough of a template's indexed words agree, its
+key phrases are verified near their places. A name has no tolerance, all its indexed
+words and it as a whole must stand. The score is the part of the indexed words that
+agree, times how specific a template of that size is.
+
 Everything is an expression on the text's own row: nothing is shuffled or joined, and a
-text without any anchor word is only counted.
+text without a word of any key phrase is only counted.
 
 Defined results: null and empty texts have no words, no places and no labels; copies and
-repeated rows get equal results; an empty table gives no rows; other columns are ignored.
+repeated rows get equal results; an edited text may be found at several beginnings within
+the tolerance; an empty table gives no rows; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kithgraph.llm.license_texts import NAMES, TEXTS
+
 #: What is no part of a word, for texts in either case.
 _GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Indexed words of a template.
-INDEXED = 3
+#: Indexed words of a template, and the part of them that must agree in a text.
+INDEXED, LEAST = 12, 0.5
+#: By how many words a text may be shifted against its template: at most this many, and at most a part of its size.
+TOLERANCE, OF_SIZE = 24, 6
+BASE = 3
 
 
 @dataclass(frozen=True)
 class Template:
-    """Key phrases by their place from the template's beginning."""
-
     label: str
-    phrases: tuple[tuple[int, str], ...]
+    text: str
+    phrases: tuple[str, ...]
     base: bool = False
 
-    @property
-    def size(self) -> int:
-        return sum(len(p.split()) for _, p in self.phrases)
-
-    @property
-    def score(self) -> float:
-        """Longer templates are more specific."""
-        return 1 - 0.5 ** (self.size / 4)
-
-    def words(self) -> list[tuple[str, int]]:
-        return [(w, at + k) for at, p in self.phrases for k, w in enumerate(p.split())]
-
-
-def _one(label: str, phrase: str, base: bool = False) -> Template:
-    return Template(label, ((0, phrase),), base)
-
-
-#: The phrases by which licences are told.
-TEMPLATES = (
-    _one("mit", "under the mit license", True),
-    _one("apache-2", "apache license version 2", True),
-    _one("cc-by-nc", "cc by nc", True),
-    Template("mit", ((0, "permission is hereby granted free of charge to any person obtaining a copy"), (20, "documentation files"))),
-    _one("apache-2", "apache 2 0 license"),
-    _one("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    _one("bsd", "bsd 3 clause license"),
-    _one("bsd", "bsd 2 clause license"),
-    _one("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    _one("gpl", "gnu general public license"),
-    _one("gpl-2", "gnu general public license version 2"),
-    _one("gpl-3", "gnu general public license version 3"),
-    _one("lgpl", "gnu lesser general public license"),
-    _one("agpl", "gnu affero general public license"),
-    _one("mpl", "mozilla public license"),
-    _one("epl", "eclipse public license"),
-    _one("boost", "boost software license version 1 0"),
-    _one("unlicense", "free and unencumbered software released into the public domain"),
-    _one("cc-by-sa", "cc by sa"),
-    _one("cc-by-nd", "cc by nd"),
-    _one("cc0", "cc0 1 0 universal"),
-    _one("cc-by-nc", "creative commons attribution noncommercial"),
-    _one("cc-by-sa", "creative commons attribution sharealike"),
-    _one("mit", "spdx license identifier mit"),
-    _one("apache-2", "spdx license identifier apache 2"),
-)
-
-
-def index_of(templates: tuple[Template, ...], most: int = INDEXED) -> dict[str, list[tuple[int, int]]]:
-    """Word to postings (template, place): each template's highest-IDF words, the first place of each."""
-    seen = Counter(w for t in templates for w in {w for w, _ in t.words()})
-    postings: dict[str, list[tuple[int, int]]] = {}
+    @cached_property
+    def words(self) -> tuple[str, ...]:
+        return tuple(re.findall(WORD, self.text.lower()))
+
+    @cached_property
+    def tolerance(self) -> int:
+        return 0 if self.phrases == (self.text,) else min(TOLERANCE, len(self.words) // OF_SIZE)
+
+    @cached_property
+    def keys(self) -> tuple[tuple[int, int, str], ...]:
+        """Place, size and words of each key phrase."""
+        found = []
+        for phrase in self.phrases:
+            own = tuple(phrase.split())
+            at = next(k for k in range(len(self.words)) if self.words[k : k + len(own)] == own)
+            found.append((at, len(own), phrase))
+        return tuple(found)
+
+    @cached_property
+    def specific(self) -> float:
+        return 1 - 0.5 ** (len(self.words) / 4)
+
+
+TEMPLATES = (*(Template(label, phrase, (phrase,), k < BASE) for k, (label, phrase) in enumerate(NAMES)), *(Template(label, text, phrases) for label, phrases, text in TEXTS))
+
+
+@dataclass(frozen=True)
+class Anchor:
+    """An indexed word of a template."""
+
+    template: int
+    number: int
+    at: int
+    word: str
+
+
+def frequencies(templates: tuple[Template, ...]) -> Counter:
+    """In how many templates each word stands."""
+    return Counter(w for t in templates for w in set(t.words))
+
+
+def index_of(templates: tuple[Template, ...], most: int = INDEXED) -> list[Anchor]:
+    """Each template's words of highest IDF, of those that stand in it once."""
+    seen, out = frequencies(templates), []
     for n, t in enumerate(templates):
-        first: dict[str, int] = {}
-        for w, at in t.words():
-            first.setdefault(w, at)
-        for w in sorted(first, key=lambda w: (-math.log(len(templates) / seen[w]), -len(w), w))[:most]:
-            postings.setdefault(w, []).append((n, first[w]))
-    return postings
+        once = [w for w, k in Counter(t.words).items() if k == 1]
+        once.sort(key=lambda w: (-math.log(len(templates) / seen[w]), -len(w), w))
+        out += [Anchor(n, k, t.words.index(w), w) for k, w in enumerate(once[:most])]
+    return out
 
 
-def anchors(templates: tuple[Template, ...], postings: dict[str, list[tuple[int, int]]]) -> list[str]:
-    """Words of which every template has one; a text without any of them holds no template."""
-    out: set[str] = set()
-    for n in range(len(templates)):
-        own = [w for w, places in postings.items() if any(t == n for t, _ in places)]
-        out.add(min(own, key=lambda w: (len(postings[w]), -len(w), w)))
-    return sorted(out)
+def needed(templates: tuple[Template, ...], index: list[Anchor]) -> list[int]:
+    """How many indexed words must agree, by template."""
+    n = Counter(a.template for a in index)
+    return [n[k] if not t.tolerance else math.ceil(LEAST * n[k]) for k, t in enumerate(templates)]
+
+
+def first_words(templates: tuple[Template, ...]) -> list[str]:
+    """The rarest word of a key phrase of each template; a text without any of them holds no template."""
+    seen = frequencies(templates)
+    return sorted({min((w for _, _, p in t.keys for w in p.split()), key=lambda w: (w.isdigit(), seen[w], -len(w), w)) for t in templates})
 
 
 def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+_FOUND = "array<struct<template:int,at:int,label:string,base:boolean,share:double,score:double>>"
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """doc_id, n_words and found: (template, at, label, base, score) of every verified place, for docs (doc_id, text)."""
-    postings = index_of(templates)
+    """doc_id, n_words and found: (template, at, label, base, share, score) of every verified place, for docs (doc_id, text)."""
+    index = index_of(templates)
+    need = needed(templates, index)
+    postings: dict[str, list[Anchor]] = {}
+    for a in index:
+        postings.setdefault(a.word, []).append(a)
     text = F.coalesce("text", F.lit(""))
-    has_anchor = text.rlike(f"(?i)(?<![^{_GAP}])(?:{'|'.join(anchors(templates, postings))})(?![^{_GAP}])")
-    need = Counter(t for places in postings.values() for t, _ in places)
-    index = F.create_map(*(c for w, places in sorted(postings.items()) for c in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in places)))))
-    votes_needed = F.array(*(F.lit(need[t]) for t in range(len(templates))))
-    keys = F.array(*(F.array(*(F.struct(F.lit(at).alias("at"), F.lit(len(p.split())).alias("n"), F.lit(p).alias("phrase")) for at, p in t.phrases)) for t in templates))
-    about = F.array(*(F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.lit(t.score).alias("score")) for t in templates))
-
-    rows = docs.select("doc_id", F.regexp_count(text, F.lit(f"[^{_GAP}]+")).cast("long").alias("n_words"), F.when(has_anchor, F.regexp_extract_all(lowered(text), F.lit(f"({WORD})"), F.lit(1))).alias("words"))
+    may_hold = text.rlike(f"(?i)(?<![^{_GAP}])(?:{'|'.join(first_words(templates))})(?![^{_GAP}])")
+    by_word = F.create_map(*(c for w, some in sorted(postings.items()) for c in (F.lit(w), F.array(*(F.struct(F.lit(a.template).alias("t"), F.lit(a.number).alias("a"), F.lit(a.at).alias("at")) for a in some)))))
+    size = Counter(a.template for a in index)
+    facts = F.array(
+        *(
+            F.struct(
+                F.lit(need[n]).alias("need"), F.lit(t.tolerance).alias("tolerance"), F.lit(size[n]).alias("indexed"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.lit(t.specific).alias("specific"),
+                F.array(*(F.struct(F.lit(at).alias("at"), F.lit(k).alias("n"), F.lit(f" {p} ").alias("phrase")) for at, k, p in t.keys)).alias("keys"),
+            )
+            for n, t in enumerate(templates)
+        )
+    )
+
+    rows = docs.select("doc_id", F.regexp_count(text, F.lit(f"[^{_GAP}]+")).cast("long").alias("n_words"), F.when(may_hold, F.regexp_extract_all(lowered(text), F.lit(f"({WORD})"), F.lit(1))).alias("words"))
     rows = rows.withColumn("hits", F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: h["w"].isin(*sorted(postings))))
-    votes = F.flatten(F.transform("hits", lambda h: F.transform(index[h["w"]], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("d")))))
+    votes = F.flatten(F.transform("hits", lambda h: F.transform(by_word[h["w"]], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("d"), p["a"].alias("a")))))
     rows = rows.withColumn("votes", F.array_sort(votes))
-    # Sorted votes for one beginning stand together; each indexed word gives one at most.
-    before = lambda i, n: F.get("votes", i - n + 1)
-    agreed = F.filter("votes", lambda v, i: (v["d"] >= 0) & (before(i, F.get(votes_needed, v["t"])) == v))
-    verified = F.filter(agreed, lambda v: F.forall(F.get(keys, v["t"]), lambda k: F.array_join(F.slice("words", v["d"] + k["at"] + 1, k["n"]), " ") == k["phrase"]))
-    found = F.transform(verified, lambda v: F.struct(v["t"].alias("template"), v["d"].alias("at"), F.get(about, v["t"])["label"].alias("label"), F.get(about, v["t"])["base"].alias("base"), F.get(about, v["t"])["score"].alias("score")))
-    return rows.select("doc_id", "n_words", F.coalesce(found, F.array().cast("array<struct<template:int,at:int,label:string,base:boolean,score:double>>")).alias("found"))
+
+    def share(v: Column, i: Column) -> Column:
+        """Indexed words with a vote from v's beginning to the tolerance behind it: they follow v, at most one for each word and shift."""
+        fact = F.get(facts, v["t"])
+        last = F.get("votes", i + fact["need"] - 1)
+        near = F.slice("votes", i + 1, fact["indexed"] * (fact["tolerance"] + 1))
+        agree = F.array_distinct(F.transform(F.filter(near, lambda x: (x["t"] == v["t"]) & (x["d"] <= v["d"] + fact["tolerance"])), lambda x: x["a"]))
+        return F.when((last["t"] == v["t"]) & (last["d"] <= v["d"] + fact["tolerance"]), F.size(agree) / fact["indexed"])
+
+    def holds(v: Column, key: Column, tolerance: Column) -> Column:
+        """Whether a key phrase stands within the tolerance of its place."""
+        start = F.greatest(F.lit(0), v["d"] + key["at"] - tolerance)
+        end = F.greatest(start, v["d"] + key["at"] + key["n"] + tolerance)
+        return F.contains(F.concat(F.lit(" "), F.array_join(F.slice("words", start + 1, end - start), " "), F.lit(" ")), key["phrase"])
+
+    shared_ = F.transform("votes", lambda v, i: F.struct(v["t"].alias("t"), v["d"].alias("d"), share(v, i).alias("share")))
+    agreed = F.filter(shared_, lambda v: F.coalesce(v["share"] * F.get(facts, v["t"])["indexed"] >= F.get(facts, v["t"])["need"] - 0.5, F.lit(False)))
+    rows = rows.withColumn("agreed", agreed)
+    verified = F.filter("agreed", lambda v: F.forall(F.get(facts, v["t"])["keys"], lambda k: holds(v, k, F.get(facts, v["t"])["tolerance"])))
+
+    def told(v: Column) -> Column:
+        fact = F.get(facts, v["t"])
+        return F.struct(v["t"].alias("template"), v["d"].alias("at"), fact["label"].alias("label"), fact["base"].alias("base"), v["share"].alias("share"), (v["share"] * fact["specific"]).alias("score"))
+
+    return rows.select("doc_id", "n_words", F.coalesce(F.transform(verified, told).cast(_FOUND), F.array().cast(_FOUND)).alias("found"))
 
 
 def summarised(found: DataFrame) -> DataFrame:

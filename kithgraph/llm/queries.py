@@ -5,6 +5,7 @@ Only these thin queries know table names; a table's path is always read by Spark
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,7 +72,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
-    found = warc.read_archives(warc.write_archives(pages))
+    found = warc.read_archives(warc.write_archives(pages), ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
     return found.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
 
 
@@ -81,44 +82,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _license_sql() -> str:
-    """Words joined by blanks; a template stands where its phrases stand at their places."""
-
-    def pattern(t: license_scan.Template) -> str:
-        out, end = "", 0
-        for at, phrase in t.phrases:
-            out += f"( [^ ]+){{{at - end}}}" * (at > end) + " " + phrase
-            end = at + len(phrase.split())
-        return out + " "
-
-    base = [t for t in license_scan.TEMPLATES if t.base]
-    starts = " || ".join(f"[{{'i': i - 1, 'l': '{t.label}'}} for i in generate_series(1, len(w)) if w[i:i + {t.size - 1}] = {t.phrases[0][1].split()!r}]" for t in base)
-    labels = ", ".join(f"CASE WHEN regexp_matches(s, '{pattern(t)}') THEN '{t.label}' END" for t in license_scan.TEMPLATES)
-    scores = ", ".join(f"CASE WHEN regexp_matches(s, '{pattern(t)}') THEN {t.score!r} ELSE 0.0 END" for t in license_scan.TEMPLATES)
+    """Votes as a join with the indexed words, those within the tolerance counted, key phrases looked for near their places."""
+    templates = license_scan.TEMPLATES
+    index = license_scan.index_of(templates)
+    need = license_scan.needed(templates, index)
+    size = Counter(a.template for a in index)
+    anchors = ", ".join(f"({a.template}, {a.number}, {a.at}, '{a.word}')" for a in index)
+    facts = ", ".join(f"({n}, {need[n]}, {t.tolerance}, {size[n]}, '{t.label}', {str(t.base).lower()}, {t.specific!r})" for n, t in enumerate(templates))
+    keys = ", ".join(f"({n}, {at}, {k}, ' {p} ')" for n, t in enumerate(templates) for at, k, p in t.keys)
     return f"""
-WITH words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.WORD}') AS w FROM documents
-), places AS (
-  SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s, {starts} AS b FROM words
+WITH anchors(t, a, place, word) AS (VALUES {anchors}),
+facts(t, need, tolerance, indexed, label, base, specific) AS (VALUES {facts}),
+keys(t, place, n, phrase) AS (VALUES {keys}),
+words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.WORD}') AS w FROM documents
+), hits AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM words
+), votes AS (
+  SELECT DISTINCT h.r, a.t, a.a, h.i - a.place AS d FROM hits h JOIN anchors a USING (word)
+), agreed AS (
+  SELECT v.r, v.t, v.d, count(DISTINCT x.a) AS n
+  FROM (SELECT DISTINCT r, t, d FROM votes) v JOIN facts f USING (t) JOIN votes x ON x.r = v.r AND x.t = v.t AND x.d BETWEEN v.d AND v.d + f.tolerance
+  GROUP BY v.r, v.t, v.d, f.need HAVING count(DISTINCT x.a) >= f.need
+), looked AS (
+  SELECT g.r, g.t, g.d, g.n, contains(' ' || array_to_string(w.w[greatest(0, g.d + k.place - f.tolerance) + 1:greatest(0, g.d + k.place + k.n + f.tolerance)], ' ') || ' ', k.phrase) AS holds
+  FROM agreed g JOIN facts f USING (t) JOIN keys k USING (t) JOIN words w ON w.r = g.r
+), found AS (
+  SELECT l.r, l.d, f.label, f.base, l.n / f.indexed * f.specific AS score
+  FROM (SELECT r, t, d, n FROM looked GROUP BY r, t, d, n HAVING bool_and(holds)) l JOIN facts f USING (t)
 )
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(b) AS BIGINT) AS n_base,
-  CAST(list_min([x.i for x in b]) AS BIGINT) AS first_word, CAST(list_max([x.i for x in b]) AS BIGINT) AS last_word,
-  array_to_string(list_sort(list_distinct([x.l for x in b])), ',') AS base_labels,
-  array_to_string(list_sort(list_distinct([x for x in [{labels}] if x IS NOT NULL])), ',') AS labels,
-  CAST(greatest({scores}) AS DOUBLE) AS score
-FROM places"""
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, count(*) FILTER (f.base) AS n_base,
+  CAST(min(f.d) FILTER (f.base) AS BIGINT) AS first_word, CAST(max(f.d) FILTER (f.base) AS BIGINT) AS last_word,
+  coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label) FILTER (f.base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label), '') AS labels,
+  CAST(coalesce(max(f.score), 0) AS DOUBLE) AS score
+FROM words w LEFT JOIN found f ON f.r = w.r
+GROUP BY w.r, w.doc_id, w.w"""
 
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": _license_sql(),
     "op7_chat_snapshots": """
-WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-logged AS (
-  SELECT conv_id, count(*) AS n, string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS rendered
-  FROM turns GROUP BY conv_id
+WITH turns AS (
+  SELECT conv_id, turn, '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+), placed AS (
+  SELECT conv_id, rendered, row_number() OVER w AS place, coalesce(sum(length(rendered)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), logged AS (
+  SELECT conv_id, count(*) AS n, string_agg(rendered, '' ORDER BY place) AS whole FROM placed GROUP BY conv_id
 ), distinct_logged AS (
-  SELECT min(conv_id) AS conv_id, n, rendered, count(*) AS copies FROM logged GROUP BY n, rendered
+  SELECT min(conv_id) AS conv_id, n, whole, count(*) AS copies FROM logged GROUP BY n, whole
 )
-SELECT a.conv_id, CAST(0 AS INTEGER) AS part, CAST(a.n AS BIGINT) AS n_turns, CAST(a.copies AS BIGINT) AS n_copies, a.rendered
-FROM distinct_logged a
-WHERE NOT EXISTS (SELECT 1 FROM distinct_logged b WHERE b.n > a.n AND starts_with(b.rendered, a.rendered))""",
+SELECT a.conv_id, CAST(p.place AS BIGINT) AS place, CAST(a.n AS BIGINT) AS n_turns, CAST(a.copies AS BIGINT) AS n_copies, CAST(p.start AS BIGINT) AS start, p.rendered
+FROM distinct_logged a JOIN placed p ON p.conv_id = a.conv_id
+WHERE NOT EXISTS (SELECT 1 FROM distinct_logged b WHERE b.n > a.n AND starts_with(b.whole, a.whole))""",
 }
