@@ -14,6 +14,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
+import zstandard as zstd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from kithgraph.llm import chat, gif, media, mixing, shared, similar, simhash, warc
@@ -64,7 +65,7 @@ def _check_mix(df) -> None:
 
 def test_mix(docs, odd, nothing):
     _check_mix(docs)
-    _check_mix(odd.where("doc_id is null or doc_id <> 5").repartition(2))
+    _check_mix(odd)
     assert mixing.mix(nothing).collect() == []
 
 
@@ -82,18 +83,46 @@ def test_repeated_has_the_copies(docs, odd):
         assert Counter(r["doc_id"] for r in got.collect()) == +expected
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 5000), st.integers(1, 50)), min_size=1, max_size=30), st.floats(0.01, 2.0))
-def test_tilt_meets_its_constraint(groups, part):
-    size, n = np.array(groups, float).T
-    target = part * float((size * n).sum())
-    rate = mixing.tilt(size, n, target)
-    assert (rate >= 0).all() and (rate <= 2).all()
-    assert float((n * size * rate).sum()) == pytest.approx(target, rel=1e-6)
-    inner = (rate > 1e-12) & (rate < 2 * (1 - 1e-9))
-    if inner.sum() > 1:  # exponential in the size, with one multiplier
-        slope = np.log(rate[inner]) / size[inner]
-        assert np.allclose(slope, slope[0], rtol=1e-4, atol=1e-9)
+def _newton(size: np.ndarray, n: np.ndarray, target: float) -> np.ndarray:
+    """Rates min(2, exp(a * size)) by halving."""
+    low, high = -100.0, 100.0
+    for _ in range(400):
+        a = (low + high) / 2
+        rate = np.minimum(2, np.exp(np.minimum(700, a * size / size.mean())))
+        low, high = (a, high) if float((n * size * rate).sum()) < target else (low, a)
+    return rate
+
+
+def test_tilts_meet_their_constraints(spark):
+    """All sources at once, against one at a time."""
+    rng = np.random.default_rng(5)
+    made, targets = [], []
+    for k in range(40):
+        size = np.unique(rng.integers(1, [30, 5000, 100_000][k % 3], int(rng.integers(1, 40))))
+        n = rng.integers(1, 50, len(size))
+        made += [(f"s{k}", False, int(a), int(b)) for a, b in zip(size, n, strict=True)]
+        targets.append((f"s{k}", False, float((size * n).sum()) * [0.01, 0.3, 0.9, 1.0, 1.5, 1.99, 2.0, 0.0][k % 8]))
+    histogram = table(spark, made, "_s string, _null boolean, size long, n long")
+    found = {r["_s"]: r for r in mixing.tilted(histogram, table(spark, targets, "_s string, _null boolean, target double")).collect()}
+    assert len(found) == len(targets)
+    for s, _, target in targets:
+        size, n = np.array([x[2:] for x in made if x[0] == s], float).T
+        rate = np.minimum(2, np.exp(np.minimum(700, found[s]["at"] * size / found[s]["mean"])))
+        assert float((n * size * rate).sum()) == pytest.approx(target, rel=1e-6, abs=1e-6)
+        if 0 < target < 2 * float((n * size).sum()):
+            assert np.allclose(rate, _newton(size, n, target), rtol=1e-4, atol=1e-9)
+
+
+@pytest.mark.parametrize("ids", [None, 7])
+def test_ties_are_decided_singly(spark, ids):
+    """Rows that agree in everything, a hot source of them, and texts that share an id."""
+    alike = [(ids, "ten words " * 5, "en", "a", None)] * 1600 + [(k, "other words of b " * 3, "en", "b", None) for k in range(100)]
+    df = table(spark, alike)
+    _check_mix(df)
+    took = Counter(r["copies"] for r in mixing.mix(df).collect() if r["source"] == "a")
+    again = Counter(r["copies"] for r in mixing.mix(df.repartition(5)).collect() if r["source"] == "a")
+    assert took == again and mixing.repeated(df).where("source = 'a'").count() == sum(c * n for c, n in took.items())
+    _check_mix(table(spark, [(ids, f"ten words {k} " * 5, "en", "a", None) for k in range(500)] + alike[-100:]))
 
 
 # --- near-duplicates
@@ -171,14 +200,6 @@ def test_components_of_a_long_chain(spark):
     assert found == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000, 1002: 1000}
 
 
-def test_representatives(odd, docs):
-    kept = simhash.representatives(odd).collect()
-    assert len([r for r in kept if r["doc_id"] is None]) == 2
-    ids = [r["doc_id"] for r in kept if r["doc_id"] is not None]
-    assert len(ids) == len(set(ids)) and 5 in ids
-    assert {r["doc_id"] for r in simhash.representatives(docs).collect()} == {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-
-
 # --- near copies by shingles
 
 
@@ -206,7 +227,9 @@ def _near_copies() -> list[str]:
     return out
 
 
-def test_near_copies_against_brute_force(spark, docs, odd):
+@pytest.mark.parametrize("block", [similar.BLOCK, 700, 100])
+def test_near_copies_against_brute_force(spark, docs, odd, block):
+    """With clusters of one block and of many."""
     made = table(spark, [(k, t, "en", "a", None) for k, t in enumerate(_near_copies())])
     for df in (made, docs, odd):
         texts = sorted({r["text"] or "" for r in df.collect()})
@@ -221,7 +244,7 @@ def test_near_copies_against_brute_force(spark, docs, odd):
             parent[find(i)] = find(j)
         data = table(spark, [(None, t, None, None, None) for t in texts])
         at = {r["v"]: texts.index(r["text"]) for r in data.select("text", similar.vertex().alias("v")).collect()}
-        root = {at[r["vertex"]]: at[r["root"]] for r in similar.linked_texts(df).collect()}
+        root = {at[r["vertex"]]: at[r["root"]] for r in similar.linked_texts(df, block).collect()}
         got, want = defaultdict(set), defaultdict(set)
         for i in range(len(texts)):
             got[root.get(i, i)].add(i)
@@ -258,8 +281,8 @@ def _conversations(turns: list[tuple]) -> list[tuple]:
             continue
         if c != min(same, key=lambda d: (d is None, d)):
             continue
-        text = "".join(f"<|im_start|>{r if r is not None else 'unknown'}\n{t or ''}<|im_end|>\n" for r, t in w)
-        out.append((c, 0, len(w), len(same), text))
+        each = [f"<|im_start|>{r if r is not None else 'unknown'}\n{t or ''}<|im_end|>\n" for r, t in w]
+        out += [(c, k + 1, len(w), len(same), sum(map(len, each[:k])), x) for k, x in enumerate(each)]
     return sorted(out, key=repr)
 
 
@@ -277,11 +300,15 @@ def test_snapshots(spark):
     assert chat.formatted(table(spark, [], TURNS)).collect() == []
 
 
-def test_long_conversations_come_in_parts(spark):
-    turns = [(1, k, "user", f"t{k}") for k in range(25)] + [(2, k, "user", f"t{k}") for k in range(20)]
-    got = sorted(chat.formatted(table(spark, turns, TURNS), part_turns=10).collect(), key=lambda r: r["part"])
-    assert [(r["conv_id"], r["part"], r["n_turns"]) for r in got] == [(1, 0, 25), (1, 1, 25), (1, 2, 25)]
-    assert "".join(r["rendered"] for r in got) == _conversations(turns)[0][4]
+def test_conversations_of_any_length(spark):
+    turns = [(1, k, "user", f"é{k}") for k in range(3000)] + [(2, k, "user", f"é{k}") for k in range(2000)] + [(3, 0, "user", "other")]
+    assert rows(chat.formatted(table(spark, turns, TURNS).repartition(5))) == _conversations(turns)
+
+
+def test_ids_of_other_types(spark):
+    turns = [("a", k, "user", f"t{k}") for k in range(5)] + [("b", k, "user", f"t{k}") for k in range(3)] + [(None, 0, "user", "x")]
+    df = table(spark, turns, TURNS.replace("conv_id long", "conv_id string"))
+    assert rows(chat.formatted(clashing(df).withColumn("_conv", F.lit(1)))) == _conversations(turns)
 
 
 # --- archives
@@ -325,11 +352,68 @@ def test_real_files_are_read(spark, tmp_path):
 @pytest.mark.parametrize("spoil", [lambda b: b[:-3], lambda b: b[:40] + b"\0\0\0\0" + b[44:], lambda b: b + b"junk-after-it"])
 def test_broken_archives_are_refused(spoil):
     good = warc.archive([warc.record("response", "1", "u", warc.digest_of(b"payload"), 7, b"payload", None)], b"")
-    assert [warc.parsed(b)[1] for b in warc.frames(good)] == [b"payload"]
+    assert [warc.parsed(b).payload for b in warc.frames(good)] == [b"payload"]
     with pytest.raises(warc.BadArchive):
         [warc.parsed(b) for b in warc.frames(spoil(good))]
 
 
+def _written(kind: str, fields: dict[str, str], block: bytes) -> bytes:
+    """A record by hand."""
+    named = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{kind}>", "WARC-Date": "2020-01-01T00:00:00Z", **fields, "Content-Length": str(len(block))}
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_all_types(spark):
+    http = {"Content-Type": "application/http; msgtype=response", "WARC-Target-URI": "http://h/"}
+    body = b"<html>hi</html>"
+    sha = warc.digest_of(body)
+    records = [
+        _written("warcinfo", {"Content-Type": "application/warc-fields"}, b"software: x\r\n"),
+        _written("request", http | {"Content-Type": "application/http;msgtype=request"}, b"GET / HTTP/1.1\r\n\r\n"),
+        _written("response", http, b"HTTP/1.1 200 OK\r\n\r\n" + body),
+        _written("response", http | {"WARC-Payload-Digest": "md5:abc", "X-Folded": "one\r\n two"}, b"HTTP/1.1 200 OK\r\n\r\n" + body),
+        _written("response", http | {"WARC-Payload-Digest": f"sha1:{hashlib.sha1(body).hexdigest()}"}, b"HTTP/1.1 200 OK\r\n\r\n" + body),
+        _written("revisit", http | {"WARC-Refers-To": "<urn:uuid:response>", "WARC-Payload-Digest": f"sha1:{sha}"}, b"HTTP/1.1 200 OK\r\n\r\n"),
+        _written("revisit", {"WARC-Profile": "p"}, b""),
+        _written("resource", {"Content-Type": "text/plain"}, b"as it is"),
+        _written("metadata", {}, b""),
+        _written("conversion", {"WARC-Target-URI": "u"}, b"text"),
+    ]
+    plain = b"".join(zstd.ZstdCompressor().compress(r) for r in records)
+    got = warc.read_archives(table(spark, [(bytearray(plain),), (bytearray(warc.archive(records, b"")),), (None,), (bytearray(b""),)], "content binary")).collect()
+    want = [("warcinfo", None, 13), ("request", "http://h/", 0), *[("response", "http://h/", len(body))] * 3, ("revisit", "http://h/", None), ("revisit", None, None), ("resource", None, 8), ("metadata", None, 0), ("conversion", "u", 4)]
+    assert sorted(map(repr, ((r["record_type"], r["url"], r["payload_bytes"]) for r in got))) == sorted(map(repr, want * 2))
+    assert {(r["refers_to"], r["payload_digest"]) for r in got if r["record_type"] == "revisit"} == {("<urn:uuid:response>", sha), (None, None)}
+    assert {r["payload_digest"] for r in got if r["record_type"] == "response"} == {sha}
+    assert {r["fields"].get("x-folded") for r in got} == {None, "one two"}
+
+
+@pytest.mark.parametrize(
+    "fields",
+    [{"Content-Length": "12x"}, {"Content-Length": "-1"}, {"Content-Length": "\u0663"}, {"WARC-Block-Digest": "sha1:AAAA"}, {"WARC-Payload-Digest": "sha1:AAAA"}, {"no colon": None}, {"X-Payload-Length": "0"}, {"X-Payload-Length": "seven"}],
+)
+def test_malformed_headers_are_refused(fields):
+    body = _written("resource", {}, b"payload")
+    assert warc.parsed(body).payload == b"payload"
+    for k, v in fields.items():
+        line = f"{k}: {v}\r\n" if v is not None else f"{k}\r\n"
+        bad = body.replace(b"Content-Length: 7\r\n", line.encode()) if k == "Content-Length" else body.replace(b"Content-Length", line.encode() + b"Content-Length")
+        with pytest.raises(warc.BadArchive):
+            warc.parsed(bad)
+    for bad in (body.replace(b"<urn", b"\xff<urn"), body.replace(b"WARC-Date: 2020-01-01T00:00:00Z\r\n", b""), body.replace(b"WARC-Date", b"WARC-Type: x\r\nWARC-Date")):
+        with pytest.raises(warc.BadArchive):
+            warc.parsed(bad)
+
+
+def test_frames_are_read_in_chunks():
+    rng = np.random.default_rng(1)
+    records = [bytes(rng.integers(0, 256, int(k), np.uint8)) for k in (0, 1, 4095, 4096, 5000, 70_000, 3_000_000, 2)]
+    for dictionary in (b"", zstd.train_dictionary(2000, [b"some words of a page %d" % k * 20 for k in range(200)]).as_bytes()):
+        assert list(warc.frames(warc.archive(records, dictionary))) == records
+    with pytest.raises(warc.BadArchive):
+        list(warc.frames(struct.pack("<II", 0x184D2A5D, 8) + struct.pack("<I", 0xFD2FB528) + b"bad!"))
+
+
 def test_wrong_lengths_are_refused():
     body = warc.record("response", "1", "u", warc.digest_of(b"payload"), 7, b"payload", None)
     for wrong in (body.replace(b"X-Payload-Length: 7", b"X-Payload-Length: 8"), body[:-5], body.replace(b"payload\r\n\r\n", b"paYload\r\n\r\n"), b"WARC/1.1\r\n\r\n"):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from kithgraph.llm import packing
+from kithgraph.llm import packing, tokens
 from kithgraph.llm.queries import tokenizer_path
 from tests.llm.conftest import ODD, clashing
 
@@ -47,6 +47,33 @@ def test_ids_come_with_pieces(odd):
         assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
 
 
+def _ids(encode, texts: list[str]) -> list[list[int]]:
+    body = [t.encode() for t in texts]
+    ids, bounds = encode(np.frombuffer(b"".join(body), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in body])]).astype(np.int64), 2)
+    return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def test_ids_are_the_library_s(monkeypatch):
+    """Words of much structure, every kind of pretoken's end, special tokens, and long texts cut into parts."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    rng = np.random.default_rng(6)
+    morse = "".join("ab"[k.bit_count() & 1] for k in range(4096))
+    some = ["é", "漢字。", "  ", "\n\n", " \u3000x", "'s", "'ll", " don't", "123", "abc", "!!", "\t", "a'", " ' ", "😀", "<|endoftext|>"]
+    odd = ["".join(rng.choice(some, int(rng.integers(1, 3000)))) for _ in range(20)]
+    texts = [morse + " " + morse.translate(str.maketrans("ab", "ba")), "", *odd]
+    want = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    encode = tokens.Pretokens(tokenizer_path())
+    assert _ids(encode, texts) == want
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    monkeypatch.setattr(tokens, "PART_BYTES", 100)
+    monkeypatch.setattr(tokens, "LOOK_BYTES", 64)
+    monkeypatch.setattr(tokens.parts, "__defaults__", (200,))
+    assert all(b"".join(tokens.parts(x.encode())) == x.encode() for x in texts) and max(len(list(tokens.parts(x.encode()))) for x in texts) > 20
+    assert _ids(encode, texts) == want
+
+
 def test_nothing(nothing):
     assert packing.pack_documents(nothing, tokenizer_path()).collect() == []
 
