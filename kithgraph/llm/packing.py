@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.llm import shared
-from kithgraph.llm.tokens import Pretokens
+from kithgraph.llm.tokens import Encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -212,7 +212,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Pretokens.of(tokenizer)
+        encode = Encoder.of(tokenizer)
         for batch, data, offsets in shared.pieces(batches, "text"):
             ids, bounds = encode(data, offsets, end_id)
             sizes = np.diff(bounds)

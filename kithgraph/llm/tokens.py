@@ -1,32 +1,32 @@
-"""Byte-level BPE over whole pieces of text, with one encoding for each different pretoken.
+"""Byte-level BPE: the ids of a tokenizers file, by the faster merging of tiktoken where that gives the same.
 
-The split into pretokens is done in numpy over code points; every pretoken that has
-not been met yet is encoded once, the rest are looked up by their bytes. A long text is
-worked on in parts that start where a pretoken starts whatever comes before. The file is
-one of the tokenizers library. Where its merges come in the order of their ids, which makes the
-ids themselves the ranks, tiktoken's faster merging gives the same ids and is used.
+It does where the file splits texts as byte-level BPE does by itself and its merges come
+in the order of their ids, which makes the ids themselves the ranks; otherwise the
+tokenizers library encodes. Texts are split at the file's special tokens first, and a long
+text is encoded in parts, cut where a pretoken starts whatever stands before and behind.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import regex
 import tiktoken
 
-#: Pretokens that a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
-#: Bytes of a part of a long text, and of the stretch in which its end is looked for.
-PART_BYTES, LOOK_BYTES = 1 << 20, 1 << 12
-_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
-#: What may follow an apostrophe as a pretoken of its own. Fixed values.
-_ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
+from kithgraph.llm.textbytes import texts_of
+
+#: How byte-level BPE splits a text: an apostrophe's ending, a run of letters, of numbers or of others with one
+#: blank before it, or white space without the last one before such a run. Fixed value, the pattern that is published with it.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: Characters of a part of a long text.
+PART = 1 << 20
+#: Behind a letter or number that something else follows a pretoken starts.
+_CUT = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -36,195 +36,77 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-def _merger(path: str) -> Callable[[bytes], list[int]] | None:
-    """From a pretoken's bytes to its ids, or None where the file doesn't allow it."""
-    model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
-    if model["type"] != "BPE":
+def _ranked(file: dict) -> tiktoken.Encoding | None:
+    """The file's merges as ranks, or None where it does more or other things."""
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if model["type"] != "BPE" or not usual or file.get("normalizer"):
         return None
     vocab, letters = model["vocab"], _byte_letters()
     made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
     if made != sorted(made) or len(made) + 256 > len(vocab):
         return None
-    single = {t for t in vocab if len(t) == 1}
     merged = {*made}
     try:
-        ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if i in merged or t in single}
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if i in merged or len(t) == 1}
     except KeyError:
         return None
-    return tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-
-
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """The class of every code point: white space, letter, number or other."""
-    out = np.full(0x110000, _OTHER, np.uint8)
-    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4")
-    text = points.tobytes().decode("utf-32-le")
-    for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
-        for m in regex.finditer(pattern, text):
-            out[points[m.start() : m.end()]] = kind
-    return out
-
-
-def pretoken_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pretokens start in the code points of all rows.
-
-    A pretoken is an apostrophe's ending, or a run of letters, of numbers or of others
-    with one blank before it, or white space without the last one before such a run.
-    """
-    n = len(points)
-    if not n:
-        return np.zeros(0, np.int64)
-    kind = _classes()[points]
-    first = np.zeros(n, bool)
-    first[offsets[:-1][offsets[:-1] < n]] = True
-    change = first.copy()
-    change[1:] |= kind[1:] != kind[:-1]
-    starts = change.copy()
-    # The last of a run of white space before something else in the same row.
-    last = np.zeros(n, bool)
-    last[:-1] = (kind[:-1] == _SPACE) & change[1:] & ~first[1:]
-    starts |= last
-    joined = np.flatnonzero(last & (points == 0x20))
-    starts[joined + 1] = False
-    # An apostrophe that starts a pretoken and has one of the endings behind it.
-    marks = np.flatnonzero((points == 0x27) & starts)
-    end = offsets[np.searchsorted(offsets, marks, "right")] if len(marks) else marks
-    for ending in _ENDINGS:
-        m = np.ones(len(marks), bool)
-        m &= marks + len(ending) < end
-        for k, c in enumerate(ending):
-            m &= points[np.minimum(marks + 1 + k, n - 1)] == ord(c)
-        found = marks[m]
-        starts[found + 1] = False
-        after = found + 1 + len(ending)
-        starts[after[after < n]] = True
-    return np.flatnonzero(starts)
-
-
-def parts(text: bytes, size: int = PART_BYTES) -> Iterator[bytes]:
-    """The text in parts of about `size` bytes, cut behind a letter or number that something of another class follows.
-
-    A pretoken starts there whatever stands before and behind, so the parts' ids make up the text's.
-    """
-    at, look = 0, size
-    while len(text) - at > look:
-        a, b = (_head(text, min(len(text), at + look + k)) for k in (0, LOOK_BYTES))
-        points = np.frombuffer(text[a:b].decode("utf-8").encode("utf-32-le"), "<u4")
-        kind = _classes()[points]
-        found = np.flatnonzero((kind[1:] != kind[:-1]) & ((kind[:-1] == _LETTER) | (kind[:-1] == _NUMBER)))
-        if not len(found):
-            look += LOOK_BYTES - 4  # stretches overlap, so no two neighbours are missed
-            continue
-        end = a + int(np.flatnonzero(_is_head(np.frombuffer(text[a:b], np.uint8)))[found[0] + 1])
-        yield text[at:end]
-        at, look = end, size
-    yield text[at:]
-
-
-def _is_head(data: np.ndarray) -> np.ndarray:
-    """Where a code point's first byte stands."""
-    return (data & 0xC0) != 0x80
+    return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _head(text: bytes, at: int) -> int:
-    """The first place from `at` back where a code point starts."""
-    while at < len(text) and text[at] & 0xC0 == 0x80:
-        at -= 1
-    return at
+def parts(text: str, size: int | None = None) -> Iterator[str]:
+    """The text in parts of about `size` characters whose ids make up the text's."""
+    size = PART if size is None else size
+    at = 0
+    while len(text) - at > size:
+        cut = _CUT.search(text, at + size)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+    if at < len(text) or not text:
+        yield text[at:]
 
 
-class Pretokens:
-    """Encodes pieces of UTF-8 with one tokenizer file."""
+class Encoder:
+    """Encodes texts with one tokenizer file."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.merge = _merger(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        #: Tokens that stand for a text of their own, wherever it occurs.
-        self.special = {t.content.encode(): k for k, t in added.items()}
-        self.at_special = regex.compile(b"|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if added else None
-        #: Whether a text is the tokens' texts and what stands between them, each by itself.
-        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
-        self.forget()
+        file = json.loads(Path(path).read_text(encoding="utf-8"))
+        added = file.get("added_tokens") or []
+        # Tokens that stand for a text of their own wherever it occurs, each by itself.
+        plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in added)
+        self.ranked = _ranked(file) if plain else None
+        self.special = {t["content"]: t["id"] for t in added}
+        self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if added else None
+        self.library = None
+        if self.ranked is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(path)
 
     @staticmethod
     @lru_cache(maxsize=2)
-    def of(path: str) -> Pretokens:
-        return Pretokens(path)
-
-    def forget(self) -> None:
-        self.number: dict[bytes, int] = {}  # of the known pretokens, from 1
-        self.flat = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)  # where the ids of a pretoken end
-
-    def learn(self, texts: list[bytes]) -> None:
-        """Encode new pretokens."""
-        count = len(self.number)
-        at = int(self.ends[count])
-        if self.merge:
-            found = list(map(self.merge, texts))
-        else:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        while at + sizes.sum() > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while count + len(found) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[at : at + sizes.sum()] = np.fromiter(chain.from_iterable(found), self.flat.dtype, int(sizes.sum()))
-        self.ends[count + 1 : count + 1 + len(found)] = at + np.cumsum(sizes)
-        self.number.update(zip(texts, range(count + 1, count + 1 + len(found)), strict=True))
-
-    def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows, end_id after each, and the bounds of the rows among them."""
-        body = data.tobytes()
-        if len(body) <= 2 * PART_BYTES and not (self.at_special and self.at_special.search(body)):
-            return self._rows(body, offsets, end_id)
-        each = [np.append(self._text(body[a:b]), np.uint32(end_id)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        return np.concatenate([np.zeros(0, np.uint32), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
-
-    def _text(self, text: bytes) -> np.ndarray:
-        """Ids of a text that may be long or hold special tokens."""
+    def of(path: str) -> Encoder:
+        return Encoder(path)
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.library is not None:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        if len(text) <= PART and not (self.at_special and self.at_special.search(text)):
+            return np.array(self.ranked.encode_ordinary(text), np.uint32)
         found, at = [np.zeros(0, np.uint32)], 0
-        marks = list(self.at_special.finditer(text)) if self.at_special else []
-        if marks and not self.plain:
-            return np.array(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids, np.uint32)
-        for m in [*marks, None]:
-            between = text[at : m.start() if m else len(text)]
-            found += [self._rows(p, np.array([0, len(p)]), 0)[0][:-1] for p in parts(between)]
-            if m:
-                found.append(np.array([self.special[m.group()]], np.uint32))
-                at = m.end()
+        for mark in [*(self.at_special.finditer(text) if self.at_special else ()), None]:
+            between = text[at : mark.start() if mark else len(text)]
+            found += [np.array(self.ranked.encode_ordinary(p), np.uint32) for p in parts(between)]
+            if mark:
+                found.append(np.array([self.special[mark.group()]], np.uint32))
+                at = mark.end()
         return np.concatenate(found)
 
-    def _rows(self, body: bytes, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = len(offsets) - 1
-        points = np.frombuffer(body.decode("utf-8").encode("utf-32-le"), "<u4")
-        is_head = _is_head(np.frombuffer(body, np.uint8))
-        heads = np.zeros(len(body) + 1, np.int64)
-        np.cumsum(is_head, out=heads[1:])
-        bounds = heads[offsets]
-        starts = pretoken_starts(points, bounds)
-        at = np.append(np.flatnonzero(is_head), len(body))
-        begins = [*at[starts].tolist(), len(body)]
-        texts = [body[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
-        if len(self.number) > REMEMBERED:
-            self.forget()
-        token = list(map(self.number.get, texts))
-        if None in token:
-            self.learn(list(dict.fromkeys(t for t, n in zip(texts, token, strict=True) if n is None)))
-            token = list(map(self.number.get, texts))
-        token = np.array(token, np.int64)
-        begin = self.ends[token - 1]
-        size = self.ends[token] - begin
-        row = np.repeat(np.arange(rows), np.diff(np.searchsorted(starts, bounds)))
-        out_bounds = np.concatenate([[0], np.cumsum(np.bincount(row, size, rows).astype(np.int64) + 1)])
-        # The place of each id in the output: after the ids before it and an end id for each row before.
-        to = np.cumsum(size) - size + row
-        ids = np.full(out_bounds[-1], end_id, np.uint32)
-        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        ids[np.repeat(to, size) + step] = self.flat[np.repeat(begin, size) + step]
-        return ids, out_bounds
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of UTF-8, end_id after each, and the bounds of the rows among them."""
+        end = np.array([end_id], np.uint32)
+        each = [x for text in texts_of(data, offsets) for x in (self.ids(text.decode("utf-8")), end)]
+        sizes = np.fromiter(map(len, each[::2]), np.int64, len(each) // 2) + 1
+        return np.concatenate([np.zeros(0, np.uint32), *each]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)

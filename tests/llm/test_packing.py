@@ -62,18 +62,28 @@ def test_ids_are_the_library_s(monkeypatch):
     morse = "".join("ab"[k.bit_count() & 1] for k in range(4096))
     some = ["é", "漢字。", "  ", "\n\n", " \u3000x", "'s", "'ll", " don't", "123", "abc", "!!", "\t", "a'", " ' ", "😀", "<|endoftext|>"]
     odd = ["".join(rng.choice(some, int(rng.integers(1, 3000)))) for _ in range(20)]
-    texts = [morse + " " + morse.translate(str.maketrans("ab", "ba")), "", *odd]
+    texts = [morse + " " + morse.translate(str.maketrans("ab", "ba")), "", "x" * 5000, *odd]
     want = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
-    encode = tokens.Pretokens(tokenizer_path())
+    encode = tokens.Encoder(tokenizer_path())
+    assert encode.ranked is not None and _ids(encode, texts) == want
+    monkeypatch.setattr(tokens, "PART", 100)
+    assert all("".join(tokens.parts(x)) == x for x in texts) and max(len(list(tokens.parts(x))) for x in texts) > 20
     assert _ids(encode, texts) == want
-    monkeypatch.setattr(tokens, "REMEMBERED", 50)
-    monkeypatch.setattr(tokens, "PART_BYTES", 100)
-    monkeypatch.setattr(tokens, "LOOK_BYTES", 64)
-    monkeypatch.setattr(tokens.parts, "__defaults__", (200,))
-    assert all(b"".join(tokens.parts(x.encode())) == x.encode() for x in texts) and max(len(list(tokens.parts(x.encode()))) for x in texts) > 20
+    encode.library = t
     assert _ids(encode, texts) == want
 
 
+def test_every_character_is_split_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    encode = tokens.Encoder(tokenizer_path())
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1 {c}b  {c}" for c in points[k : k + 256]) for k in range(0, len(points), 256)]
+    for text, e in zip(texts, t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert encode.ids(text).tolist() == e.ids
+
+
 def test_nothing(nothing):
     assert packing.pack_documents(nothing, tokenizer_path()).collect() == []
 
