@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,8 +67,23 @@ def links_of(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'(?i)href="([^"]+)"'), F.lit(1))
 
 
-def distance2(ax: Column, ay: Column, az: Column, bx: Column, by: Column, bz: Column) -> Column:
-    return (ax - bx) * (ax - bx) + (ay - by) * (ay - by) + (az - bz) * (az - bz)
+def bare_id(prefixed: Column) -> Column:
+    """An id without the t1_ or t3_ in front of it."""
+    return F.regexp_replace(prefixed, "^t[13]_", "")
+
+
+def post_of_permalink(permalink: Column) -> Column:
+    """The part behind the first part named comments; empty without one."""
+    return F.coalesce(F.nullif(F.regexp_extract(permalink, "(?:^|/)comments/([^/]*)", 1), F.lit("")), F.lit(""))
+
+
+def known_author(author: Column) -> Column:
+    return F.coalesce((author != "") & (author != "[deleted]"), F.lit(False))
+
+
+def path_segment(text: Column) -> Column:
+    """A text as one segment of a URL's path: blanks as %20."""
+    return F.regexp_replace(F.url_encode(text), r"\+", "%20")
 
 
 def next_run(expression: str, now: Column) -> Column:
@@ -91,12 +104,34 @@ def retry_minutes(attempt: Column) -> Column:
     return F.least(F.pow(F.lit(2.0), attempt), F.lit(1440.0))
 
 
-def hex_shade(channel: Column, factor: float) -> Column:
-    """One channel of a colour, lightened (factor over 0) or darkened, as two hex digits."""
-    moved = channel + (F.lit(255) - channel) * factor if factor >= 0 else channel * (1 + factor)
-    return F.lpad(F.lower(F.hex(F.round(moved).cast("int"))), 2, "0")
+def retry_delay(attempt: Column, *key: Column, jitter: float = 0.2) -> Column:
+    """The wait in minutes, lengthened by up to a fifth by a hash of the key, so reruns agree."""
+    part = F.pmod(F.xxhash64(*key), F.lit(10_000)) / 10_000.0
+    return retry_minutes(attempt) * (1 + jitter * part)
+
+
+def shade(colour: Column, position: Column, sureness: Column) -> Column:
+    """A colour (#RRGGBB), dimmed to 72 % where nothing is sure, then moved by up to 16 % towards white (position over 0) or black."""
+    at = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), position))
+    light = 0.72 + 0.28 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), sureness))
+    channels = []
+    for k in (2, 4, 6):
+        c = F.conv(F.substring(colour, k, 2), 16, 10).cast("double") * light
+        moved = F.when(at >= 0, c + (255 - c) * at * 0.16).otherwise(c * (1 + at * 0.16))
+        channels.append(F.lpad(F.hex(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), moved)) + 0.5).cast("long")), 2, "0"))
+    return F.concat(F.lit("#"), *channels)
+
+
+def is_bridge(primary: Column, secondary: Column) -> Column:
+    """Whether a community's second macro group is nearly as close as its own."""
+    return (secondary >= 0.30) & (primary > 0) & (secondary >= 0.55 * primary)
+
+
+def distinctiveness(strength: Column) -> Column:
+    """How strongly a community's members are tied, from 0 to 1."""
+    return F.least(F.lit(1.0), strength / (1 + strength))
 
 
-def clock() -> datetime:
-    """Now, for defaults of operators that take a time."""
-    return datetime.now(UTC)
+def confidence(size: Column) -> Column:
+    """Full from twenty members on."""
+    return F.least(F.lit(1.0), size / 20.0)

@@ -56,3 +56,28 @@ def verify(secret: bytes, cursor: str, revision: str, catalog: str, filters: dic
 def page_limit(asked: int | None, default: int, most: int) -> int:
     """A limit in its range: the default where none is asked for."""
     return min(max(1, default if asked is None else asked), most)
+
+
+class Moved(BadCursor):
+    """A cursor of another revision or place; the reader has to begin anew."""
+
+
+def pin(kind: str, start: int, **where: object) -> str:
+    """A cursor of a region, community or entity read: where it goes on, and what it was made for."""
+    return base64.urlsafe_b64encode(json.dumps({"kind": kind, "start": start, "where": where}, sort_keys=True).encode()).decode()
+
+
+def pinned(kind: str, cursor: str | None, **where: object) -> int:
+    """Where to go on; 0 without a cursor. Raises Moved for one that was made for something else."""
+    if not cursor:
+        return 0
+    try:
+        found = json.loads(base64.urlsafe_b64decode(cursor.encode()))
+        start, made = int(found["start"]), found["where"]
+    except (ValueError, KeyError, TypeError) as e:
+        raise BadCursor("not a cursor") from e
+    if start < 0:
+        raise BadCursor("not a cursor")
+    if found.get("kind") != kind or made != json.loads(json.dumps(where)):
+        raise Moved(f"made for {found.get('kind')} {made}")
+    return start

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithgraph.functions.columns import is_bridge
+
 #: The layers of evidence and their weights.
 LAYERS = {"active": 0.60, "authors": 0.20, "repeat": 0.10, "cross": 0.10}
 #: Observations at which evidence counts half.
@@ -104,7 +106,7 @@ def macro_share(edges: DataFrame, members: DataFrame) -> DataFrame:
     by = by.withColumn("total", F.sum("s").over(Window.partitionBy("id")))
     share = F.col("s") / F.col("total")
     agg = by.groupBy("id").agg(F.coalesce(F.sum(F.when(F.col("group_id") == F.col("own"), share)), F.lit(0.0)).alias("primary_share"), F.coalesce(F.max(F.when(F.col("group_id") != F.col("own"), share)), F.lit(0.0)).alias("secondary_share"))
-    return agg.withColumn("is_bridge", (F.col("secondary_share") >= 0.30) & (F.col("secondary_share") >= 0.55 * F.col("primary_share")))
+    return agg.withColumn("is_bridge", is_bridge(F.col("primary_share"), F.col("secondary_share")))
 
 
 def layers_of(scored_edges: DataFrame) -> DataFrame:

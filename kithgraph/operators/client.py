@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kithgraph.functions.columns import weight
 from kithgraph.operators.relational import degrees, links_among, tagged
+from kithgraph.operators.spatial import bundle_weights, centroids
 
 
 def _is(column: str, kind: str) -> F.Column:
@@ -46,10 +47,32 @@ def with_degree(nodes: DataFrame, links: DataFrame, least: int, most: int) -> Da
 
 
 def linked_only(nodes: DataFrame, links: DataFrame, exempt: str = "community") -> DataFrame:
-    """Nodes with a link, and those of the exempt type."""
-    ends = links.select(F.explode(F.array("source", "target")).alias("id"))
-    free = nodes.where(F.col("type") == exempt)
-    return free.unionByName(nodes.where(F.col("type") != exempt).join(ends, "id", "left_semi").select(*nodes.columns))
+    """Nodes with a link, and those of the exempt type; all nodes of a scene without links."""
+    ends = links.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("_linked", F.lit(True))
+    any_ = links.limit(1).agg((F.count("*") > 0).alias("_any"))
+    found = nodes.join(ends, "id", "left").crossJoin(F.broadcast(any_))  # any: one row
+    return found.where(~F.col("_any") | F.col("_linked") | F.coalesce(F.col("type") == exempt, F.lit(False))).select(*nodes.columns)
+
+
+def render_cap(nodes: DataFrame, links: DataFrame, metric: DataFrame, most_nodes: int, most_links: int) -> DataFrame:
+    """The nodes with the largest of degree (communities: their metric, of id and metric) and value, and the links among them."""
+    ranked = nodes.join(degrees(links), "id", "left").join(metric.select("id", "metric"), "id", "left")
+    drawn = F.when(F.col("type") == "community", F.coalesce("metric", F.lit(0))).otherwise(F.coalesce("degree", F.lit(0)))
+    kept = ranked.withColumn("_w", F.greatest(drawn.cast("double"), weight().cast("double"))).orderBy(F.desc("_w"), "id").limit(most_nodes)
+    return tagged(kept, links_among(links, kept, most_links))
+
+
+def bundled_links(links: DataFrame, members: DataFrame, base: float = 1.0) -> DataFrame:
+    """source, target, n_links, width and the centroids of both ends, for links (source, target) between communities of positioned members.
+
+    The width grows with the logarithm of the number of links.
+    """
+    across = bundle_weights(links, members)
+    centre = centroids(members).drop("n")
+    a = centre.select(F.col("community_id").alias("source"), *(F.col(f"pos_{k}").alias(f"from_{k}") for k in "xyz"))
+    b = centre.select(F.col("community_id").alias("target"), *(F.col(f"pos_{k}").alias(f"to_{k}") for k in "xyz"))
+    j = across.join(a, "source").join(b, "target")
+    return j.select("source", "target", F.col("weight").alias("n_links"), (base * (1 + F.log10("weight"))).alias("width"), *(f"{e}_{k}" for e in ("from", "to") for k in "xyz"))
 
 
 def labels(nodes: DataFrame, links: DataFrame, most: int = 200) -> DataFrame:

@@ -1,21 +1,26 @@
 """Modularity, label propagation, and Louvain with its hierarchy.
 
 Label propagation and modularity are distributed. Louvain visits nodes one after another
-by definition, so its kernel runs on a graph whose size the caller caps.
+by definition, so its kernel (louvain.py) runs in one task; larger graphs are merged by
+label propagation until they fit one.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithgraph.functions.columns import weight
 from kithgraph.operators.layout import fnv1a
+from kithgraph.operators.louvain import multilevel, nested
+from kithgraph.operators.relational import links_among, top_nodes
+from kithgraph.plans.staging import staged
 
-#: Links of a capped graph; more belong to label propagation.
+#: Links of a graph that one task takes; larger ones are merged first.
 KERNEL_LINKS = 2_000_000
 
 
@@ -31,12 +36,13 @@ def modularity(links: DataFrame, members: DataFrame) -> DataFrame:
     return total.crossJoin(inner).crossJoin(by).select((F.col("w") / F.col("m2") - F.col("kk") / (F.col("m2") * F.col("m2"))).alias("modularity"))  # one-row frames
 
 
-def label_propagation(links: DataFrame, stage: Callable[[DataFrame], DataFrame], sweeps: int = 20) -> DataFrame:
-    """id and label: in every sweep each node takes the heaviest label around it, the smaller one of ties.
+def label_propagation(links: DataFrame, stage: Callable[[DataFrame], DataFrame] = staged, sweeps: int = 100) -> DataFrame:
+    """id and label: in every sweep each node takes the heaviest label around it, the smaller one of ties, until none changes.
 
     Synchronous with a node's own label counted once, so results don't depend on any order.
-    stage cuts the lineage after a sweep (a checkpoint or a written table).
+    stage cuts the lineage after a sweep; links are undirected, loops don't count.
     """
+    links = links.where("u <> v")
     both = stage(links.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("other"), "weight"), F.struct(F.col("v").alias("id"), F.col("u").alias("other"), "weight"))).alias("e")).select("e.*"))
     now = both.select("id").distinct().withColumn("label", F.col("id"))
     for _ in range(sweeps):
@@ -52,82 +58,144 @@ def label_propagation(links: DataFrame, stage: Callable[[DataFrame], DataFrame],
     return now
 
 
-def louvain(edges: list[tuple[str, str, float]], resolution: float = 1.0, sweeps: int = 50) -> list[dict[str, int]]:
-    """Levels of Louvain on undirected weighted edges: node to community for each level, finest first.
+def louvain(edges: list[tuple[str, str, float]], resolution: float = 1.0) -> list[dict[str, int]]:
+    """Levels of Louvain on undirected weighted edges: node to community for each level, finest first."""
+    return multilevel([edges], [1.0], resolution)[0]
 
-    Nodes are visited in the order of their ids and candidates in ascending order; only a gain over zero moves a node.
-    """
-    names = sorted({x for u, v, _ in edges for x in (u, v)})
-    index = {x: k for k, x in enumerate(names)}
-    graph: list[dict[int, float]] = [defaultdict(float) for _ in names]
-    for u, v, w in edges:
-        if u != v:
-            graph[index[u]][index[v]] += w
-            graph[index[v]][index[u]] += w
-    loops = [0.0] * len(names)
-    at = list(range(len(names)))  # the current vertex of each node
-    levels = []
-    while True:
-        degree = [sum(a.values()) + 2 * loop for a, loop in zip(graph, loops, strict=True)]
-        m2 = sum(degree)
-        if not m2:
-            break
-        label, inside = list(range(len(graph))), degree.copy()
-        for _ in range(sweeps):
-            moved = False
-            for i, around in enumerate(graph):
-                to: dict[int, float] = defaultdict(float)
-                for j, w in around.items():
-                    to[label[j]] += w
-                own = label[i]
-                inside[own] -= degree[i]
-                best, gain = own, to.get(own, 0.0) - resolution * degree[i] * inside[own] / m2
-                for c in sorted(to):
-                    g = to[c] - resolution * degree[i] * inside[c] / m2
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                inside[best] += degree[i]
-                if best != own:
-                    label[i], moved = best, True
-            if not moved:
-                break
-        kept = {c: k for k, c in enumerate(sorted(set(label)))}
-        if len(kept) == len(graph):
-            break
-        at = [kept[label[v]] for v in at]
-        levels.append(dict(zip(names, at, strict=True)))
-        merged: list[dict[int, float]] = [defaultdict(float) for _ in kept]
-        more = [0.0] * len(kept)
-        for i, around in enumerate(graph):
-            a = kept[label[i]]
-            more[a] += loops[i]
-            for j, w in around.items():
-                b = kept[label[j]]
-                if a == b:
-                    more[a] += w / 2
-                else:
-                    merged[a][b] += w
-        graph, loops = merged, more
-        if len(kept) <= 1:
-            break
-    return levels or [dict(zip(names, at, strict=True))]
 
+def coarsened(links: DataFrame, most: int = KERNEL_LINKS) -> tuple[DataFrame, DataFrame | None]:
+    """links (u, v, weight) between groups small enough for one task, and the members (id, group) where nodes were merged.
 
-def hierarchy(links: DataFrame, resolutions: list[float], levels: int = 3) -> DataFrame:
-    """resolution, level (from 1), id and community_id; one task for each resolution on the same capped links (u, v, weight)."""
-    n = links.limit(KERNEL_LINKS + 1).count()
-    if n > KERNEL_LINKS:
-        raise ValueError(f"over {KERNEL_LINKS} links; cap them, or use label_propagation")
+    Groups come from label propagation, which is distributed, once or several times;
+    weights between them add up and weights inside become loops. Ends where it no longer helps.
+    """
+    members, before = None, math.inf
+    while (n := links.count()) > most and n < 0.9 * before:
+        before = n
+        label = staged(label_propagation(links, sweeps=5), "coarse-labels")
+        a, b = (label.select(F.col("id").alias(c), F.col("label").alias(f"g{c}")) for c in "uv")
+        between = links.join(a, "u").join(b, "v").groupBy(F.least("gu", "gv").alias("u"), F.greatest("gu", "gv").alias("v")).agg(F.sum("weight").alias("weight"))
+        links = staged(between, "coarse-links")
+        step = label.select("id", F.col("label").alias("group"))
+        if members is not None:
+            step = members.join(step.select(F.col("id").alias("_at"), F.col("group").alias("_to")), F.col("group") == F.col("_at")).select("id", F.col("_to").alias("group"))
+        members = staged(step, "coarse-members")
+    return links, members
+
+
+def hierarchy(links: DataFrame, resolutions: list[float], levels: int = 3, most: int = KERNEL_LINKS) -> DataFrame:
+    """resolution, level (from 1), id and community_id, numbered by the smallest member; one task for each resolution.
+
+    More than `most` links (u, v, weight) are merged first, see coarsened().
+    """
+    links, members = coarsened(links, most)
 
     def kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["u", "v"])
-        found = louvain(list(zip(rows["u"], rows["v"], rows["weight"].astype(float), strict=True)), float(key[0]))
+        found, _ = multilevel([zip(rows["u"], rows["v"], rows["weight"].astype(float), strict=True)], [1.0], float(key[0]))
         out = [pd.DataFrame({"resolution": float(key[0]), "level": k + 1, "id": list(f), "community_id": list(f.values())}) for k, f in enumerate(found[:levels])]
-        return pd.concat(out) if out else pd.DataFrame({"resolution": [], "level": [], "id": [], "community_id": []})
+        return pd.concat(out)
 
     kind = links.schema["u"].dataType.simpleString()
     each = links.select("u", "v", "weight", F.explode(F.array(*map(F.lit, map(float, resolutions)))).alias("resolution"))
-    return each.groupBy("resolution").applyInPandas(kernel, f"resolution double, level int, id {kind}, community_id long")
+    found = each.groupBy("resolution").applyInPandas(kernel, f"resolution double, level int, id {kind}, community_id long")
+    if members is None:
+        return found
+    return found.withColumnRenamed("id", "group").join(members, "group").select("resolution", "level", "id", "community_id")
+
+
+def multiplex_partitions(layers: DataFrame, resolutions: list[float]) -> DataFrame:
+    """resolution, id, community_id and modularity of Louvain over layers (layer, u, v, raw, weight), one task for each resolution.
+
+    raw are the links' strengths, weight is the layer's; links without strength and loops don't
+    count. A graph over KERNEL_LINKS is merged first, by all layers together.
+    """
+    rows = layers.where("raw > 0 and u <> v").select("layer", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "raw", "weight")
+    _, members = coarsened(multiplex(rows))
+    if members is not None:
+        a, b = (members.select(F.col("id").alias(c), F.col("group").alias(f"g{c}")) for c in "uv")
+        merged = rows.join(a, "u").join(b, "v").groupBy("layer", F.least("gu", "gv").alias("u"), F.greatest("gu", "gv").alias("v"))
+        rows = merged.agg(F.sum("raw").alias("raw"), F.max("weight").alias("weight"))
+
+    def kernel(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [p for _, p in sorted(frame.groupby("layer"))]
+        edges = [zip(p["u"], p["v"], p["raw"].astype(float), strict=True) for p in parts]
+        found, q = multilevel(edges, [float(p["weight"].iloc[0]) for p in parts], float(key[0]))
+        return pd.DataFrame({"resolution": float(key[0]), "id": list(found[-1]), "community_id": list(found[-1].values()), "modularity": q})
+
+    kind = rows.schema["u"].dataType.simpleString()
+    each = rows.withColumn("resolution", F.explode(F.array(*map(F.lit, map(float, resolutions)))))
+    found = each.groupBy("resolution").applyInPandas(kernel, f"resolution double, id {kind}, community_id long, modularity double")
+    if members is None:
+        return found
+    return found.withColumnRenamed("id", "group").join(members, "group").select("resolution", "id", "community_id", "modularity")
+
+
+def nested_communities(nodes: DataFrame, links: DataFrame, most_nodes: int = 10_000, most_links: int = 50_000) -> DataFrame:
+    """level, id, community_id, finer_id, coarser_id and modularity of nested communities of the heaviest nodes.
+
+    finer_id is the community of the level before that a community consists of alone, else
+    null; coarser_id the one of the next level that holds it. The graph is capped, so it fits one task.
+    """
+    kept = top_nodes(nodes, most_nodes).select("id", weight().alias("w"))
+    among = links_among(links, kept, most_links)
+    rows = kept.select(F.col("id").alias("source"), F.lit(None).cast("string").alias("target"), "w")
+    both = rows.unionByName(among, allowMissingColumns=True).withColumn("one", F.lit(1))
+
+    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame[frame["target"].isna()].sort_values(["w", "source"], ascending=[False, True])
+        e = frame.dropna(subset=["target"])
+        found = nested(own["source"].tolist(), list(zip(e["source"], e["target"], strict=True)))
+        out = []
+        for at, after in zip(found, [*found[1:], None], strict=True):
+            ids = list(at.community)
+            coarser = [after.community[x] if after else None for x in ids]
+            finer = [at.finer.get(c) for c in at.community.values()]
+            out.append(pd.DataFrame({"level": at.level, "id": ids, "community_id": list(at.community.values()), "finer_id": finer, "coarser_id": coarser, "modularity": at.modularity}).astype({"finer_id": "Int64", "coarser_id": "Int64"}))
+        return pd.concat(out)
+
+    return both.groupBy("one").applyInPandas(kernel, "level int, id string, community_id long, finer_id long, coarser_id long, modularity double")
+
+
+def flat_communities(nodes: DataFrame, links: DataFrame, most_nodes: int = 10_000, most_links: int = 50_000) -> DataFrame:
+    """id and community_id of one pass over the heaviest nodes with unit weights, see louvain.flat()."""
+    found = nested_communities(nodes, links, most_nodes, most_links)
+    return found.where("level = 1").select("id", "community_id")
+
+
+def from_hierarchy(found: DataFrame) -> DataFrame:
+    """community_id, label, size and modularity of the communities of level 1 of nested ones."""
+    by = found.where("level = 1").groupBy("community_id").agg(F.count("*").alias("size"), F.max("modularity").alias("modularity"))
+    return by.select("community_id", F.concat(F.lit("Community "), (F.col("community_id") + 1).cast("string")).alias("label"), "size", "modularity")
+
+
+def stored_hierarchy(found: DataFrame, positions: DataFrame) -> DataFrame:
+    """id, level, community_id, finer_id and the community's centroid: nested communities as rows to store."""
+    placed = found.join(positions.select("id", "pos_x", "pos_y", "pos_z"), "id", "left")
+    centre = placed.groupBy("level", "community_id").agg(*(F.avg(f"pos_{a}").alias(f"centroid_{a}") for a in "xyz"))
+    return found.select("id", "level", "community_id", "finer_id").join(centre, ["level", "community_id"])
+
+
+def fine_selection(found: DataFrame, nodes: int | None = None) -> DataFrame:
+    """id and community_id of the partition (resolution, id, community_id, modularity) that passes the gate with most modularity.
+
+    Empty where none passes. nodes is how many have any evidence; those of the partitions if not given.
+    """
+    named = found.withColumn("level", F.lit(1))
+    held = found.agg(F.count_distinct("id").alias("n")).first()["n"] if nodes is None else nodes
+    gate = partition_gate(named, max(held, 1)).where("accepted").select("resolution")
+    best = found.join(gate, "resolution").groupBy("resolution").agg(F.max("modularity").alias("q")).orderBy(F.desc("q"), "resolution").limit(1).select("resolution")
+    return found.join(F.broadcast(best), "resolution").select("resolution", "id", "community_id", "modularity")  # best: one row
+
+
+def community_graph(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """u, v and weight between communities: the affinity of pairs (u, v, affinity) across them, summed."""
+    a, b = (members.select(F.col("id").alias(c), F.col("community_id").alias(f"c{c}")) for c in "uv")
+    across = pairs.join(a, "u").join(b, "v").where("cu <> cv")
+    return across.groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("affinity").alias("weight"))
+
+
+#: Resolutions that are tried. Fixed values.
+FINE, MACRO = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0), (0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 
 
 def partition_gate(found: DataFrame, members: int, least_held: float = 0.95, most_single: float = 0.2, sizes: tuple[float, float] = (5, 500)) -> DataFrame:
@@ -159,8 +227,8 @@ def macro_selection(found: DataFrame, links: DataFrame, groups: tuple[int, int]
     return out.withColumn("accepted", fits).orderBy(F.desc("accepted"), F.desc("modularity"), "resolution")
 
 
-#: Roles of the palette in the order in which new groups take them. Fixed values.
-PALETTE = ("amber", "azure", "coral", "cyan", "emerald", "indigo", "lime", "magenta", "orange", "rose", "teal", "violet")
+#: Colours of the palette's roles, in the order in which new groups take them. Fixed values.
+PALETTE = ("#68DCFF", "#B6FF62", "#FF7096", "#FFC75F", "#B39DFF", "#5EE0B8", "#FF936B", "#8FB8FF", "#E4E86A", "#E18BEA", "#70D48B", "#D9A96E")
 
 
 def palette_roles(groups: list[str], kept: dict[str, str]) -> dict[str, str]:

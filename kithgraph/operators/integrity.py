@@ -92,6 +92,26 @@ def snapshot_diff(old: DataFrame, new: DataFrame, least: float = 1e-4) -> DataFr
     return o.join(n, "id", "full_outer").select(action.alias("action"), "id").where("action is not null")
 
 
+def link_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """add and remove of links (source, target) between two versions, by source->target."""
+    ends = [x.select(F.concat_ws("->", "source", "target").alias("id")).distinct() for x in (old, new)]
+    return one_sided(*ends, "id")
+
+
+def full_diff(old: tuple[DataFrame, DataFrame] | None, new: tuple[DataFrame, DataFrame], least: float = 1e-4) -> DataFrame:
+    """entity_type, action and id of all changes of nodes and links; everything is added to a first version."""
+    if old is None:
+        old = tuple(x.limit(0) for x in new)
+    nodes = snapshot_diff(old[0], new[0], least).select(F.lit("node").alias("entity_type"), "action", "id")
+    return nodes.unionByName(link_diff(old[1], new[1]).select(F.lit("link").alias("entity_type"), "action", "id"))
+
+
+def deleted_in_batches(rows: DataFrame, orphans: DataFrame, keys: list[str], batch: int) -> tuple[DataFrame, DataFrame]:
+    """What one batch of a delete takes, in the order of the keys, and what it leaves."""
+    gone = rows.join(orphans.select(*keys), keys, "left_semi").orderBy(*keys).limit(batch)
+    return gone, rows.join(gone.select(*keys), keys, "left_anti")
+
+
 def identity_events(shared: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Merges, splits, new and retired groups, of the overlaps (new_id, old_id) between two builds."""
     ids = F.array_sort(F.collect_list("old_id")), F.array_sort(F.collect_list("new_id"))

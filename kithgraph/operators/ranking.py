@@ -59,6 +59,13 @@ def strongest_edges(edges: DataFrame, most: int, cap: int) -> DataFrame:
     return kept.orderBy(F.desc("weight"), "u", "v").limit(cap)
 
 
+def page_links(page: DataFrame, links: DataFrame, size: int) -> DataFrame:
+    """Links inside a page of nodes (id): at most five for each node that was asked for."""
+    from kithgraph.operators.relational import links_among
+
+    return links_among(links, page, 5 * size)
+
+
 def keyset_page(nodes: DataFrame, size: int, after: tuple[int, str] | None = None) -> DataFrame:
     """The page after (weight, id); one row more than size tells whether there is another."""
     if after is not None:
@@ -76,10 +83,11 @@ def beyond(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
     return rows.join(rows.orderBy(*order).limit(most).select("id"), "id", "left_anti")
 
 
-def retained(versions: DataFrame, keep: int, current: int) -> DataFrame:
-    """Versions that retention would drop: all but the newest, the current one and those referred to."""
+def expired(versions: DataFrame, keep: int, current: int, referred: DataFrame | None = None) -> DataFrame:
+    """Versions that retention drops: all but the newest, the current one and those referred to (id)."""
     newest = versions.orderBy(F.desc("id")).limit(keep).select("id")
-    return versions.join(newest, "id", "left_anti").where(F.col("id") != current)
+    found = versions.join(newest, "id", "left_anti").where(F.col("id") != current)
+    return found if referred is None else found.join(referred.select("id"), "id", "left_anti")
 
 
 def due(jobs: DataFrame, now: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,9 +131,19 @@ def workspace_links(active: DataFrame, relationships: DataFrame, nodes: DataFram
     return both[0].unionByName(both[1]).orderBy(*order).limit(cap).join(existing.select("source", "target"), ["source", "target"], "left_anti")
 
 
-def changed_since(rows: DataFrame, since: str) -> DataFrame:
-    """Rows created or updated after a time."""
-    return rows.where(F.col("created_at") > F.lit(since).cast("timestamp"))
+def changed_since(rows: DataFrame, since: str, times: tuple[str, ...] = ("created_at",)) -> DataFrame:
+    """Rows with any of the times (created, updated) after a time."""
+    after = [F.col(c) > F.lit(since).cast("timestamp") for c in times]
+    return rows.where(F.coalesce(reduce(lambda a, b: a | b, after), F.lit(False)))
+
+
+def stale(rows: dict[str, DataFrame], now: str, days: int) -> DataFrame:
+    """type, id and days since, of rows (id, last_seen) of all kinds that were not seen for so many days."""
+    end = F.lit(now).cast("timestamp")
+    age = ((F.unix_timestamp(end) - F.unix_timestamp("last_seen")) / 86400).cast("int")
+    old = F.col("last_seen") < end - F.make_dt_interval(days=F.lit(days))
+    parts = [r.where(old).select(F.lit(kind).alias("type"), F.col("id").cast("string").alias("id"), age.alias("days")) for kind, r in rows.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def at_watermark(rows: DataFrame, watermark: str) -> DataFrame:
@@ -151,12 +163,19 @@ def source_watermark(*tables: DataFrame) -> DataFrame:
 
 
 def author_cross_links(posts: DataFrame, cap: int) -> DataFrame:
-    """Each post with at most cap posts of its author in other communities, the smallest ids first."""
+    """Each post with at most cap posts of its author in other communities, the smallest ids first.
+
+    Only an author's first 2 * cap posts can be wanted, of which no community has more than
+    cap: without any one community, cap of them or all others are left. So a post meets a
+    bounded number of others, however many its author wrote.
+    """
     from pyspark.sql import Window
 
     a = posts.select("author_id", F.col("id").alias("source"), F.col("community_id").alias("c"))
-    b = posts.select("author_id", F.col("id").alias("target"), F.col("community_id").alias("d"))
-    ranked = a.join(b, "author_id").where("c <> d").withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("target")))
+    b = posts.select("author_id", F.col("id").alias("target"), F.col("community_id").alias("d")).where("author_id is not null")
+    few = b.withColumn("k", F.row_number().over(Window.partitionBy("author_id", "d").orderBy("target"))).where(F.col("k") <= cap)
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("author_id").orderBy("target"))).where(F.col("k") <= 2 * cap).drop("k")
+    ranked = a.join(few, "author_id").where("c <> d").withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("target")))
     return ranked.where(F.col("k") <= cap).select(typed_id("post", "source").alias("source"), typed_id("post", "target").alias("target"))
 
 

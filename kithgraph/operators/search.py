@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.functions.columns import by_weight, tokens, weight
+from kithgraph.plans.staging import staged
 
 #: Weights of a token by where it stands. Fixed values.
 TITLE, DESCRIPTION, BODY = 1.0, 0.4, 0.2
@@ -34,7 +35,7 @@ def matching(docs: DataFrame, query: str, **filters: str | bool) -> DataFrame:
     words = list(dict.fromkeys("".join(c if c.isalnum() else " " for c in query.lower()).split()))
     found = docs
     if words:
-        held = tokens(F.concat_ws(" ", "title", "body"))
+        held = tokens(F.concat_ws(" ", *(c for c in ("title", "description", "body") if c in docs.columns)))
         every = F.array_size(F.array_intersect(held, F.array(*map(F.lit, words)))) == len(words)
         found = found.where(every | F.lower("title").contains(query.lower()))
     for name, value in filters.items():
@@ -43,10 +44,12 @@ def matching(docs: DataFrame, query: str, **filters: str | bool) -> DataFrame:
     return found
 
 
-def relevance(query: str) -> Column:
-    """Weighted token hits, with a boost for exact titles and for prefixes."""
+def relevance(query: str, described: bool = False) -> Column:
+    """Weighted token hits, with a boost for exact titles and for prefixes; described: a description counts too."""
     words = F.array(*map(F.lit, dict.fromkeys("".join(c if c.isalnum() else " " for c in query.lower()).split())))
     hits = TITLE * F.array_size(F.array_intersect(tokens(F.col("title")), words)) + BODY * F.array_size(F.array_intersect(tokens(F.col("body")), words))
+    if described:
+        hits = hits + DESCRIPTION * F.array_size(F.array_intersect(tokens(F.col("description")), words))
     return hits + F.when(F.lower("title") == query.lower(), 2.0).when(F.lower("title").startswith(query.lower()), 1.0).otherwise(0.0)
 
 
@@ -56,6 +59,23 @@ def catalog(docs: DataFrame, query: str, most: int, start: int = 0, **filters: s
     return found.orderBy(F.desc("relevance"), "id").offset(start).limit(most)
 
 
+#: What a catalog is sorted by, after which value and id decide.
+SORTS = {"relevance": "relevance", "activity": "activity", "size": "value", "distinctiveness": "distinctiveness", "newest": "updated_at"}
+
+
+def sorted_catalog(entities: DataFrame, query: str = "", sort: str | None = None, most: int = 50, start: int = 0, **filters: str | bool) -> DataFrame:
+    """A page of entities (title, body, description, and columns of filters and sorts), by what is asked for.
+
+    Without a sort: by relevance where there is a query, else by activity.
+    """
+    sort = sort or ("relevance" if query.strip() else "activity")
+    if sort not in SORTS:
+        raise ValueError(f"sort must be one of {', '.join(SORTS)}")
+    found = matching(entities, query, **filters).withColumn("relevance", relevance(query, "description" in entities.columns) if query.strip() else F.lit(0.0))
+    by = F.coalesce("activity", "value") if sort == "activity" else F.col(SORTS[sort])
+    return found.orderBy(by.desc_nulls_last(), F.desc("value"), "id").offset(start).limit(most)
+
+
 def facets(docs: DataFrame, query: str, by: str) -> DataFrame:
     return matching(docs, query).groupBy(by).agg(F.count("*").alias("n"))
 
@@ -75,19 +95,19 @@ def tree(comments: DataFrame, root: str) -> DataFrame:
     return joined.select("id", "score", F.coalesce("child_count", F.lit(0)).alias("child_count"))
 
 
-def thread(spark: SparkSession, turns: DataFrame, root: str, depth: int, most: int) -> DataFrame:
-    """Descendants of a node (id, parent_id, value) to a depth, by depth and then value."""
-    turns.createOrReplaceTempView("_thread_rows")
-    found = spark.sql(
-        """
-        WITH RECURSIVE down(id, value, depth) AS (
-          SELECT id, value, 1 FROM _thread_rows WHERE parent_id = :root
-          UNION ALL
-          SELECT r.id, r.value, d.depth + 1 FROM _thread_rows r JOIN down d ON r.parent_id = d.id WHERE d.depth < :depth
-        ) SELECT id, value, depth FROM down""",
-        args={"root": root, "depth": depth},
-    )
-    return found.orderBy("depth", F.desc("value"), "id").limit(most)
+def thread(turns: DataFrame, root: str, depth: int, most: int) -> DataFrame:
+    """Descendants of a node (id, parent_id, value) to a depth, by depth and then value.
+
+    One join for each level, of what is asked for three at most; nothing below the page's
+    last level is looked for in vain, since each level starts from the ids of the one above.
+    """
+    level = turns.where(F.col("parent_id") == root).select("id", "value", F.lit(1).alias("depth"))
+    out = level
+    for d in range(2, depth + 1):
+        above = level.select(F.col("id").alias("parent_id"))
+        level = turns.join(above, "parent_id").select("id", "value", F.lit(d).alias("depth"))
+        out = out.unionByName(level)
+    return out.orderBy("depth", F.desc("value"), "id").limit(most)
 
 
 def neighbourhood(links: DataFrame, root: str, most: int) -> DataFrame:
@@ -112,12 +132,15 @@ def topics(docs: DataFrame, group: str, stop: list[str], most: int = 12) -> Data
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(group, "token", "score", "rank")
 
 
-def lateral_top_links(links: DataFrame, visible: DataFrame, per_source: int, most: int) -> DataFrame:
-    """The strongest links (source, target, weight) of each visible source, then the strongest of all."""
+def lateral_top_links(links: DataFrame, visible: DataFrame, most: int) -> DataFrame:
+    """The strongest links (source, target, weight) between visible nodes, by way of the strongest of each source.
+
+    No source has more among the result than the limit, so taking as many of each loses none.
+    """
     from kithgraph.operators.ranking import first_by
 
-    mine = links.join(visible.select(F.col("id").alias("source")), "source", "left_semi")
-    kept = first_by(mine, ["source"], [F.desc("weight"), F.asc("target")], per_source)
+    mine = links.join(visible.select(F.col("id").alias("source")), "source", "left_semi").join(visible.select(F.col("id").alias("target")), "target", "left_semi")
+    kept = first_by(mine, ["source"], [F.desc("weight"), F.asc("target")], most)
     return kept.select("source", "target", "weight").orderBy(F.desc("weight"), "source", "target").limit(most)
 
 
@@ -126,9 +149,11 @@ def sitemap(entities: DataFrame, per_shard: int) -> DataFrame:
 
     Shards are cut by ranks; the rank of a row is taken within ranges of ids and carried on by their sizes.
     """
-    ranged = entities.select("id", "updated_at").repartitionByRange("id").withColumn("_part", F.spark_partition_id())
     from pyspark.sql import Window
 
+    # Staged, so that a row's range is the same wherever it is read.
+    ranged = staged(entities.select("id", "updated_at").repartitionByRange("id").withColumn("_part", F.spark_partition_id()), "sitemap")
+
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n")).withColumn("_off", F.sum("n").over(Window.orderBy("_part")) - F.col("n"))  # one row a partition
     placed = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy("id"))).join(F.broadcast(sizes), "_part")  # one row a partition
     shard = F.floor((F.col("_off") + F.col("_nth") - 1) / per_shard).cast("int")

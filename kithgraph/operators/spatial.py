@@ -122,3 +122,37 @@ def near_ray(nodes: DataFrame, origin: tuple[float, float, float], direction: tu
 def detail_tier(distance: Column, near: float = 500, medium: float = 1000, far: float = 2000) -> Column:
     """Level of detail by the distance to the camera."""
     return F.when(distance < near, "high").when(distance < medium, "medium").when(distance < far, "low").otherwise("hidden")
+
+
+def link_opacity(distance: Column, base: float = 0.6, seen: float = 1200, least: float = 0.1, most: float = 0.8) -> Column:
+    """A link's opacity by the distance to the camera: as it is within half of `seen`, then fading, within a range."""
+    part = F.greatest(F.lit(0.0), 1 - (distance - seen / 2) / seen)
+    return F.when(distance < seen / 2, F.lit(min(most, base))).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), base * part)))
+
+
+def region_links(shown: DataFrame, links: DataFrame, entities: DataFrame, most: int) -> DataFrame:
+    """source, target, relation, directed and weight of links between what a region shows (id), the heaviest first.
+
+    Stored links (with relation, directed and weight) and those that entities (id, type,
+    parent_id, author_id) name themselves.
+    """
+    keys = shown.select("id")
+    ends = [keys.withColumnRenamed("id", e) for e in ("source", "target")]
+    held = links.join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi").select("source", "target", "relation", "directed", "weight")
+    own = entities.join(keys, "id", "left_semi")
+    made = structural(own).join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi")
+    both = held.unionByName(made.select("source", "target", "relation", F.lit(True).alias("directed"), F.lit(1).cast("long").alias("weight")))
+    return both.orderBy(F.desc("weight"), "source", "target", "relation").limit(most)
+
+
+def structural(rows: DataFrame) -> DataFrame:
+    """source, target and relation of the links that entities name as author and parent."""
+    made = F.array(
+        F.struct(F.col("author_id").alias("source"), F.col("id").alias("target"), F.when(F.col("author_id").isNotNull(), F.lit("authorship")).alias("relation")),
+        F.struct(
+            F.col("id").alias("source"),
+            F.col("parent_id").alias("target"),
+            F.when(F.col("type") == "post", "published_in").when(F.col("parent_id").startswith("comment_"), "reply").when(F.col("parent_id").startswith("post_"), "comment_on").alias("relation"),
+        ),
+    )
+    return rows.select(F.explode(made).alias("l")).select("l.*").where("source is not null and target is not null and relation is not null")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.functions.columns import label, typed_id
 from kithgraph.operators.ranking import first_by
+from kithgraph.operators.spatial import structural
 
 #: Communities from which on a user with a name like a bot's counts as automated.
 BOT_COMMUNITIES = 20
+#: Coordinates beyond this one are no places.
+FARTHEST = 1e12
 
 
 def automated(users: DataFrame, active: DataFrame, known: list[str], overrides: DataFrame) -> DataFrame:
@@ -59,14 +64,22 @@ def best_anchor(active: DataFrame) -> DataFrame:
     return kept.select("user_id", "community_id", "activity_count")
 
 
-def warm_start(entities: DataFrame, previous: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Positions of entities (id, anchor_id): the previous one, else the anchor's, else a hash's; with where it is from."""
-    p = previous.select("id", *(F.col(f"pos_{a}").alias(f"p_{a}") for a in "xyz"))
-    n = anchors.select(F.col("id").alias("anchor_id"), *(F.col(f"pos_{a}").alias(f"a_{a}") for a in "xyz"))
-    j = entities.join(p, "id", "left").join(n, "anchor_id", "left")
-    spread = {a: (F.pmod(F.xxhash64("id", F.lit(a)), F.lit(20_000)) - 10_000) / 10.0 for a in "xyz"}
-    where = F.when(F.col("p_x").isNotNull(), "warm-start").when(F.col("a_x").isNotNull(), "community-seeded").otherwise("deterministic-global")
-    return j.select("id", *(F.coalesce(f"p_{a}", f"a_{a}", spread[a]).alias(f"pos_{a}") for a in "xyz"), where.alias("provenance"))
+def warm_start(entities: DataFrame, previous: DataFrame, anchors: DataFrame, placed: DataFrame | None = None, related: DataFrame | None = None, near: float = 0.0) -> DataFrame:
+    """id, position and provenance of entities (id, anchor_id), from the first source that has one.
+
+    In order: where it was before (previous), where this build's layout put it (placed), at
+    its anchor (anchors), at the strongest positioned neighbour (related: id, pos_x, pos_y,
+    pos_z), else by a hash of its id. Beside an anchor or neighbour it is moved by a hash up to `near`.
+    """
+    empty = previous.limit(0)
+    steps = [("warm-start", previous, "id", 0.0), ("force-layout", empty if placed is None else placed, "id", 0.0), ("community-seeded", anchors, "anchor_id", near), ("overlap-seeded", empty if related is None else related, "id", near)]
+    j = entities.select("id", "anchor_id")
+    for k, (_, source, key, _) in enumerate(steps):
+        j = j.join(source.select(F.col("id").alias(key), *(F.col(f"pos_{a}").alias(f"_{k}{a}") for a in "xyz")), key, "left")
+    spread = {a: F.pmod(F.xxhash64("id", F.lit(a)), F.lit(20_000)) - 10_000 for a in "xyz"}
+    at = [F.coalesce(*(F.col(f"_{k}{a}") + far * spread[a] / 10_000 for k, (*_, far) in enumerate(steps)), spread[a] / 10.0).alias(f"pos_{a}") for a in "xyz"]
+    where = F.coalesce(*(F.when(F.col(f"_{k}x").isNotNull(), name) for k, (name, *_) in enumerate(steps)), F.lit("deterministic-global"))
+    return j.select("id", *at, where.alias("provenance"))
 
 
 def entities(communities: DataFrame, users: DataFrame, posts: DataFrame, comments: DataFrame, active: DataFrame) -> DataFrame:
@@ -90,11 +103,7 @@ def entities(communities: DataFrame, users: DataFrame, posts: DataFrame, comment
 
 def structural_links(rows: DataFrame) -> DataFrame:
     """source, target and relation from the entities' own references, to entities that exist."""
-    made = F.array(
-        F.struct(F.col("author_id").alias("source"), F.col("id").alias("target"), F.when(F.col("author_id").isNotNull(), F.lit("authorship")).alias("relation")),
-        F.struct(F.col("id").alias("source"), F.col("parent_id").alias("target"), F.when(F.col("type") == "post", "published_in").when(F.col("parent_id").startswith("comment_"), "reply").when(F.col("parent_id").startswith("post_"), "comment_on").alias("relation")),
-    )
-    found = rows.select(F.explode(made).alias("l")).select("l.*").where("source is not null and target is not null and relation is not null")
+    found = structural(rows)
     keys = rows.select(F.col("id"))
     return found.join(keys.withColumnRenamed("id", "source"), "source", "left_semi").join(keys.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target", "relation")
 
@@ -110,13 +119,26 @@ def tombstoned(docs: DataFrame) -> DataFrame:
     return docs.select("id", *(F.when(~gone, F.col(c)).alias(c) for c in ("title", "body")))
 
 
-def validation(rows: DataFrame, expected: dict[str, int] | None = None) -> DataFrame:
-    """One row of gates: numbers by type, empty labels, and whether bounds are finite and not collapsed."""
+def validation(rows: DataFrame, expected: dict[str, int] | None = None, positions: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """One row of gates: numbers by type as expected, no empty labels, and what is given of the rest.
+
+    positions (pos_x, pos_y, pos_z) must be finite, within 1e12, and not all the same on any
+    axis; documents (id) must be of entities.
+    """
     checks = [F.count("*").alias("n"), F.count_if(F.col("label") == "").alias("empty_labels"), *(F.count_if(F.col("type") == t).alias(f"n_{t}") for t in ("community", "user", "post", "comment"))]
     found = rows.agg(*checks)
     ok = (F.col("empty_labels") == 0) & (F.col("n") > 0)
     for t, n in (expected or {}).items():
         ok = ok & (F.col(f"n_{t}") == n)
+    if positions is not None:
+        axes = [F.col(f"pos_{a}") for a in "xyz"]
+        lost = F.count_if(reduce(lambda x, y: x | y, (a.isNull() | F.isnan(a) | (F.abs(a) > FARTHEST) for a in axes)))
+        flat = reduce(lambda x, y: x | y, (F.min(a) >= F.max(a) for a in axes))
+        found = found.crossJoin(positions.agg(lost.alias("bad_positions"), F.coalesce(flat, F.lit(True)).alias("collapsed")))  # one-row frames
+        ok = ok & (F.col("bad_positions") == 0) & ~F.col("collapsed")
+    if documents is not None:
+        found = found.crossJoin(documents.join(rows.select("id"), "id", "left_anti").agg(F.count("*").alias("stray_documents")))
+        ok = ok & (F.col("stray_documents") == 0)
     return found.withColumn("passed", ok)
 
 

@@ -2,38 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.functions import columns as C
 from kithgraph.operators import affinity, client, communities, integrity, layout, ranking, relational, scopes, search, spatial
 from kithgraph.plans import catalog, publish
-from kithgraph.plans.oracle import with_tables
+from kithgraph.plans.registry import ORACLE_SQL, QUERIES, add
 from kithgraph.sources import exports
 from kithgraph.sources.corpus import Corpus
 from kithgraph.streaming import incremental
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Callable[[Corpus], DataFrame]], Callable[[Corpus], DataFrame]]:
-    """Register a query over a corpus, with its SQL if there is any."""
-
-    def keep(f: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(Corpus(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[name] = with_tables(sql)
-        return f
-
-    return keep
-
-
-def add(name: str, f: Callable[[Corpus], DataFrame], sql: str | None = None) -> None:
-    query(name, sql)(f)
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 _TOP = "ORDER BY w DESC, id LIMIT"
 _BOX = (-0.5, 0.5, -0.4, 0.6, -0.5, 0.4)
@@ -49,7 +29,7 @@ def _r(c: str, digits: int = 6) -> F.Column:
 add("scan_communities", lambda c: c.communities, "SELECT * FROM communities")
 add("scan_users", lambda c: c.users, "SELECT * FROM users")
 add("scan_posts", lambda c: c.posts, "SELECT * FROM posts")
-add("scan_comments", lambda c: c.comments.select("id", "post_id", "author_id", "community_id", "parent_id", "score", "depth"), "SELECT id, post_id, author_id, community_id, parent_id, score, depth FROM comments")
+add("scan_comments", lambda c: c.comments, "SELECT * FROM comments")
 add("scan_activity", lambda c: c.activity, "SELECT * FROM active")
 add("scan_relationships", lambda c: c.relationships, "SELECT * FROM relationships")
 add("point_lookup", lambda c: c.users.where("id = 7"), "SELECT * FROM users WHERE id = 7")
@@ -103,11 +83,11 @@ add("typed_quota_topk", lambda c: ranking.typed_quota(c.nodes, {"community": 40,
 add("distinct_on_best_anchor", lambda c: catalog.best_anchor(c.activity), "SELECT user_id, community_id, activity_count FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY activity_count DESC, community_id) AS k FROM active) WHERE k = 1")
 add("distinct_on_best_neighbour", lambda c: ranking.first_by(c.relationships, ["source"], [F.desc("overlap_count"), F.asc("target")]), "SELECT source, target, overlap_count FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY overlap_count DESC, target) AS k FROM relationships) WHERE k = 1")
 add("lateral_first_member", lambda c: publish.first_community(c.activity.select(F.col("user_id").alias("id"), "community_id")), "SELECT user_id AS id, min(community_id) AS community_id FROM active GROUP BY 1")
-add("lateral_topk_per_source", lambda c: search.lateral_top_links(c.relationships.withColumnRenamed("overlap_count", "weight"), c.communities.where("id <= 50").select("id"), 5, 200), "SELECT source, target, weight FROM (SELECT source, target, overlap_count AS weight, row_number() OVER (PARTITION BY source ORDER BY overlap_count DESC, target) AS k FROM relationships WHERE source IN (SELECT id FROM communities WHERE id <= 50)) WHERE k <= 5 ORDER BY weight DESC, source, target LIMIT 200")
+add("lateral_topk_per_source", lambda c: search.lateral_top_links(c.relationships.withColumnRenamed("overlap_count", "weight"), c.communities.where("subscribers > 0").select("id"), 2000), "SELECT source, target, overlap_count AS weight FROM relationships WHERE source IN (SELECT id FROM communities WHERE subscribers > 0) AND target IN (SELECT id FROM communities WHERE subscribers > 0) ORDER BY weight DESC, source, target LIMIT 2000")
 add("topn_label", lambda c: ranking.top_names(c.communities.select("nation", F.col("subscribers").alias("value"), "name"), "nation"), "SELECT nation, string_agg(name, ' · ' ORDER BY k) AS label FROM (SELECT nation, name, row_number() OVER (PARTITION BY nation ORDER BY subscribers DESC, name) AS k FROM communities) WHERE k <= 3 GROUP BY 1")
 add("top_edges_per_node", lambda c: ranking.strongest_edges(c.relationships.where("source < target").select(F.col("source").alias("u"), F.col("target").alias("v"), F.col("overlap_count").alias("weight")), 5, 1_000_000), "SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v, weight FROM (SELECT source AS a, target AS b, overlap_count AS weight, row_number() OVER (PARTITION BY source ORDER BY overlap_count DESC, target) AS k FROM relationships) WHERE k <= 5")
 add("activity_rank_beyond", lambda c: ranking.beyond(c.posts.select("id", "score"), [F.desc("score"), F.asc("id")], 1000), "SELECT id, score FROM posts WHERE id NOT IN (SELECT id FROM posts ORDER BY score DESC, id LIMIT 1000)")
-add("retention", lambda c: ranking.retained(c.posts.select("id"), 100, 3), "SELECT id FROM posts WHERE id NOT IN (SELECT id FROM posts ORDER BY id DESC LIMIT 100) AND id <> 3")
+add("retention", lambda c: ranking.expired(c.posts.select("id"), 100, 3, c.comments.where("score = 7").select(F.col("post_id").alias("id"))), "SELECT id FROM posts WHERE id NOT IN (SELECT id FROM posts ORDER BY id DESC LIMIT 100) AND id <> 3 AND id NOT IN (SELECT post_id FROM comments WHERE score = 7)")
 add("due_jobs", lambda c: ranking.due(c.events.select(F.col("event_id").alias("id"), (F.col("event_type") != "view").alias("enabled"), F.col("ts").alias("next_run"), (F.col("event_id") % 5).alias("priority")), "2024-01-10"), "SELECT event_id AS id, event_type <> 'view' AS enabled, ts AS next_run, event_id % 5 AS priority FROM events WHERE event_type <> 'view' AND ts <= TIMESTAMP '2024-01-10'")
 add("queue_selection", lambda c: c.events.orderBy(F.desc("value"), "ts", "event_id").limit(1).select("event_id"), "SELECT event_id FROM events ORDER BY value DESC, ts, event_id LIMIT 1")
 add("mutual_best_match", lambda c: ranking.mutual_best(c.activity.select(F.col("user_id").alias("new_id"), F.col("community_id").alias("old_id"), F.col("activity_count").alias("weight"))), "SELECT user_id AS new_id, community_id AS old_id, activity_count AS weight FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY activity_count DESC, community_id) AS f, row_number() OVER (PARTITION BY community_id ORDER BY activity_count DESC, user_id) AS b FROM active) WHERE f = 1 AND b = 1")
@@ -131,7 +111,7 @@ add("lost_replies", lambda c: integrity.lost_replies(c.comments.where("depth <>
 add("orphan_deletes", lambda c: integrity.sound(c.all_posts, integrity.orphan_posts(c.all_posts, c.communities, c.users), ["id"]).select("id"), "SELECT id FROM posts")
 add("integrity_report", lambda c: integrity.report({"posts": integrity.orphan_posts(c.all_posts, c.communities, c.users), "nodes": integrity.orphan_nodes(c.nodes, c.links)}), "SELECT 'posts' AS check, (SELECT count(*) FROM all_posts WHERE community_id IS NULL) AS count, (SELECT count(*) FROM all_posts WHERE community_id IS NULL) > 0 AS has_issues UNION ALL SELECT 'nodes', (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT id FROM degree)), (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT id FROM degree)) > 0")
 add("bulk_upsert_nodes", lambda c: integrity.upserted(c.nodes, c.nodes.where("type = 'user'").withColumn("val", F.lit("9")), "id", F.lit(1)).groupBy("type", "val").agg(F.count("*").alias("n")), "SELECT type, CASE WHEN type = 'user' THEN '9' ELSE val END AS val, count(*) AS n FROM nodes GROUP BY ALL")
-add("bulk_insert_links", lambda c: integrity.insertable_links(c.links.union(c.links.limit(0)).unionByName(c.links.select(F.col("source"), F.lit("nowhere").alias("target"))), c.nodes, c.links.where("source like 'user%'")), "SELECT DISTINCT source, target FROM links WHERE source NOT LIKE 'user%'")
+add("bulk_insert_links", lambda c: integrity.insertable_links(c.links.union(c.links).unionByName(c.links.select(F.col("source"), F.lit("nowhere").alias("target"))), c.nodes, c.links.where("source like 'user%'")), "SELECT DISTINCT source, target FROM links WHERE source NOT LIKE 'user%'")
 add("batch_update_positions", lambda c: integrity.moved(c.points, c.points.select("id", (F.col("pos_x") + F.when(F.col("community_id") < 5, 1.0).otherwise(1e-5)).alias("pos_x"), "pos_y", "pos_z"), 1e-3).select("id", _r("pos_x"), _r("pos_y"), _r("pos_z")), "SELECT id, round(pos_x + CASE WHEN community_id < 5 THEN 1.0 ELSE 0.0 END, 6) AS pos_x, round(pos_y, 6) AS pos_y, round(pos_z, 6) AS pos_z FROM points")
 add("revision_diff", lambda c: integrity.one_sided(c.nodes.where("type <> 'user'"), c.nodes.where("type <> 'post'"), "id"), "SELECT CASE WHEN type = 'user' THEN 'add' ELSE 'remove' END AS action, id FROM nodes WHERE type IN ('user', 'post')")
 add("snapshot_diff", lambda c: integrity.snapshot_diff(c.points.where("community_id <> 0"), c.points.where("community_id <> 1").withColumn("pos_x", F.when(F.col("community_id") == 2, F.col("pos_x") + 0.5).when(F.col("community_id") == 3, F.col("pos_x") + 1e-6).otherwise(F.col("pos_x")))), "SELECT CASE community_id WHEN 0 THEN 'add' WHEN 1 THEN 'remove' ELSE 'update' END AS action, id FROM points WHERE community_id IN (0, 1, 2)")
@@ -236,7 +216,7 @@ add("snippet", lambda c: search.snippet(_docs(c)), "SELECT id, CASE WHEN NOT sen
 add("tombstones", lambda c: catalog.tombstoned(_docs(c).withColumns({"removed": F.col("sensitive"), "deleted": F.col("id") % 10 == 0})), "SELECT id, CASE WHEN NOT (sensitive OR id % 10 = 0) THEN title END AS title, CASE WHEN NOT (sensitive OR id % 10 = 0) THEN body END AS body FROM docs")
 add("tfidf_topics", lambda c: search.topics(c.table("documents").select("source", "text"), "source", ["the", "and"], 5).select("source", "token", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")), "SELECT * FROM (WITH t AS (SELECT source, token, count(*) AS tf FROM (SELECT source, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS token FROM documents) WHERE length(token) >= 3 AND token NOT IN ('the', 'and') GROUP BY 1, 2), f AS (SELECT token, count(*) AS df FROM t GROUP BY 1), s AS (SELECT source, token, tf * ln((1 + (SELECT count(DISTINCT source) FROM documents)) / (1 + df)) AS score FROM t JOIN f USING (token)) SELECT source, token, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, token) AS rank FROM s) WHERE rank <= 5)")
 add("catalog_tree", lambda c: search.tree(c.comments, "t3_5"), "SELECT c.id, score, coalesce(n, 0) AS child_count FROM comments c LEFT JOIN (SELECT parent_id, count(*) AS n FROM comments GROUP BY 1) k ON k.parent_id = 't1_' || c.id WHERE c.parent_id = 't3_5'")
-add("entity_thread", lambda c: search.thread(c.spark, c.comments.select("id", F.when(F.col("depth") == 0, F.col("parent_id")).otherwise(F.expr("substring(parent_id, 4)")).alias("parent_id"), F.col("score").alias("value")), "t3_5", 3, 250), "SELECT id, score AS value, depth + 1 AS depth FROM comments WHERE post_id = 5 AND depth < 3 ORDER BY 3, value DESC, id LIMIT 250")
+add("entity_thread", lambda c: search.thread(c.comments.select("id", F.when(F.col("depth") == 0, F.col("parent_id")).otherwise(F.expr("substring(parent_id, 4)")).alias("parent_id"), F.col("score").alias("value")), "t3_5", 3, 250), "SELECT id, score AS value, depth + 1 AS depth FROM comments WHERE post_id = 5 AND depth < 3 ORDER BY 3, value DESC, id LIMIT 250")
 add("entity_neighbourhood", lambda c: search.neighbourhood(c.relationships.select(F.col("source").cast("string"), F.col("target").cast("string"), F.col("overlap_count").alias("weight")), "3", 30), "SELECT id, priority FROM (SELECT '3' AS id, NULL AS priority UNION ALL SELECT CAST(target AS VARCHAR), overlap_count FROM relationships WHERE source = 3) ORDER BY priority DESC NULLS FIRST, id LIMIT 30")
 add("entity_discussion", lambda c: ranking.offset_page(c.comments.where("parent_id = 't3_5'").select("id", "score"), [F.desc("score"), "id"], 50, 0), "SELECT id, score FROM comments WHERE parent_id = 't3_5'")
 add("telemetry_top", lambda c: search.heaviest(c.nodes, ["community"], 20), "SELECT id, w AS value FROM weighted WHERE type = 'community' ORDER BY w DESC, id LIMIT 20")
@@ -282,23 +262,18 @@ def _point_links(c: Corpus) -> DataFrame:
 add("modularity", lambda c: communities.modularity(_point_links(c), c.points.select("id", "community_id")).select(_r("modularity", 8)), "SELECT * FROM (WITH e AS (SELECT 'point_' || (vec_id - 10) AS a, 'point_' || vec_id AS b FROM embeddings WHERE vec_id >= 10), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), m AS (SELECT count(*) AS m2 FROM s), d AS (SELECT a AS id, count(*) AS d FROM s GROUP BY 1), k AS (SELECT community_id, sum(d) AS k FROM d JOIN points USING (id) GROUP BY 1), i AS (SELECT count(*) AS w FROM s JOIN points p ON a = p.id JOIN points q ON b = q.id WHERE p.community_id = q.community_id) SELECT round(w / m2 - (SELECT sum(k * k) FROM k) / (m2 * m2), 8) AS modularity FROM m, i)")
 
 
-def _staged(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
-add("label_propagation", lambda c: communities.label_propagation(_point_links(c), _staged, 5))
+add("label_propagation", lambda c: communities.label_propagation(_point_links(c)))
 add("louvain_hierarchy", lambda c: communities.hierarchy(_point_links(c), [0.5, 1.0, 2.0]))
 add("fine_partition_select", lambda c: communities.partition_gate(communities.hierarchy(_point_links(c), [0.5, 1.0, 2.0]), c.points.count()))
 add("spherical_seed", lambda c: layout.spherical_seed(c.points, 1000.0))
-add("fr_layout_3d", lambda c: layout.layout(c.points.select("id"), _point_links(c), "spring", 30))
-add("force_atlas_world", lambda c: layout.layout(c.points.select("id"), _point_links(c), "world", 30))
+add("fr_layout_3d", lambda c: layout.layout(c.points.select("id", "val"), _point_links(c), "spring"))
+add("force_atlas_world", lambda c: layout.layout(c.points.select("id", "val"), _point_links(c), "world"))
 add("spectral_positions", lambda c: layout.spectral(_affinity(c), _groups(c)))
 
 # --- exports
 add("export_csv", lambda c: exports.csv_rows(c.points.select("id", "name", "val", "type"), _chain(c)), f"SELECT 'node' AS data_type, id, name, val, type, NULL AS source, NULL AS target FROM points UNION ALL SELECT 'link', NULL, NULL, NULL, NULL, source, target FROM {_CHAIN}")
 add("ndjson_stream", lambda c: exports.ndjson_rows(c.points.select("id", "name", "val", "type"), _chain(c)), "SELECT 'node' AS kind, '{\"kind\":\"node\",\"id\":\"' || id || '\",\"name\":\"' || name || '\",\"val\":\"' || val || '\",\"type\":\"' || type || '\"}' AS line FROM points UNION ALL SELECT 'link', '{\"kind\":\"link\",\"source\":\"' || source || '\",\"target\":\"' || target || '\"}' FROM " + _CHAIN + " UNION ALL SELECT 'meta', '{\"kind\":\"meta\",\"nodes\":' || (SELECT count(*) FROM points) || ',\"links\":' || (SELECT count(*) FROM " + _CHAIN + ") || '}'")
-add("export_json", lambda c: exports.graph_json(c.points.where("community_id = 1").select("id", "name", "val", "type"), _chain(c).limit(0)), "SELECT '{\"nodes\":[' || string_agg('{\"id\":\"' || id || '\",\"name\":\"' || name || '\",\"val\":\"' || val || '\",\"type\":\"' || type || '\"}', ',' ORDER BY id) || '],\"links\":[]}' AS document FROM points WHERE community_id = 1")
+add("export_json", lambda c: exports.graph_json(c.points.select("id", "name", "val", "type"), _chain(c)), "SELECT '{\"nodes\":[' || n || '],\"links\":[' || coalesce(l, '') || ']}' AS document FROM (SELECT string_agg('{\"id\":\"' || id || '\",\"name\":\"' || name || '\",\"val\":\"' || val || '\",\"type\":\"' || type || '\"}', ',' ORDER BY id) AS n FROM points), (SELECT string_agg('{\"source\":\"' || source || '\",\"target\":\"' || target || '\"}', ',' ORDER BY source, target) AS l FROM " + _CHAIN + ")")
 
 # --- incremental and streaming
 
@@ -351,7 +326,7 @@ _LEVELS = "(SELECT id, 1 AS level, community_id FROM points UNION ALL SELECT id,
 add("communities_at_level", lambda c: scopes.level_summary(_levels(c), c.points.select("id", *spatial.AXES), 2).select("community_id", "size", _r("pos_x"), _r("pos_y"), _r("pos_z")), "SELECT community_id % 3 AS community_id, count(*) AS size, round(avg(pos_x), 6) AS pos_x, round(avg(pos_y), 6) AS pos_y, round(avg(pos_z), 6) AS pos_z FROM points GROUP BY 1")
 add("distinct_levels", lambda c: _levels(c).select("level").distinct(), f"SELECT DISTINCT level FROM {_LEVELS}")
 add("nodes_at_level", lambda c: _levels(c).where("level = 1").select("id", "community_id"), f"SELECT id, community_id FROM {_LEVELS} WHERE level = 1")
-add("manifest", lambda c: scopes.manifest(c.posts.agg(F.max("id").alias("revision_id")), _levels(c), catalog.quantiles(_entities(c).where("type in ('user', 'post')"))), f"SELECT (SELECT max(id) FROM posts) AS revision_id, (SELECT string_agg(CAST(level AS VARCHAR), ',' ORDER BY level) FROM (SELECT DISTINCT level FROM {_LEVELS})) AS levels, '{{' || string_agg('\"' || type || '\":{{\"low\":' || lo || ',\"high\":' || hi || '}}', ',' ORDER BY type) || '}}' AS quantiles FROM (SELECT type, quantile_disc(value, 0.05) AS lo, quantile_disc(value, 0.95) AS hi FROM ents WHERE type IN ('user', 'post') GROUP BY 1)")
+add("manifest", lambda c: scopes.manifest(c.posts.agg(F.max("id").alias("revision_id")), _levels(c), catalog.quantiles(_entities(c))), f"SELECT (SELECT max(id) FROM posts) AS revision_id, (SELECT string_agg(CAST(level AS VARCHAR), ',' ORDER BY level) FROM (SELECT DISTINCT level FROM {_LEVELS})) AS levels, '{{' || string_agg('\"' || type || '\":{{\"low\":' || lo || ',\"high\":' || hi || '}}', ',' ORDER BY type) || '}}' AS quantiles FROM (SELECT type, quantile_disc(value, 0.05) AS lo, quantile_disc(value, 0.95) AS hi FROM ents GROUP BY 1)")
 add("bundles_min_weight", lambda c: spatial.bundle_weights(_chain(c), c.points).where("weight >= 5"), f"SELECT * FROM ({_BW}) WHERE weight >= 5")
 add("revision_bundles", lambda c: spatial.bundles(spatial.bundle_weights(_chain(c), c.points), spatial.centroids(c.points), 0.0).select("source", "target", _r("control_x", 5), _r("control_y", 5), _r("control_z", 5)), f"SELECT * FROM (WITH w AS ({_BW}), k AS (SELECT community_id, avg(pos_x) AS x, avg(pos_y) AS y, avg(pos_z) AS z FROM points GROUP BY 1) SELECT w.source, w.target, round((a.x + b.x) / 2, 5) AS control_x, round((a.y + b.y) / 2, 5) AS control_y, round((a.z + b.z) / 2, 5) AS control_z FROM w JOIN k a ON a.community_id = w.source JOIN k b ON b.community_id = w.target)")
 add("comments_by_post", lambda c: c.comments.where("post_id = 5").select("id", "depth", "created_at").orderBy("created_at", "id"), "SELECT id, depth, created_at FROM comments WHERE post_id = 5")
@@ -371,13 +346,6 @@ add("touch_community", lambda c: c.communities.select("id", F.when(F.col("name")
 add("representative_members", lambda c: scopes.representative_members(c.communities.select(F.col("nation").alias("group_id"), "id", "name", F.col("subscribers").cast("double").alias("strength")), c.communities.where("id % 4 = 0").select("name"), 3).select("group_id", "id", _r("score")), "SELECT group_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, id) AS k FROM (SELECT nation AS group_id, id, (0.4 * subscribers / greatest(max(subscribers) OVER (PARTITION BY nation), 1e-12) + 0.15 + 0.14 + 0.1 * CASE WHEN id % 4 = 0 THEN 0.0 ELSE 1.0 END) * CASE WHEN id % 4 = 0 THEN 0.5 ELSE 1.0 END AS score FROM communities)) WHERE k <= 3")
 
 
-def _topics(c: Corpus) -> DataFrame:
-    return search.topics(c.table("documents").select("source", "text"), "source", [], 5).select(F.col("source").alias("group_id"), "token", "rank")
-
-
-add("label_fallback", lambda c: scopes.labels(_topics(c).where("rank <= 2").withColumn("token", F.lower("token"))))
 add("label_cache", lambda c: scopes.cached_labels(c.communities.select(F.col("id").alias("group_id"), F.col("name").alias("label"), F.sha2("name", 256).alias("fingerprint")), c.communities.where("id % 3 = 0").select(F.sha2("name", 256).alias("fingerprint"), F.lit("cached").alias("label"))), "SELECT id AS group_id, CASE WHEN id % 3 = 0 THEN 'cached' ELSE name END AS label, id % 3 = 0 AS hit FROM communities")
 add("landmark_coverage", lambda c: _landmarks(c).groupBy("macro_id").agg(F.sum("size").alias("held")).agg(F.min("held").alias("least"), F.count("*").alias("n_groups")).select("least", "n_groups", (F.col("least") >= 5).alias("passed")), "SELECT CAST(min(held) AS BIGINT) AS least, count(*) AS n_groups, min(held) >= 5 AS passed FROM (SELECT macro_id, sum(size) AS held FROM landmarks GROUP BY 1)")
-add("multiplex_graph", lambda c: communities.multiplex(affinity.layers_of(_affinity(c))).select("u", "v", _r("weight", 5)))
-add("macro_partition_select", lambda c: communities.macro_selection(communities.hierarchy(_point_links(c), [0.05, 0.5, 1.0, 3.0]), _point_links(c)))
 add("shell_position", lambda c: layout.shell_positions(c.points, 100.0))

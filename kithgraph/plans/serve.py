@@ -102,7 +102,7 @@ class Explorer:
     def thread(self, root: str, depth: int = 3, most: int | None = None) -> DataFrame:
         """Descendants of an entity, three levels at most."""
         rows = self._visible(self.entities).select("id", "parent_id", "value")
-        return search.thread(rows.sparkSession, rows, root, min(max(1, depth), 3), limit("thread", most))
+        return search.thread(rows, root, min(max(1, depth), 3), limit("thread", most))
 
     def neighbours(self, node: str, most: int | None = None) -> DataFrame:
         return relational.neighbours(self._visible(self.nodes), self.links, node, limit("neighbours", most))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -63,6 +63,27 @@ def windowed_counts(events: DataFrame, width: str = "5 minutes", step: str = "1
     return rows.groupBy(F.window("ts", width, step), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def session_counts(events: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Events by user and session: stretches without a pause of `gap`."""
+    rows = _timed(events, late) if events.isStreaming else events
+    by = rows.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return by.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n", "total")
+
+
+def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Events by window and type."""
+    rows = _timed(events, late) if events.isStreaming else events
+    return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def rate(events: DataFrame, key: str = "event_type", width: str = "5 minutes", step: str = "1 minute") -> DataFrame:
+    """Events a second by sliding window and key, with quantiles of their values."""
+    w = F.window("ts", width, step).alias("w")
+    by = events.groupBy(w, key).agg(F.count("*").alias("n"), *(F.expr(f"percentile_disc({p}) within group (order by value)").alias(f"p{round(100 * p)}") for p in (0.5, 0.95)))
+    seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
+    return by.select(F.col("w.start").alias("start"), key, (F.col("n") / seconds).alias("per_second"), "p50", "p95")
+
+
 def once(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
     """Each event once, of those that repeat within the watermark."""
     return _timed(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
@@ -80,13 +101,44 @@ def merged_requests(requests: DataFrame) -> DataFrame:
     return requests.groupBy("target").agg(F.max("priority").alias("priority"), F.min("due_at").alias("due_at"))
 
 
-def discoveries(seen: DataFrame, budget: int) -> DataFrame:
-    """Candidates with their summed score, mentions first, as many as the budget allows."""
+def discoveries(seen: DataFrame, budget: int, promoted: DataFrame | None = None, now: str | None = None) -> DataFrame:
+    """Candidates with their summed score, mentions first, as many as the day's budget still allows.
+
+    promoted (target, at) are those already promoted: they are no candidates, and those of
+    the day of `now` count against the budget.
+    """
     by = seen.groupBy("target").agg(F.sum("score").alias("score"), F.max(F.col("mention").cast("int")).alias("mention"))
-    return by.orderBy(F.desc("mention"), F.desc("score"), "target").limit(budget)
+    order = [F.desc("mention"), F.desc("score"), F.asc("target")]
+    if promoted is None:
+        return by.orderBy(*order).limit(budget)
+    today = F.col("at") >= F.date_trunc("day", F.lit(now).cast("timestamp"))
+    left = promoted.where(today).agg(F.greatest(budget - F.count("*"), F.lit(0)).alias("_left"))
+    found = by.join(promoted.select("target"), "target", "left_anti").orderBy(*order).limit(budget)
+    # At most `budget` rows are ranked.
+    ranked = found.withColumn("_k", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(left))  # left: one row
+    return ranked.where("_k <= _left").select(*by.columns)
 
 
 def aged(jobs: DataFrame, now: str, per_day: int = 1) -> DataFrame:
     """Priorities that rise with the days waited, 100 at most."""
     days = F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("created_at")) / 86400)
     return jobs.withColumn("priority", F.least(F.col("priority") + per_day * days, F.lit(100)).cast("long"))
+
+
+def dirty_users(old: DataFrame, new: DataFrame) -> DataFrame:
+    """user_id of everyone whose rows (id, author_id, community_id) were inserted, deleted, or moved to another author or community.
+
+    One row with a null id where the new version is empty and the old one isn't: all must be built anew.
+    """
+    key = ["id", "author_id", "community_id"]
+    a, b = old.select(*key), new.select(*key)
+    both = a.select(*key, F.lit(-1).alias("_d")).unionByName(b.select(*key, F.lit(1).alias("_d")))
+    changed = both.groupBy(*key).agg(F.sum("_d").alias("_d")).where("_d <> 0").select(F.col("author_id").alias("user_id"))
+    counts = a.agg(F.count("*").alias("_a")).crossJoin(b.agg(F.count("*").alias("_b")))  # one-row frames
+    emptied = counts.where("_a > 0 and _b = 0").select(F.lit(None).cast(old.schema["author_id"].dataType).alias("user_id"))
+    return changed.where("user_id is not null").distinct().unionByName(emptied)
+
+
+def periodic(log: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 hour") -> StreamingQuery:
+    """Apply what has come in, again and again, until the query is stopped."""
+    return log.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
