@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithgraph.functions.columns import is_bridge
+from kithgraph.plans.staging import staged
 
 #: The layers of evidence and their weights.
 LAYERS = {"active": 0.60, "authors": 0.20, "repeat": 0.10, "cross": 0.10}
@@ -35,20 +36,24 @@ def totals(active: DataFrame, posts: DataFrame, cross: DataFrame) -> DataFrame:
     return a.crossJoin(posts.agg(F.count_distinct("author_id").alias("t_authors"))).crossJoin(cross.agg((2 * F.count("*")).alias("t_cross")))
 
 
-def pair_evidence(pairs: DataFrame, active: DataFrame, posts: DataFrame, cross: DataFrame) -> DataFrame:
-    """u, v and, for each layer, what was observed: common users, common authors, repeated presence, references."""
+def shared_presence(active: DataFrame, posts: DataFrame) -> DataFrame:
+    """u < v, o_active, o_repeat and o_authors: common users, their repeated presence, and common authors of posts.
+
+    One join of activity with itself for all three; a pair of communities without a common user has no row.
+    """
+    wrote = posts.select(F.col("author_id").alias("user_id"), "community_id", F.lit(1).alias("w")).distinct()
+    rows = active.join(wrote, ["user_id", "community_id"], "left").select("user_id", "community_id", F.col("activity_count").alias("n"), F.coalesce("w", F.lit(0)).alias("w"))
+    a = rows.select("user_id", F.col("community_id").alias("u"), F.col("n").alias("nu"), F.col("w").alias("wu"))
+    b = rows.select("user_id", F.col("community_id").alias("v"), F.col("n").alias("nv"), F.col("w").alias("wv"))
+    both = a.join(b, "user_id").where("u < v").groupBy("u", "v")
+    return both.agg(F.count("*").alias("o_active"), F.least(F.sum(F.least("nu", "nv")), F.lit(100)).alias("o_repeat"), F.sum(F.col("wu") * F.col("wv")).alias("o_authors"))
 
-    def both(rows: DataFrame) -> DataFrame:
-        a = rows.select("user_id", F.col("community_id").alias("u"), F.col("n").alias("nu"))
-        b = rows.select("user_id", F.col("community_id").alias("v"), F.col("n").alias("nv"))
-        return a.join(b, "user_id").where("u < v")
 
-    acts = both(active.select("user_id", "community_id", F.col("activity_count").alias("n")))
-    o = acts.groupBy("u", "v").agg(F.count("*").alias("o_active"), F.least(F.sum(F.least("nu", "nv")), F.lit(100)).alias("o_repeat"))
-    authors = posts.select(F.col("author_id").alias("user_id"), "community_id").distinct().withColumn("n", F.lit(1))
-    w = both(authors).groupBy("u", "v").agg(F.count("*").alias("o_authors"))
+def pair_evidence(pairs: DataFrame, active: DataFrame, posts: DataFrame, cross: DataFrame, presence: DataFrame | None = None) -> DataFrame:
+    """u, v and, for each layer, what was observed: common users, common authors, repeated presence, references."""
+    o = shared_presence(active, posts) if presence is None else presence
     c = cross.groupBy(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).agg(F.count("*").alias("o_cross"))
-    found = pairs.join(o, ["u", "v"], "left").join(w, ["u", "v"], "left").join(c, ["u", "v"], "left")
+    found = pairs.join(o, ["u", "v"], "left").join(c, ["u", "v"], "left")
     return found.select("u", "v", *(F.coalesce(f"o_{k}", F.lit(0)).cast("long").alias(f"o_{k}") for k in LAYERS))
 
 
@@ -78,10 +83,16 @@ def scored(evidence: DataFrame) -> DataFrame:
     return evidence.withColumns({f"raw_{k}": raw[k] for k in LAYERS}).withColumn("affinity", mean / (1 + mean))
 
 
-def affinity(active: DataFrame, posts: DataFrame, cross: DataFrame, relationships: DataFrame) -> DataFrame:
-    """u, v, the strength of each layer and affinity for all candidate pairs."""
+def affinity(active: DataFrame, posts: DataFrame, cross: DataFrame, least: int = 2) -> DataFrame:
+    """u, v, the strength of each layer and affinity for all candidate pairs.
+
+    What communities have in common is counted once, for the candidates and for their evidence.
+    """
+    active, posts, cross = staged(active, "affinity-activity"), staged(posts.select("author_id", "community_id"), "affinity-posts"), staged(cross.select("source", "target"), "affinity-cross")
+    presence = staged(shared_presence(active, posts), "affinity-presence")
+    near = presence.select(F.col("u").alias("source"), F.col("v").alias("target"), F.col("o_active").alias("overlap_count"))
     m = marginals(active, posts, cross)
-    pairs = pair_evidence(candidates(relationships, cross), active, posts, cross)
+    pairs = pair_evidence(candidates(near, cross, least), active, posts, cross, presence)
     left = m.select(F.col("id").alias("u"), *(F.col(f"m_{k}").alias(f"l_{k}") for k in LAYERS))
     right = m.select(F.col("id").alias("v"), *(F.col(f"m_{k}").alias(f"r_{k}") for k in LAYERS))
     full = pairs.join(left, "u", "left").join(right, "v", "left").na.fill(0).crossJoin(F.broadcast(totals(active, posts, cross)))  # totals: one row

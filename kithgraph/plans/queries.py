@@ -134,7 +134,7 @@ add("evidence_star_join", lambda c: affinity.pair_evidence(affinity.candidates(c
 
 
 def _affinity(c: Corpus) -> DataFrame:
-    return affinity.affinity(c.activity, c.posts, c.cross_references, c.relationships)
+    return affinity.affinity(c.activity, c.posts, c.cross_references)
 
 
 _RAW = [f"raw_{k}" for k in affinity.LAYERS]

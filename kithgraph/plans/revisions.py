@@ -281,7 +281,7 @@ def presented(pairs: DataFrame, members: DataFrame, macro: DataFrame, names: Dat
 
 def build_affinity(c: Corpus, watermark: str, per_node: int = 24, most: int = 1_000_000) -> AffinityBuild:
     """Communities and macro groups of the strongest affinities; raises Rejected where no resolution is fit."""
-    scored = staged(affinity.affinity(c.activity, c.posts, c.cross_references, c.relationships), "affinity-pairs")
+    scored = staged(affinity.affinity(c.activity, c.posts, c.cross_references), "affinity-pairs")
     pairs = scored.where("affinity > 0")
     kept = staged(ranking.strongest_edges(pairs.select("u", "v", F.col("affinity").alias("weight")), per_node, most), "affinity-kept")
     layers = affinity.layers_of(scored.join(kept.select("u", "v"), ["u", "v"], "left_semi"))

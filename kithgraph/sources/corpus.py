@@ -93,16 +93,23 @@ class Corpus:
 
         return activity(self.posts, self.comments)
 
+    @cached_property
+    def kept_activity(self) -> DataFrame:
+        """activity as a written table, for plans that read it several times."""
+        from kithgraph.plans.staging import staged
+
+        return staged(self.activity, "activity")
+
     @cached_property
     def relationships(self) -> DataFrame:
         from kithgraph.operators.relational import overlaps
 
-        return overlaps(self.activity, LEAST_OVERLAP)
+        return overlaps(self.kept_activity, LEAST_OVERLAP)
 
     @cached_property
     def nodes(self) -> DataFrame:
         """id, name, val (text) and type of communities, users and posts."""
-        total = self.activity.groupBy("user_id").agg(F.sum("activity_count").alias("total"))
+        total = self.kept_activity.groupBy("user_id").agg(F.sum("activity_count").alias("total"))
         users = self.users.join(total, F.col("id") == F.col("user_id"), "left")
         parts = [
             self.communities.select(typed_id("community", "id").alias("id"), "name", F.col("subscribers").cast("string").alias("val"), F.lit("community").alias("type")),
@@ -115,7 +122,7 @@ class Corpus:
     def links(self) -> DataFrame:
         """source and target: users and communities, communities both ways, posts and communities."""
         parts = [
-            self.activity.select(typed_id("user", "user_id").alias("source"), typed_id("community", "community_id").alias("target")),
+            self.kept_activity.select(typed_id("user", "user_id").alias("source"), typed_id("community", "community_id").alias("target")),
             self.relationships.select(typed_id("community", "source").alias("source"), typed_id("community", "target").alias("target")),
             self.posts.select(typed_id("post", "id").alias("source"), typed_id("community", "community_id").alias("target")),
         ]
