@@ -20,6 +20,8 @@ import numpy as np
 #: Most codes in a table.
 _FULL = 4096
 _LAST = (_FULL - 1) << 8
+#: Samples of streams that are packed or decoded together.
+AT_ONCE = 1 << 20
 
 
 class BadGif(ValueError):
@@ -187,9 +189,22 @@ def _palette(table: np.ndarray) -> tuple[int, bytes]:
     return size, table.astype(np.uint8).tobytes() + bytes(3 * ((2 << size) - len(table)))
 
 
+def _groups(sizes: Iterable[int], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Consecutive stretches with about `most` in all, one at least."""
+    first = held = n = 0
+    for n, size in enumerate(sizes, 1):
+        held += size
+        if held >= most:
+            yield first, n
+            first, held = n, 0
+    if first < n:
+        yield first, n
+
+
 def write(images: list[tuple[tuple[int, int], np.ndarray, list[Frame]]]) -> list[bytes]:
     """Each of (width and height, palette, frames) as a file."""
-    bodies = iter(lzw_encode([f.samples.tobytes() for _, _, frames in images for f in frames]))
+    every = [f for _, _, frames in images for f in frames]
+    bodies = chain.from_iterable(lzw_encode([f.samples.tobytes() for f in every[a:b]]) for a, b in _groups(f.samples.size for f in every))
     out = []
     for (width, height), palette, frames in images:
         size, table = _palette(palette)
@@ -292,7 +307,8 @@ def read(files: list[bytes]) -> Iterator[Iterator[Shown]]:
     streams = [s for _, _, stored in parsed for s in stored]
     for bits in {s.bits for s in streams}:
         some = [s for s in streams if s.bits == bits]
-        for s, samples in zip(some, lzw_decode([s.stream for s in some], bits), strict=True):
+        decoded = chain.from_iterable(lzw_decode([s.stream for s in some[a:b]], bits) for a, b in _groups(s.size[0] * s.size[1] for s in some))
+        for s, samples in zip(some, decoded, strict=True):
             h, w = s.size
             if len(samples) != h * w:
                 raise BadGif(f"{len(samples)} samples for {w} x {h}")

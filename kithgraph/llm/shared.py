@@ -3,7 +3,6 @@ inside hot groups, and Arrow batches cut into pieces of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
@@ -14,27 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kithgraph.plans.staging import shared_dir
+
 #: Bytes of text that are worked on at once; one longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set.
-
-    Where it is unset, a local session gets a temporary folder and a cluster the
-    warehouse's folder.
-    """
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if at:
-        return at.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        at = "file://" + tempfile.mkdtemp(prefix="kithgraph-")
-    else:
-        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
-    spark.sparkContext.setCheckpointDir(at)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
 _OPEN = threading.local()
 
 
