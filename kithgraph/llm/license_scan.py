@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from kithgraph.llm.license_texts import NAMES, TEXTS
 
-#: What is no part of a word, for texts in either case.
-_GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+#: What is no part of a word, for texts in either case; one by one, which the JVM looks up in a table.
+_GAP = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Indexed words of a template, and the part of them that must agree in a text.
@@ -107,10 +107,34 @@ def needed(templates: tuple[Template, ...], index: list[Anchor]) -> list[int]:
     return [n[k] if not t.tolerance else math.ceil(LEAST * n[k]) for k, t in enumerate(templates)]
 
 
-def first_words(templates: tuple[Template, ...]) -> list[str]:
-    """The rarest word of a key phrase of each template; a text without any of them holds no template."""
-    seen = frequencies(templates)
-    return sorted({min((w for _, _, p in t.keys for w in p.split()), key=lambda w: (w.isdigit(), seen[w], -len(w), w)) for t in templates})
+def needles(templates: tuple[Template, ...], least: int = 6) -> tuple[list[str], list[str]]:
+    """Words of which a text that holds a template must hold one, and phrases of templates without a word of so many letters.
+
+    A text must have all words of a template's key phrases, so one is enough: the fewest
+    words that cover all templates, taken one after the other.
+    """
+    open_ = {n: {w for _, _, p in t.keys for w in p.split() if len(w) >= least} for n, t in enumerate(templates)}
+    phrases = sorted({templates[n].phrases[0] for n, words in open_.items() if not words})
+    open_ = {n: words for n, words in open_.items() if words}
+    chosen = []
+    while open_:
+        count = Counter(w for words in open_.values() for w in words)
+        best = min(count, key=lambda w: (-count[w], -len(w), w))
+        chosen.append(best)
+        open_ = {n: words for n, words in open_.items() if best not in words}
+    return sorted(chosen), phrases
+
+
+def may_hold(text: Column, templates: tuple[Template, ...]) -> Column:
+    """False only for texts that hold no template; lower case by Unicode maps A-Z as the scan does, and more."""
+    words, phrases = needles(templates)
+    lower = F.lower(text)
+    found = F.lit(False)
+    for w in words:
+        found = found | lower.contains(w)
+    if phrases:
+        found = found | text.rlike("(?i)" + "|".join(f"[{_GAP}]+".join(p.split()) for p in phrases))
+    return found
 
 
 def lowered(text: Column) -> Column:
@@ -128,7 +152,6 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     for a in index:
         postings.setdefault(a.word, []).append(a)
     text = F.coalesce("text", F.lit(""))
-    may_hold = text.rlike(f"(?i)(?<![^{_GAP}])(?:{'|'.join(first_words(templates))})(?![^{_GAP}])")
     by_word = F.create_map(*(c for w, some in sorted(postings.items()) for c in (F.lit(w), F.array(*(F.struct(F.lit(a.template).alias("t"), F.lit(a.number).alias("a"), F.lit(a.at).alias("at")) for a in some)))))
     size = Counter(a.template for a in index)
     facts = F.array(
@@ -141,7 +164,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
         )
     )
 
-    rows = docs.select("doc_id", F.regexp_count(text, F.lit(f"[^{_GAP}]+")).cast("long").alias("n_words"), F.when(may_hold, F.regexp_extract_all(lowered(text), F.lit(f"({WORD})"), F.lit(1))).alias("words"))
+    rows = docs.select("doc_id", F.regexp_count(text, F.lit(f"[^{_GAP}]++")).cast("long").alias("n_words"), F.when(may_hold(text, templates), F.regexp_extract_all(lowered(text), F.lit(f"({WORD})"), F.lit(1))).alias("words"))
     rows = rows.withColumn("hits", F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: h["w"].isin(*sorted(postings))))
     votes = F.flatten(F.transform("hits", lambda h: F.transform(by_word[h["w"]], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("d"), p["a"].alias("a")))))
     rows = rows.withColumn("votes", F.array_sort(votes))

@@ -65,7 +65,7 @@ TEXTS = (
     ),
     (
         "isc",
-        ("with or without fee",),
+        ("permission to use copy modify", "with or without fee"),
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee""",
     ),
     (

@@ -384,3 +384,13 @@ def test_a_text_is_its_windows(docs):
         assert np.allclose(scorer.texts(one, bounds), whole)
     finally:
         language_id.LONG = before
+
+
+def test_texts_are_passed_over_only_without_any_template(spark):
+    """The scan of the whole table equals one that looks at every text."""
+    texts = [t.text for t in license_scan.TEMPLATES] + ["CC\tBY\n\nNC", "cc-by_nc", "ccbync", "The Mozilla\u00a0Public License", "LICENSE"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.summarised(license_scan.scan(df)).collect()}
+    for k, t in enumerate(license_scan.TEMPLATES):
+        assert t.label in got[k].split(",")
+    assert [got[len(license_scan.TEMPLATES) + k] for k in range(5)] == ["cc-by-nc", "cc-by-nc", "", "", ""]
