@@ -88,7 +88,8 @@ def path_segment(text: Column) -> Column:
 
 def next_run(expression: str, now: Column) -> Column:
     """The next run after now: @hourly, @daily, @weekly (Sundays), @monthly, @yearly or @every Nd."""
-    unit = {"@hourly": ("hour", "INTERVAL 1 HOUR"), "@daily": ("day", "INTERVAL 1 DAY"), "@monthly": ("month", "INTERVAL 1 MONTH"), "@yearly": ("year", "INTERVAL 1 YEAR")}
+    unit = {"@hourly": ("hour", "INTERVAL 1 HOUR"), "@daily": ("day", "INTERVAL 1 DAY"), "@monthly": ("month", "INTERVAL 1 MONTH"),
+        "@yearly": ("year", "INTERVAL 1 YEAR")}
     if expression in unit:
         part, step = unit[expression]
         return F.date_trunc(part, now) + F.expr(step)

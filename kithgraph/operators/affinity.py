@@ -23,7 +23,8 @@ def candidates(relationships: DataFrame, cross: DataFrame, least: int = 2) -> Da
 
 def marginals(active: DataFrame, posts: DataFrame, cross: DataFrame) -> DataFrame:
     """id and, for each layer, the community's total."""
-    a = active.groupBy(F.col("community_id").alias("id")).agg(F.count("*").alias("m_active"), F.sum(F.least("activity_count", F.lit(100))).alias("m_repeat"))
+    a = active.groupBy(F.col("community_id").alias("id")).agg(F.count("*").alias("m_active"), F.sum(F.least("activity_count", F.lit(100)))
+        .alias("m_repeat"))
     p = posts.groupBy(F.col("community_id").alias("id")).agg(F.count_distinct("author_id").alias("m_authors"))
     c = cross.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("m_cross"))
     found = a.join(p, "id", "full_outer").join(c, "id", "full_outer")
@@ -32,7 +33,8 @@ def marginals(active: DataFrame, posts: DataFrame, cross: DataFrame) -> DataFram
 
 def totals(active: DataFrame, posts: DataFrame, cross: DataFrame) -> DataFrame:
     """One row: the universe of each layer."""
-    a = active.agg(F.count_distinct("user_id").alias("t_active"), F.coalesce(F.sum(F.least("activity_count", F.lit(100))), F.lit(0)).alias("t_repeat"))
+    a = active.agg(F.count_distinct("user_id").alias("t_active"), F.coalesce(F.sum(F.least("activity_count", F.lit(100))), F.lit(0))
+        .alias("t_repeat"))
     return a.crossJoin(posts.agg(F.count_distinct("author_id").alias("t_authors"))).crossJoin(cross.agg((2 * F.count("*")).alias("t_cross")))
 
 
@@ -42,11 +44,13 @@ def shared_presence(active: DataFrame, posts: DataFrame) -> DataFrame:
     One join of activity with itself for all three; a pair of communities without a common user has no row.
     """
     wrote = posts.select(F.col("author_id").alias("user_id"), "community_id", F.lit(1).alias("w")).distinct()
-    rows = active.join(wrote, ["user_id", "community_id"], "left").select("user_id", "community_id", F.col("activity_count").alias("n"), F.coalesce("w", F.lit(0)).alias("w"))
+    rows = active.join(wrote, ["user_id", "community_id"], "left").select("user_id", "community_id", F.col("activity_count")
+        .alias("n"), F.coalesce("w", F.lit(0)).alias("w"))
     a = rows.select("user_id", F.col("community_id").alias("u"), F.col("n").alias("nu"), F.col("w").alias("wu"))
     b = rows.select("user_id", F.col("community_id").alias("v"), F.col("n").alias("nv"), F.col("w").alias("wv"))
     both = a.join(b, "user_id").where("u < v").groupBy("u", "v")
-    return both.agg(F.count("*").alias("o_active"), F.least(F.sum(F.least("nu", "nv")), F.lit(100)).alias("o_repeat"), F.sum(F.col("wu") * F.col("wv")).alias("o_authors"))
+    return both.agg(F.count("*").alias("o_active"), F.least(F.sum(F.least("nu", "nv")), F.lit(100)).alias("o_repeat"), F.sum(F.col("wu") * F.col(
+        "wv")).alias("o_authors"))
 
 
 def pair_evidence(pairs: DataFrame, active: DataFrame, posts: DataFrame, cross: DataFrame, presence: DataFrame | None = None) -> DataFrame:
@@ -88,7 +92,8 @@ def affinity(active: DataFrame, posts: DataFrame, cross: DataFrame, least: int =
 
     What communities have in common is counted once, for the candidates and for their evidence.
     """
-    active, posts, cross = staged(active, "affinity-activity"), staged(posts.select("author_id", "community_id"), "affinity-posts"), staged(cross.select("source", "target"), "affinity-cross")
+    active, posts, cross = staged(active, "affinity-activity"), staged(posts.select("author_id", "community_id"), "affinity-posts"), staged(
+        cross.select("source", "target"), "affinity-cross")
     presence = staged(shared_presence(active, posts), "affinity-presence")
     near = presence.select(F.col("u").alias("source"), F.col("v").alias("target"), F.col("o_active").alias("overlap_count"))
     m = marginals(active, posts, cross)
@@ -104,25 +109,30 @@ def group_routes(edges: DataFrame, members: DataFrame) -> DataFrame:
     a = members.select(F.col("id").alias("u"), F.col("group_id").alias("gu"))
     b = members.select(F.col("id").alias("v"), F.col("group_id").alias("gv"))
     across = edges.join(a, "u").join(b, "v").where("gu <> gv")
-    found = across.groupBy(F.least("gu", "gv").alias("source"), F.greatest("gu", "gv").alias("target")).agg(F.sum("affinity").alias("total"), F.avg("affinity").alias("mean"), F.count("*").alias("edge_count"))
+    found = across.groupBy(F.least("gu", "gv").alias("source"), F.greatest("gu", "gv").alias("target")).agg(F.sum("affinity")
+        .alias("total"), F.avg("affinity").alias("mean"), F.count("*").alias("edge_count"))
     return found.select("source", "target", "total", F.least("mean", F.lit(1.0)).alias("affinity"), "edge_count")
 
 
 def macro_share(edges: DataFrame, members: DataFrame) -> DataFrame:
     """For each community its share of affinity in its own macro group and in the strongest other one, and whether it is a bridge."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("other"), "affinity"), F.struct(F.col("v").alias("id"), F.col("u").alias("other"), "affinity"))).alias("e")).select("e.*")
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("other"), "affinity"), F.struct(F.col("v")
+        .alias("id"), F.col("u").alias("other"), "affinity"))).alias("e")).select("e.*")
     own = members.select("id", F.col("group_id").alias("own"))
     far = members.select(F.col("id").alias("other"), "group_id")
     by = ends.join(far, "other").groupBy("id", "group_id").agg(F.sum("affinity").alias("s")).join(own, "id")
     by = by.withColumn("total", F.sum("s").over(Window.partitionBy("id")))
     share = F.col("s") / F.col("total")
-    agg = by.groupBy("id").agg(F.coalesce(F.sum(F.when(F.col("group_id") == F.col("own"), share)), F.lit(0.0)).alias("primary_share"), F.coalesce(F.max(F.when(F.col("group_id") != F.col("own"), share)), F.lit(0.0)).alias("secondary_share"))
+    agg = by.groupBy("id").agg(F.coalesce(F.sum(F.when(F.col("group_id") == F.col("own"), share)), F.lit(0.0))
+        .alias("primary_share"), F.coalesce(F.max(F.when(F.col("group_id") != F.col("own"), share)), F.lit(0.0))
+        .alias("secondary_share"))
     return agg.withColumn("is_bridge", is_bridge(F.col("primary_share"), F.col("secondary_share")))
 
 
 def layers_of(scored_edges: DataFrame) -> DataFrame:
     """layer, u, v and raw of every positive component, with the weights of layers that have any made to sum to one."""
-    stacked = scored_edges.select("u", "v", F.explode(F.array(*(F.struct(F.lit(k).alias("layer"), F.lit(w).alias("w"), F.col(f"raw_{k}").alias("raw")) for k, w in LAYERS.items()))).alias("c")).select("u", "v", "c.*").where("raw > 0")
+    stacked = scored_edges.select("u", "v", F.explode(F.array(*(F.struct(F.lit(k).alias("layer"), F.lit(w)
+        .alias("w"), F.col(f"raw_{k}").alias("raw")) for k, w in LAYERS.items()))).alias("c")).select("u", "v", "c.*").where("raw > 0")
     present = stacked.select("layer", "w").distinct()
     total = present.agg(F.sum("w").alias("total"))
     return stacked.crossJoin(F.broadcast(total)).select("layer", "u", "v", "raw", (F.col("w") / F.col("total")).alias("weight"))  # total: one row

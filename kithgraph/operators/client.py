@@ -72,7 +72,8 @@ def bundled_links(links: DataFrame, members: DataFrame, base: float = 1.0) -> Da
     a = centre.select(F.col("community_id").alias("source"), *(F.col(f"pos_{k}").alias(f"from_{k}") for k in "xyz"))
     b = centre.select(F.col("community_id").alias("target"), *(F.col(f"pos_{k}").alias(f"to_{k}") for k in "xyz"))
     j = across.join(a, "source").join(b, "target")
-    return j.select("source", "target", F.col("weight").alias("n_links"), (base * (1 + F.log10("weight"))).alias("width"), *(f"{e}_{k}" for e in ("from", "to") for k in "xyz"))
+    return j.select("source", "target", F.col("weight").alias("n_links"), (base * (1 + F.log10("weight")))
+        .alias("width"), *(f"{e}_{k}" for e in ("from", "to") for k in "xyz"))
 
 
 def labels(nodes: DataFrame, links: DataFrame, most: int = 200) -> DataFrame:
@@ -85,7 +86,8 @@ def density(links: DataFrame, members: DataFrame) -> DataFrame:
     """Links inside each community (id, community_id) over the possible pairs; zero under two members."""
     a = members.select(F.col("id").alias("source"), F.col("community_id").alias("cu"))
     b = members.select(F.col("id").alias("target"), F.col("community_id").alias("cv"))
-    inner = links.join(a, "source").join(b, "target").where("cu = cv").groupBy(F.col("cu").alias("community_id")).agg(F.count("*").alias("inner_links"))
+    inner = links.join(a, "source").join(b, "target").where("cu = cv").groupBy(F.col("cu").alias("community_id")).agg(F.count("*")
+        .alias("inner_links"))
     size = members.groupBy("community_id").agg(F.count("*").alias("n"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     found = size.join(inner, "community_id", "left")

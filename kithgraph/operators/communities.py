@@ -26,13 +26,15 @@ KERNEL_LINKS = 2_000_000
 
 def modularity(links: DataFrame, members: DataFrame) -> DataFrame:
     """One row: the modularity of communities (id, community_id) over undirected links (u, v, weight)."""
-    both = links.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b"), "weight"), F.struct(F.col("v").alias("a"), F.col("u").alias("b"), "weight"))).alias("e")).select("e.*")
+    both = links.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b"), "weight"), F.struct(F.col("v")
+        .alias("a"), F.col("u").alias("b"), "weight"))).alias("e")).select("e.*")
     total = both.agg(F.sum("weight").cast("double").alias("m2"))
     degree = both.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("d")).join(members, "id")
     a = members.select(F.col("id").alias("a"), F.col("community_id").alias("ca"))
     b = members.select(F.col("id").alias("b"), F.col("community_id").alias("cb"))
     inner = both.join(a, "a").join(b, "b").where("ca = cb").agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("w"))
-    by = degree.groupBy("community_id").agg(F.sum("d").cast("double").alias("k")).agg(F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0.0)).alias("kk"))
+    by = degree.groupBy("community_id").agg(F.sum("d").cast("double").alias("k")).agg(F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0.0))
+        .alias("kk"))
     return total.crossJoin(inner).crossJoin(by).select((F.col("w") / F.col("m2") - F.col("kk") / (F.col("m2") * F.col("m2"))).alias("modularity"))  # one-row frames
 
 
@@ -43,11 +45,13 @@ def label_propagation(links: DataFrame, stage: Callable[[DataFrame], DataFrame]
     stage cuts the lineage after a sweep; links are undirected, loops don't count.
     """
     links = links.where("u <> v")
-    both = stage(links.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("other"), "weight"), F.struct(F.col("v").alias("id"), F.col("u").alias("other"), "weight"))).alias("e")).select("e.*"))
+    both = stage(links.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("other"), "weight"), F.struct(F.col("v")
+        .alias("id"), F.col("u").alias("other"), "weight"))).alias("e")).select("e.*"))
     now = both.select("id").distinct().withColumn("label", F.col("id"))
     for _ in range(sweeps):
         around = both.join(now.select(F.col("id").alias("other"), "label"), "other").select("id", "label", "weight")
-        votes = around.unionByName(now.withColumn("weight", F.lit(1).cast(both.schema["weight"].dataType))).groupBy("id", "label").agg(F.sum("weight").alias("w"))
+        votes = around.unionByName(now.withColumn("weight", F.lit(1).cast(both.schema["weight"].dataType))).groupBy("id", "label").agg(F.sum(
+            "weight").alias("w"))
         first = Window.partitionBy("id").orderBy(F.desc("w"), "label")
         best = votes.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("id", "label")
         new = stage(best)
@@ -74,11 +78,13 @@ def coarsened(links: DataFrame, most: int = KERNEL_LINKS) -> tuple[DataFrame, Da
         before = n
         label = staged(label_propagation(links, sweeps=5), "coarse-labels")
         a, b = (label.select(F.col("id").alias(c), F.col("label").alias(f"g{c}")) for c in "uv")
-        between = links.join(a, "u").join(b, "v").groupBy(F.least("gu", "gv").alias("u"), F.greatest("gu", "gv").alias("v")).agg(F.sum("weight").alias("weight"))
+        between = links.join(a, "u").join(b, "v").groupBy(F.least("gu", "gv").alias("u"), F.greatest("gu", "gv")
+            .alias("v")).agg(F.sum("weight").alias("weight"))
         links = staged(between, "coarse-links")
         step = label.select("id", F.col("label").alias("group"))
         if members is not None:
-            step = members.join(step.select(F.col("id").alias("_at"), F.col("group").alias("_to")), F.col("group") == F.col("_at")).select("id", F.col("_to").alias("group"))
+            step = members.join(step.select(F.col("id").alias("_at"), F.col("group").alias("_to")), F.col("group") == F.col("_at")).select(
+                "id", F.col("_to").alias("group"))
         members = staged(step, "coarse-members")
     return links, members
 
@@ -92,7 +98,8 @@ def hierarchy(links: DataFrame, resolutions: list[float], levels: int = 3, most:
 
     def kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found, _ = multilevel([zip(rows["u"], rows["v"], rows["weight"].astype(float), strict=True)], [1.0], float(key[0]))
-        out = [pd.DataFrame({"resolution": float(key[0]), "level": k + 1, "id": list(f), "community_id": list(f.values())}) for k, f in enumerate(found[:levels])]
+        out = [pd.DataFrame({"resolution": float(key[0]), "level": k + 1, "id": list(f), "community_id": list(f.values())}) for k, f in enumerate(
+            found[:levels])]
         return pd.concat(out)
 
     kind = links.schema["u"].dataType.simpleString()
@@ -150,7 +157,8 @@ def nested_communities(nodes: DataFrame, links: DataFrame, most_nodes: int = 10_
             ids = list(at.community)
             coarser = [after.community[x] if after else None for x in ids]
             finer = [at.finer.get(c) for c in at.community.values()]
-            out.append(pd.DataFrame({"level": at.level, "id": ids, "community_id": list(at.community.values()), "finer_id": finer, "coarser_id": coarser, "modularity": at.modularity}).astype({"finer_id": "Int64", "coarser_id": "Int64"}))
+            out.append(pd.DataFrame({"level": at.level, "id": ids, "community_id": list(at.community.values()), "finer_id": finer,
+                "coarser_id": coarser, "modularity": at.modularity}).astype({"finer_id": "Int64", "coarser_id": "Int64"}))
         return pd.concat(out)
 
     return both.groupBy("one").applyInPandas(kernel, "level int, id string, community_id long, finer_id long, coarser_id long, modularity double")
@@ -183,7 +191,8 @@ def fine_selection(found: DataFrame, nodes: int | None = None) -> DataFrame:
     named = found.withColumn("level", F.lit(1))
     held = found.agg(F.count_distinct("id").alias("n")).first()["n"] if nodes is None else nodes
     gate = partition_gate(named, max(held, 1)).where("accepted").select("resolution")
-    best = found.join(gate, "resolution").groupBy("resolution").agg(F.max("modularity").alias("q")).orderBy(F.desc("q"), "resolution").limit(1).select("resolution")
+    best = found.join(gate, "resolution").groupBy("resolution").agg(F.max("modularity").alias("q")).orderBy(F.desc("q"), "resolution").limit(
+        1).select("resolution")
     return found.join(F.broadcast(best), "resolution").select("resolution", "id", "community_id", "modularity")  # best: one row
 
 
@@ -201,7 +210,8 @@ FINE, MACRO = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0), (0.05, 0.1, 0.2, 0.35,
 def partition_gate(found: DataFrame, members: int, least_held: float = 0.95, most_single: float = 0.2, sizes: tuple[float, float] = (5, 500)) -> DataFrame:
     """For each resolution of level 1: the part of nodes outside singletons, the part of singleton communities, the median size, and whether all are in range."""
     size = found.where("level = 1").groupBy("resolution", "community_id").agg(F.count("*").alias("n"))
-    by = size.groupBy("resolution").agg(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("held"), F.avg((F.col("n") == 1).cast("double")).alias("single"), F.expr("percentile(n, 0.5)").alias("median"), F.count("*").alias("communities"))
+    by = size.groupBy("resolution").agg(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("held"), F.avg((F.col("n") == 1)
+        .cast("double")).alias("single"), F.expr("percentile(n, 0.5)").alias("median"), F.count("*").alias("communities"))
     ok = (F.col("held") / members >= least_held) & (F.col("single") < most_single) & F.col("median").between(*sizes)
     return by.select("resolution", "communities", (F.col("held") / members).alias("held"), "single", "median", ok.alias("accepted"))
 
@@ -214,10 +224,12 @@ def multiplex(layers: DataFrame) -> DataFrame:
 def macro_selection(found: DataFrame, links: DataFrame, groups: tuple[int, int] = (8, 12)) -> DataFrame:
     """resolution, communities and modularity of level-1 partitions, best first, those with the wanted number of groups ahead."""
     level = found.where("level = 1").select("resolution", "id", "community_id")
-    both = links.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b"), "weight"), F.struct(F.col("v").alias("a"), F.col("u").alias("b"), "weight"))).alias("e")).select("e.*")
+    both = links.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b"), "weight"), F.struct(F.col("v")
+        .alias("a"), F.col("u").alias("b"), "weight"))).alias("e")).select("e.*")
     m2 = both.agg(F.sum("weight").cast("double").alias("m2"))
     degree = both.groupBy(F.col("a").alias("id")).agg(F.sum("weight").cast("double").alias("d")).join(level, "id")
-    kk = degree.groupBy("resolution", "community_id").agg(F.sum("d").alias("k")).groupBy("resolution").agg(F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("communities"))
+    kk = degree.groupBy("resolution", "community_id").agg(F.sum("d").alias("k")).groupBy("resolution").agg(F.sum(F.col("k") * F.col("k"))
+        .alias("kk"), F.count("*").alias("communities"))
     a = level.select("resolution", F.col("id").alias("a"), F.col("community_id").alias("ca"))
     b = level.select("resolution", F.col("id").alias("b"), F.col("community_id").alias("cb"))
     w = both.join(a, "a").join(b, ["resolution", "b"]).where("ca = cb").groupBy("resolution").agg(F.sum("weight").cast("double").alias("w"))

@@ -33,7 +33,8 @@ def adjacent(entities: DataFrame, links: DataFrame, key: str) -> DataFrame:
 
 def neighbourhood(entities: DataFrame, links: DataFrame, suppressed: DataFrame, key: str, most: int) -> DataFrame:
     """id, priority, type and value of an entity and what is next to it: itself first, then by the strongest link."""
-    near = adjacent(entities, links, key).where(F.col("neighbour") != key).groupBy(F.col("neighbour").alias("id")).agg(F.max("weight").alias("priority"))
+    near = adjacent(entities, links, key).where(F.col("neighbour") != key).groupBy(F.col("neighbour")
+        .alias("id")).agg(F.max("weight").alias("priority"))
     me = entities.where(F.col("id") == key).select("id", F.lit(FIRST).alias("priority"))
     chosen = me.unionByName(near).orderBy(F.desc("priority"), "id").limit(most)
     found = visible(entities.select("id", "type", "value"), suppressed).join(chosen, "id")
@@ -60,7 +61,8 @@ def details(entities: DataFrame, documents: DataFrame, communities: DataFrame, s
     group = visible(communities.where(F.col("id") == key), suppressed).join(mine.select("id"), "id", "left_anti")
     none = F.lit(None).cast("string")
     other = group.select(
-        "id", F.col("label").alias("name"), F.col("size").cast("long").alias("value"), F.lit("cluster").alias("type"), F.col("id").alias("community_id"), "macro_group_id",
+        "id", F.col("label").alias("name"), F.col("size").cast("long").alias("value"), F.lit("cluster").alias("type"), F.col("id").alias(
+            "community_id"), "macro_group_id",
         "distinctiveness", "confidence", F.col("label").alias("title"), none.alias("body"), F.lit(False).alias("sensitive"),
         F.concat(F.lit("/catalog/clusters/"), path_segment(F.col("id"))).alias("page"),
     )
@@ -69,7 +71,8 @@ def details(entities: DataFrame, documents: DataFrame, communities: DataFrame, s
 
 def close_entities(entities: DataFrame, links: DataFrame, suppressed: DataFrame, key: str, most: int) -> DataFrame:
     """id, label, value, type and degree of the neighbours that are next to an entity in most ways; degree counts the ways."""
-    ranked = adjacent(entities, links, key).groupBy(F.col("neighbour").alias("id")).agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "id").limit(most)
+    ranked = adjacent(entities, links, key).groupBy(F.col("neighbour").alias("id")).agg(F.count("*").alias("degree")).orderBy(F.desc(
+        "degree"), "id").limit(most)
     found = visible(entities.select("id", "label", "value", "type"), suppressed).join(ranked, "id")
     return found.orderBy(F.desc("degree"), F.desc("value"), "id")
 
@@ -82,7 +85,8 @@ def legacy_details(nodes: DataFrame, links: DataFrame, communities: DataFrame, k
     top = nodes.select("id").join(around, "id").orderBy(F.desc("links"), "id").limit(most)
     told = top.agg(
         F.count("*").alias("degree"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("links")).alias("n"), "id"))), lambda x: F.concat(x["id"], F.lit(":"), (-x["n"]).cast("string"))), ",").alias("neighbours"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("links")).alias("n"), "id"))), lambda x: F.concat(x["id"], F.lit(
+            ":"), (-x["n"]).cast("string"))), ",").alias("neighbours"),
     )
     total = around.agg(F.coalesce(F.sum("links"), F.lit(0)).alias("true_degree"))
     mine = nodes.where(F.col("id") == key).crossJoin(F.broadcast(told)).crossJoin(F.broadcast(total))  # one row each
@@ -101,7 +105,8 @@ def community_tree(entities: DataFrame, suppressed: DataFrame, root: str, most:
     children = shown.where(F.coalesce(under, F.lit(False)))
     counts = shown.groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("child_count"))
     page = children.orderBy(F.desc("value"), "id").offset(start).limit(most)
-    return page.join(counts, "id", "left").select("id", "type", "label", "value", "author_id", F.coalesce("child_count", F.lit(0)).alias("child_count")).orderBy(F.desc("value"), "id")
+    return page.join(counts, "id", "left").select("id", "type", "label", "value", "author_id", F.coalesce("child_count", F.lit(0))
+        .alias("child_count")).orderBy(F.desc("value"), "id")
 
 
 def cross_linked_authors(page: DataFrame) -> DataFrame:
@@ -115,7 +120,8 @@ def macro_groups(communities: DataFrame, routes: DataFrame, suppressed: DataFram
     communities: id, macro_group_id, role, size, distinctiveness, confidence. routes between
     communities: source, target, affinity, evidence.
     """
-    by = communities.groupBy(F.col("macro_group_id").alias("id")).agg(F.min("role").alias("role"), F.count("*").alias("communities"), F.sum("size").cast("long").alias("members"))
+    by = communities.groupBy(F.col("macro_group_id").alias("id")).agg(F.min("role").alias("role"), F.count("*")
+        .alias("communities"), F.sum("size").cast("long").alias("members"))
     shown = visible(by, suppressed)
     a, b = (communities.select(F.col("id").alias(c), F.col("macro_group_id").alias(f"g{c}")) for c in ("source", "target"))
     across = routes.join(a, "source").join(b, "target").where("gsource <> gtarget")
@@ -130,7 +136,8 @@ def legacy_graph(communities: DataFrame, users: DataFrame, active: DataFrame, re
     """Nodes (communities by subscribers, users by what they wrote) and links of the legacy document."""
     total = active.groupBy(F.col("user_id").alias("id")).agg(F.sum("activity_count").alias("total"))
     nodes = communities.select(typed_id("community", "id").alias("id"), "name", F.col("subscribers").cast("string").alias("val"), F.lit("community").alias("type")).unionByName(
-        users.join(total, "id", "left").select(typed_id("user", "id").alias("id"), F.col("username").alias("name"), F.coalesce("total", F.lit(0)).cast("string").alias("val"), F.lit("user").alias("type"))
+        users.join(total, "id", "left").select(typed_id("user", "id").alias("id"), F.col("username").alias("name"), F.coalesce("total", F.lit(
+            0)).cast("string").alias("val"), F.lit("user").alias("type"))
     )
     links = relationships.where("overlap_count > 0").select(typed_id("community", "source").alias("source"), typed_id("community", "target").alias("target")).unionByName(
         active.where("activity_count > 0").select(typed_id("user", "user_id").alias("source"), typed_id("community", "community_id").alias("target"))

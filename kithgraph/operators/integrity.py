@@ -53,7 +53,8 @@ def report(checks: dict[str, DataFrame]) -> DataFrame:
 
 def upserted(old: DataFrame, new: DataFrame, key: str, order: Column) -> DataFrame:
     """Last write wins by key: new rows before old ones, among new ones by order."""
-    both = old.withColumns({"_new": F.lit(0), "_at": F.lit(0).cast("long")}).unionByName(new.withColumns({"_new": F.lit(1), "_at": order.cast("long")}))
+    both = old.withColumns({"_new": F.lit(0), "_at": F.lit(0).cast("long")}).unionByName(new.withColumns({"_new": F.lit(1), "_at": order.cast(
+        "long")}))
     w = Window.partitionBy(key).orderBy(F.desc("_new"), F.desc("_at"))
     return both.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_new", "_at")
 
@@ -61,7 +62,8 @@ def upserted(old: DataFrame, new: DataFrame, key: str, order: Column) -> DataFra
 def insertable_links(batch: DataFrame, nodes: DataFrame, existing: DataFrame) -> DataFrame:
     """Different links of a batch whose ends exist and that are not there yet."""
     found = batch.select("source", "target").distinct().join(nodes.select(F.col("id").alias("source")), "source", "left_semi")
-    return found.join(nodes.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target").join(existing, ["source", "target"], "left_anti")
+    return found.join(nodes.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target").join(existing, ["source",
+        "target"], "left_anti")
 
 
 def moved(nodes: DataFrame, positions: DataFrame, least: float) -> DataFrame:
@@ -115,8 +117,10 @@ def deleted_in_batches(rows: DataFrame, orphans: DataFrame, keys: list[str], bat
 def identity_events(shared: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Merges, splits, new and retired groups, of the overlaps (new_id, old_id) between two builds."""
     ids = F.array_sort(F.collect_list("old_id")), F.array_sort(F.collect_list("new_id"))
-    merge = shared.groupBy("new_id").agg(ids[0].alias("old_ids")).where(F.size("old_ids") > 1).select(F.lit("merge").alias("event"), "old_ids", F.array("new_id").alias("new_ids"))
-    split = shared.groupBy("old_id").agg(ids[1].alias("new_ids")).where(F.size("new_ids") > 1).select(F.lit("split").alias("event"), F.array("old_id").alias("old_ids"), "new_ids")
+    merge = shared.groupBy("new_id").agg(ids[0].alias("old_ids")).where(F.size("old_ids") > 1).select(F.lit("merge")
+        .alias("event"), "old_ids", F.array("new_id").alias("new_ids"))
+    split = shared.groupBy("old_id").agg(ids[1].alias("new_ids")).where(F.size("new_ids") > 1).select(F.lit("split")
+        .alias("event"), F.array("old_id").alias("old_ids"), "new_ids")
     none = F.array().cast("array<bigint>")
     born = new.join(shared, "new_id", "left_anti").select(F.lit("new").alias("event"), none.alias("old_ids"), F.array("new_id").alias("new_ids"))
     gone = old.join(shared, "old_id", "left_anti").select(F.lit("retired").alias("event"), F.array("old_id").alias("old_ids"), none.alias("new_ids"))

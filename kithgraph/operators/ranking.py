@@ -39,7 +39,8 @@ def typed_quota(nodes: DataFrame, quotas: dict[str, int], cap: int) -> DataFrame
     kept = first_by(nodes.where(F.col("type").isin(*[t for t, q in quotas.items() if q])), ["type"], by_weight(), max(quotas.values()))
     limit = F.create_map(*(x for t, q in quotas.items() for x in (F.lit(t), F.lit(q))))
     place = F.create_map(*(x for k, t in enumerate(quotas) for x in (F.lit(t), F.lit(k))))
-    ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("type").orderBy(*by_weight()))).where(F.col("_rank") <= limit[F.col("type")])
+    ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("type").orderBy(*by_weight()))).where(F.col("_rank") <= limit[F.col(
+        "type")])
     return ranked.orderBy(place[F.col("type")], *by_weight()).limit(cap).drop("_rank")
 
 
@@ -53,7 +54,8 @@ def overview_rank(landmarks: DataFrame, reserved: int = 5) -> DataFrame:
 
 def strongest_edges(edges: DataFrame, most: int, cap: int) -> DataFrame:
     """Edges (u, v, weight) among the strongest of either end."""
-    ends = edges.select("u", "v", "weight", F.explode(F.array(F.struct(F.col("u").alias("at"), F.col("v").alias("other")), F.struct(F.col("v").alias("at"), F.col("u").alias("other")))).alias("e"))
+    ends = edges.select("u", "v", "weight", F.explode(F.array(F.struct(F.col("u").alias("at"), F.col("v")
+        .alias("other")), F.struct(F.col("v").alias("at"), F.col("u").alias("other")))).alias("e"))
     w = Window.partitionBy("e.at").orderBy(F.desc("weight"), "e.other")
     kept = ends.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).select("u", "v", "weight").distinct()
     return kept.orderBy(F.desc("weight"), "u", "v").limit(cap)

@@ -27,7 +27,8 @@ def overlap_pairs(active: DataFrame) -> DataFrame:
 def overlaps(active: DataFrame, least: int = 1) -> DataFrame:
     """source, target and overlap_count in both directions; the self-join runs once."""
     one = overlap_pairs(active).where(F.col("overlap_count") >= least)
-    both = F.explode(F.array(F.struct(F.col("u").alias("source"), F.col("v").alias("target")), F.struct(F.col("v").alias("source"), F.col("u").alias("target"))))
+    both = F.explode(F.array(F.struct(F.col("u").alias("source"), F.col("v").alias("target")), F.struct(F.col("v")
+        .alias("source"), F.col("u").alias("target"))))
     return one.select(both.alias("d"), "overlap_count").select("d.source", "d.target", "overlap_count")
 
 
@@ -61,7 +62,8 @@ def user_communities(communities: DataFrame, posts: DataFrame, comments: DataFra
 
 def links_among(links: DataFrame, ids: DataFrame, most: int | None = None) -> DataFrame:
     """Links with both ends among ids (id), in the order of their ends where capped."""
-    found = links.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target")
+    found = links.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id")
+        .alias("target")), "target", "left_semi").select("source", "target")
     return found if most is None else found.orderBy("source", "target").limit(most)
 
 
@@ -114,20 +116,26 @@ def reciprocal(relationships: DataFrame) -> DataFrame:
     """One row for each undirected pair, with the larger weight of both directions."""
     r = relationships.select(F.col("target").alias("source"), F.col("source").alias("target"), F.col("overlap_count").alias("back"))
     joined = relationships.join(r, ["source", "target"], "left").where((F.col("source") < F.col("target")) | F.col("back").isNull())
-    return joined.select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v"), F.greatest("overlap_count", F.coalesce("back", F.lit(0))).alias("weight"))
+    return joined.select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v"), F.greatest("overlap_count", F.coalesce(
+        "back", F.lit(0))).alias("weight"))
 
 
 def overlap_projection(relationships: DataFrame) -> DataFrame:
     """The largest overlap of each canonical pair."""
-    return relationships.groupBy(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).agg(F.max("overlap_count").alias("weight"))
+    return relationships.groupBy(F.least("source", "target").alias("u"), F.greatest("source", "target")
+        .alias("v")).agg(F.max("overlap_count").alias("weight"))
 
 
 def workspace_links(active: DataFrame, relationships: DataFrame, nodes: DataFrame, existing: DataFrame, cap: int) -> DataFrame:
     """The strongest links by weight whose ends are nodes and that are not there yet; the anti-join stays outside the cap."""
     order = [F.desc("weight"), "source", "target"]
-    a = active.select(typed_id("user", "user_id").alias("source"), typed_id("community", "community_id").alias("target"), F.col("activity_count").alias("weight"))
-    b = relationships.select(typed_id("community", "source").alias("source"), typed_id("community", "target").alias("target"), F.col("overlap_count").alias("weight"))
-    both = [x.join(nodes.select(F.col("id").alias("source")), "source", "left_semi").join(nodes.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target", "weight").orderBy(*order).limit(cap) for x in (a, b)]
+    a = active.select(typed_id("user", "user_id").alias("source"), typed_id("community", "community_id")
+        .alias("target"), F.col("activity_count").alias("weight"))
+    b = relationships.select(typed_id("community", "source").alias("source"), typed_id("community", "target")
+        .alias("target"), F.col("overlap_count").alias("weight"))
+    both = [x.join(nodes.select(F.col("id").alias("source")), "source", "left_semi").join(nodes.select(F.col("id")
+        .alias("target")), "target", "left_semi").select("source", "target", "weight").orderBy(*order)
+        .limit(cap) for x in (a, b)]
     return both[0].unionByName(both[1]).orderBy(*order).limit(cap).join(existing.select("source", "target"), ["source", "target"], "left_anti")
 
 
@@ -186,9 +194,11 @@ def detailed_content(posts: DataFrame, comments: DataFrame, most_posts: int, mos
     newest = Window.partitionBy("community_id").orderBy(F.desc("created_at"), F.asc("id"))
     some = posts.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= most_posts)
     first = Window.partitionBy("post_id").orderBy("depth", "id")
-    said = comments.join(some.select(F.col("id").alias("post_id")), "post_id", "left_semi").withColumn("k", F.row_number().over(first)).where(F.col("k") <= most_comments)
+    said = comments.join(some.select(F.col("id").alias("post_id")), "post_id", "left_semi").withColumn("k", F.row_number()
+        .over(first)).where(F.col("k") <= most_comments)
     parts = [
-        some.select(typed_id("community", "community_id").alias("source"), typed_id("post", "id").alias("target"), F.lit("published").alias("relation")),
+        some.select(typed_id("community", "community_id").alias("source"), typed_id("post", "id").alias("target"), F.lit("published")
+            .alias("relation")),
         some.select(typed_id("user", "author_id").alias("source"), typed_id("post", "id").alias("target"), F.lit("wrote").alias("relation")),
         said.select(typed_id("post", "post_id").alias("source"), typed_id("comment", "id").alias("target"), F.lit("comment").alias("relation")),
         said.select(typed_id("user", "author_id").alias("source"), typed_id("comment", "id").alias("target"), F.lit("wrote").alias("relation")),

@@ -25,10 +25,12 @@ def communities_page(landmarks: DataFrame, size: int, start: int) -> DataFrame:
 def overview(landmarks: DataFrame, routes: DataFrame, most_nodes: int, most_links: int) -> DataFrame:
     """The first landmarks (id, overview_rank) and the strongest routes (source, target, affinity, weight) among them."""
     kept = landmarks.orderBy("overview_rank", "id").limit(most_nodes).select("id")
-    among = routes.join(kept.withColumnRenamed("id", "source"), "source", "left_semi").join(kept.withColumnRenamed("id", "target"), "target", "left_semi")
+    among = routes.join(kept.withColumnRenamed("id", "source"), "source", "left_semi").join(kept.withColumnRenamed("id", "target"), "target",
+        "left_semi")
     among = among.orderBy(F.desc("affinity"), F.desc("weight"), "source", "target").limit(most_links)
     n = kept.select(F.lit("node").alias("data_type"), F.col("id").cast("string").alias("id"))
-    return n.unionByName(among.select(F.lit("link").alias("data_type"), F.concat_ws("->", F.col("source").cast("string"), F.col("target").cast("string")).alias("id")))
+    return n.unionByName(among.select(F.lit("link").alias("data_type"), F.concat_ws("->", F.col("source")
+        .cast("string"), F.col("target").cast("string")).alias("id")))
 
 
 def community_scene(entities: DataFrame, suppressed: DataFrame, community: str, kinds: list[str], most: int) -> DataFrame:
@@ -53,29 +55,36 @@ def references(entities: DataFrame, key: str) -> DataFrame:
 
 def node_details(entities: DataFrame, links: DataFrame, key: str, most: int) -> DataFrame:
     """The neighbours of an entity by their own degree, with that degree and the entity's true one."""
-    around = links.where(F.col("source") == key).select(F.col("target").alias("id")).union(links.where(F.col("target") == key).select(F.col("source").alias("id"))).distinct()
-    own = degrees(links.where((F.col("source") == key) | (F.col("target") == key))).where(F.col("id") == key).select(F.col("degree").alias("entity_degree"))
+    around = links.where(F.col("source") == key).select(F.col("target").alias("id")).union(links.where(F.col("target") == key)
+        .select(F.col("source").alias("id"))).distinct()
+    own = degrees(links.where((F.col("source") == key) | (F.col("target") == key))).where(F.col("id") == key).select(F.col("degree")
+        .alias("entity_degree"))
     found = degrees(links).join(around, "id", "left_semi").join(entities.select("id", "label"), "id").crossJoin(F.broadcast(own))  # own: one row
     return found.orderBy(F.desc("degree"), "id").limit(most)
 
 
 def entity_pages(docs: DataFrame, most: int = 320) -> DataFrame:
     """id, heading and summary of public pages; sensitive ones show neither."""
-    return docs.select("id", F.when(~F.col("sensitive"), F.col("title")).alias("heading"), F.when(~F.col("sensitive"), F.left(F.regexp_replace("body", r"\s+", " "), F.lit(most))).alias("summary"))
+    return docs.select("id", F.when(~F.col("sensitive"), F.col("title")).alias("heading"), F.when(~F.col("sensitive"), F.left(F.regexp_replace(
+        "body", r"\s+", " "), F.lit(most))).alias("summary"))
 
 
 def sensitivity(docs: DataFrame) -> DataFrame:
     """id, whether it is sensitive, and by whose word, of docs (id, source_sensitive, administrative_sensitive)."""
-    why = F.array_compact(F.array(F.when(F.col("source_sensitive"), F.lit("source")), F.when(F.col("administrative_sensitive"), F.lit("administrative"))))
-    return docs.select("id", (F.col("source_sensitive") | F.col("administrative_sensitive")).alias("sensitive"), F.array_join(why, ",").alias("sources"))
+    why = F.array_compact(F.array(F.when(F.col("source_sensitive"), F.lit("source")), F.when(F.col("administrative_sensitive"), F.lit(
+        "administrative"))))
+    return docs.select("id", (F.col("source_sensitive") | F.col("administrative_sensitive")).alias("sensitive"), F.array_join(why, ",")
+        .alias("sources"))
 
 
 def telemetry(entities: DataFrame, links: DataFrame, suppressed: DataFrame) -> DataFrame:
     """One row of exact totals without suppressed entities and links at them."""
     seen = visible(entities, suppressed)
     keys = suppressed.where("restored_at is null").select(F.col("entity_id"))
-    held = links.join(keys.withColumnRenamed("entity_id", "source"), "source", "left_anti").join(keys.withColumnRenamed("entity_id", "target"), "target", "left_anti")
-    totals = seen.agg(F.count("*").alias("entities"), *(F.count_if(F.col("type") == t).alias(f"n_{t}") for t in ("community", "user", "post", "comment")))
+    held = links.join(keys.withColumnRenamed("entity_id", "source"), "source", "left_anti").join(keys.withColumnRenamed("entity_id",
+        "target"), "target", "left_anti")
+    totals = seen.agg(F.count("*").alias("entities"), *(F.count_if(F.col("type") == t).alias(f"n_{t}") for t in ("community", "user", "post",
+        "comment")))
     return totals.crossJoin(held.agg(F.count("*").alias("links")))  # one-row frames
 
 
@@ -123,10 +132,12 @@ def labels(evidence: DataFrame, most: int = 3) -> DataFrame:
     named = F.array_sort(F.collect_list(F.struct("rank", "token")))
     by = evidence.groupBy("group_id").agg(named.alias("topics"))
     words = F.transform("topics", lambda t: t["token"])
-    by = by.select("group_id", F.array_join(F.transform(F.slice(words, 1, most), F.initcap), " · ").alias("base"), F.sha2(F.array_join(F.array_sort(F.transform(words, F.lower)), "|"), 256).alias("fingerprint"))
+    by = by.select("group_id", F.array_join(F.transform(F.slice(words, 1, most), F.initcap), " · ").alias("base"), F.sha2(F.array_join(F.array_sort(
+        F.transform(words, F.lower)), "|"), 256).alias("fingerprint"))
     by = by.withColumn("base", F.when(F.col("base") == "", "Community").otherwise(F.col("base")))
     k = F.row_number().over(Window.partitionBy("base").orderBy("group_id"))
-    return by.withColumn("_k", k).select("group_id", F.when(F.col("_k") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" "), F.col("_k").cast("string"))).alias("label"), "fingerprint")
+    return by.withColumn("_k", k).select("group_id", F.when(F.col("_k") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" "), F.col(
+        "_k").cast("string"))).alias("label"), "fingerprint")
 
 
 def cached_labels(wanted: DataFrame, cache: DataFrame) -> DataFrame:

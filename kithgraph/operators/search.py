@@ -24,7 +24,8 @@ def tiered(nodes: DataFrame, query: str, most: int) -> DataFrame:
     """Exact ids, exact labels (first 128 characters, any case), then prefixes; comments are left out."""
     head = F.lower(F.left("name", F.lit(128)))
     tier = F.when(F.col("id") == query, 2).when(head == query.lower(), 1).when(head.startswith(query.lower()), 0)
-    return nodes.where(F.col("type") != "comment").withColumn("tier", tier).where("tier is not null").orderBy(F.desc("tier"), *by_weight()).limit(most)
+    return nodes.where(F.col("type") != "comment").withColumn("tier", tier).where("tier is not null").orderBy(F.desc("tier"), *by_weight()).limit(
+        most)
 
 
 def matching(docs: DataFrame, query: str, **filters: str | bool) -> DataFrame:
@@ -47,7 +48,8 @@ def matching(docs: DataFrame, query: str, **filters: str | bool) -> DataFrame:
 def relevance(query: str, described: bool = False) -> Column:
     """Weighted token hits, with a boost for exact titles and for prefixes; described: a description counts too."""
     words = F.array(*map(F.lit, dict.fromkeys("".join(c if c.isalnum() else " " for c in query.lower()).split())))
-    hits = TITLE * F.array_size(F.array_intersect(tokens(F.col("title")), words)) + BODY * F.array_size(F.array_intersect(tokens(F.col("body")), words))
+    hits = TITLE * F.array_size(F.array_intersect(tokens(F.col("title")), words)) + BODY * F.array_size(F.array_intersect(tokens(F.col(
+        "body")), words))
     if described:
         hits = hits + DESCRIPTION * F.array_size(F.array_intersect(tokens(F.col("description")), words))
     return hits + F.when(F.lower("title") == query.lower(), 2.0).when(F.lower("title").startswith(query.lower()), 1.0).otherwise(0.0)
@@ -71,7 +73,8 @@ def sorted_catalog(entities: DataFrame, query: str = "", sort: str | None = None
     sort = sort or ("relevance" if query.strip() else "activity")
     if sort not in SORTS:
         raise ValueError(f"sort must be one of {', '.join(SORTS)}")
-    found = matching(entities, query, **filters).withColumn("relevance", relevance(query, "description" in entities.columns) if query.strip() else F.lit(0.0))
+    found = matching(entities, query, **filters).withColumn("relevance", relevance(query, "description" in entities.columns) if query.strip()
+        else F.lit(0.0))
     by = F.coalesce("activity", "value") if sort == "activity" else F.col(SORTS[sort])
     return found.orderBy(by.desc_nulls_last(), F.desc("value"), "id").offset(start).limit(most)
 
@@ -139,7 +142,8 @@ def lateral_top_links(links: DataFrame, visible: DataFrame, most: int) -> DataFr
     """
     from kithgraph.operators.ranking import first_by
 
-    mine = links.join(visible.select(F.col("id").alias("source")), "source", "left_semi").join(visible.select(F.col("id").alias("target")), "target", "left_semi")
+    mine = links.join(visible.select(F.col("id").alias("source")), "source", "left_semi").join(visible.select(F.col("id")
+        .alias("target")), "target", "left_semi")
     kept = first_by(mine, ["source"], [F.desc("weight"), F.asc("target")], most)
     return kept.select("source", "target", "weight").orderBy(F.desc("weight"), "source", "target").limit(most)
 

@@ -49,12 +49,14 @@ def centroids(members: DataFrame) -> DataFrame:
 def supernodes(communities: DataFrame, members: DataFrame) -> DataFrame:
     """Communities with their size and mean position, zero without positioned members."""
     found = members.groupBy("community_id").agg(F.count("*").alias("size"), *(F.avg(c).alias(c) for c in AXES))
-    return communities.join(found, "community_id", "left").select("community_id", F.coalesce("size", F.lit(0)).alias("size"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in AXES))
+    return communities.join(found, "community_id", "left").select("community_id", F.coalesce("size", F.lit(0))
+        .alias("size"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in AXES))
 
 
 def bounds(nodes: DataFrame) -> DataFrame:
     """One row: number and range on each axis, zero without nodes."""
-    return nodes.agg(F.count("*").alias("n"), *(F.coalesce(f(c), F.lit(0.0)).alias(f"{n}_{c[-1]}") for c in AXES for n, f in (("min", F.min), ("max", F.max))))
+    return nodes.agg(F.count("*").alias("n"), *(F.coalesce(f(c), F.lit(0.0)).alias(f"{n}_{c[-1]}") for c in AXES for n, f in (("min", F.min),
+        ("max", F.max))))
 
 
 def bundle_weights(links: DataFrame, members: DataFrame) -> DataFrame:
@@ -71,7 +73,8 @@ def bundles(weights: DataFrame, centres: DataFrame, offset: float = 0.2) -> Data
     b = centres.select(F.col("community_id").alias("target"), *(F.col(c).alias(f"b_{c[-1]}") for c in AXES))
     j = weights.join(a, "source").join(b, "target")
     mid = {k: (F.col(f"a_{k}") + F.col(f"b_{k}")) / 2 for k in "xyz"}
-    return j.select("source", "target", "weight", (mid["x"] - offset * (F.col("b_y") - F.col("a_y"))).alias("control_x"), (mid["y"] + offset * (F.col("b_x") - F.col("a_x"))).alias("control_y"), mid["z"].alias("control_z"))
+    return j.select("source", "target", "weight", (mid["x"] - offset * (F.col("b_y") - F.col("a_y")))
+        .alias("control_x"), (mid["y"] + offset * (F.col("b_x") - F.col("a_x"))).alias("control_y"), mid["z"].alias("control_z"))
 
 
 def radius_quantile(nodes: DataFrame, part: float = 0.95) -> DataFrame:
@@ -83,7 +86,8 @@ def radius_quantile(nodes: DataFrame, part: float = 0.95) -> DataFrame:
 def cosine_weights(edges: DataFrame) -> DataFrame:
     """u, v and weight over the root of both ends' strengths."""
     s = edges.select(F.explode(F.array("u", "v")).alias("id"), "weight").groupBy("id").agg(F.sum("weight").alias("strength"))
-    j = edges.join(s.select(F.col("id").alias("u"), F.col("strength").alias("su")), "u").join(s.select(F.col("id").alias("v"), F.col("strength").alias("sv")), "v")
+    j = edges.join(s.select(F.col("id").alias("u"), F.col("strength").alias("su")), "u").join(s.select(F.col("id")
+        .alias("v"), F.col("strength").alias("sv")), "v")
     return j.select("u", "v", (F.col("weight") / F.sqrt(F.col("su") * F.col("sv"))).alias("weight"))
 
 
@@ -138,7 +142,8 @@ def region_links(shown: DataFrame, links: DataFrame, entities: DataFrame, most:
     """
     keys = shown.select("id")
     ends = [keys.withColumnRenamed("id", e) for e in ("source", "target")]
-    held = links.join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi").select("source", "target", "relation", "directed", "weight")
+    held = links.join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi").select("source", "target", "relation", "directed",
+        "weight")
     own = entities.join(keys, "id", "left_semi")
     made = structural(own).join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi")
     both = held.unionByName(made.select("source", "target", "relation", F.lit(True).alias("directed"), F.lit(1).cast("long").alias("weight")))
@@ -148,11 +153,13 @@ def region_links(shown: DataFrame, links: DataFrame, entities: DataFrame, most:
 def structural(rows: DataFrame) -> DataFrame:
     """source, target and relation of the links that entities name as author and parent."""
     made = F.array(
-        F.struct(F.col("author_id").alias("source"), F.col("id").alias("target"), F.when(F.col("author_id").isNotNull(), F.lit("authorship")).alias("relation")),
+        F.struct(F.col("author_id").alias("source"), F.col("id").alias("target"), F.when(F.col("author_id")
+            .isNotNull(), F.lit("authorship")).alias("relation")),
         F.struct(
             F.col("id").alias("source"),
             F.col("parent_id").alias("target"),
-            F.when(F.col("type") == "post", "published_in").when(F.col("parent_id").startswith("comment_"), "reply").when(F.col("parent_id").startswith("post_"), "comment_on").alias("relation"),
+            F.when(F.col("type") == "post", "published_in").when(F.col("parent_id").startswith("comment_"), "reply").when(F.col("parent_id")
+                .startswith("post_"), "comment_on").alias("relation"),
         ),
     )
     return rows.select(F.explode(made).alias("l")).select("l.*").where("source is not null and target is not null and relation is not null")

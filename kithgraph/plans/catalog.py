@@ -20,7 +20,8 @@ FARTHEST = 1e12
 def automated(users: DataFrame, active: DataFrame, known: list[str], overrides: DataFrame) -> DataFrame:
     """id of automated users: many communities and a bot's name, a known name, or set by hand (user_id, automated)."""
     reach = active.groupBy("user_id").agg(F.count_distinct("community_id").alias("reach"))
-    j = users.join(reach, F.col("id") == F.col("user_id"), "left").drop("user_id").join(overrides.select(F.col("user_id").alias("id"), "automated"), "id", "left")
+    j = users.join(reach, F.col("id") == F.col("user_id"), "left").drop("user_id").join(overrides.select(F.col("user_id")
+        .alias("id"), "automated"), "id", "left")
     guess = ((F.coalesce("reach", F.lit(0)) >= BOT_COMMUNITIES) & F.lower("username").endswith("bot")) | F.lower("username").isin(*known)
     return j.where(F.coalesce("automated", guess)).select("id")
 
@@ -28,7 +29,8 @@ def automated(users: DataFrame, active: DataFrame, known: list[str], overrides:
 def user_metrics(users: DataFrame, posts: DataFrame, comments: DataFrame) -> DataFrame:
     p = posts.select("author_id", "community_id", F.lit(1).alias("p"))
     c = comments.select("author_id", "community_id", F.lit(0).alias("p"))
-    m = p.unionByName(c).groupBy("author_id").agg(F.sum("p").alias("n_posts"), F.sum(1 - F.col("p")).alias("n_comments"), F.count_distinct("community_id").alias("n_communities"), F.count("*").alias("total"))
+    m = p.unionByName(c).groupBy("author_id").agg(F.sum("p").alias("n_posts"), F.sum(1 - F.col("p")).alias("n_comments"), F.count_distinct(
+        "community_id").alias("n_communities"), F.count("*").alias("total"))
     j = users.join(m, F.col("id") == F.col("author_id"), "left")
     return j.select("id", *(F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("n_posts", "n_comments", "n_communities", "total")))
 
@@ -37,9 +39,11 @@ def community_metrics(communities: DataFrame, posts: DataFrame, comments: DataFr
     """Without what automated users wrote, and without comments on their posts."""
     b = bots.select(F.col("id").alias("author_id"))
     p = posts.join(b, "author_id", "left_anti")
-    c = comments.join(b, "author_id", "left_anti").join(posts.join(b, "author_id", "left_semi").select(F.col("id").alias("post_id")), "post_id", "left_anti")
+    c = comments.join(b, "author_id", "left_anti").join(posts.join(b, "author_id", "left_semi").select(F.col("id")
+        .alias("post_id")), "post_id", "left_anti")
     both = p.select("community_id", "author_id", F.lit(1).alias("p")).unionByName(c.select("community_id", "author_id", F.lit(0).alias("p")))
-    m = both.groupBy("community_id").agg(F.sum("p").alias("n_posts"), F.sum(1 - F.col("p")).alias("n_comments"), F.count_distinct("author_id").alias("n_authors"))
+    m = both.groupBy("community_id").agg(F.sum("p").alias("n_posts"), F.sum(1 - F.col("p")).alias("n_comments"), F.count_distinct(
+        "author_id").alias("n_authors"))
     j = communities.join(m, F.col("id") == F.col("community_id"), "left")
     return j.select("id", *(F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("n_posts", "n_comments", "n_authors")))
 
@@ -64,7 +68,8 @@ def best_anchor(active: DataFrame) -> DataFrame:
     return kept.select("user_id", "community_id", "activity_count")
 
 
-def warm_start(entities: DataFrame, previous: DataFrame, anchors: DataFrame, placed: DataFrame | None = None, related: DataFrame | None = None, near: float = 0.0) -> DataFrame:
+def warm_start(entities: DataFrame, previous: DataFrame, anchors: DataFrame, placed: DataFrame | None = None, related: DataFrame | None = None,
+    near: float = 0.0) -> DataFrame:
     """id, position and provenance of entities (id, anchor_id), from the first source that has one.
 
     In order: where it was before (previous), where this build's layout put it (placed), at
@@ -72,12 +77,14 @@ def warm_start(entities: DataFrame, previous: DataFrame, anchors: DataFrame, pla
     pos_z), else by a hash of its id. Beside an anchor or neighbour it is moved by a hash up to `near`.
     """
     empty = previous.limit(0)
-    steps = [("warm-start", previous, "id", 0.0), ("force-layout", empty if placed is None else placed, "id", 0.0), ("community-seeded", anchors, "anchor_id", near), ("overlap-seeded", empty if related is None else related, "id", near)]
+    steps = [("warm-start", previous, "id", 0.0), ("force-layout", empty if placed is None else placed, "id", 0.0), ("community-seeded",
+        anchors, "anchor_id", near), ("overlap-seeded", empty if related is None else related, "id", near)]
     j = entities.select("id", "anchor_id")
     for k, (_, source, key, _) in enumerate(steps):
         j = j.join(source.select(F.col("id").alias(key), *(F.col(f"pos_{a}").alias(f"_{k}{a}") for a in "xyz")), key, "left")
     spread = {a: F.pmod(F.xxhash64("id", F.lit(a)), F.lit(20_000)) - 10_000 for a in "xyz"}
-    at = [F.coalesce(*(F.col(f"_{k}{a}") + far * spread[a] / 10_000 for k, (*_, far) in enumerate(steps)), spread[a] / 10.0).alias(f"pos_{a}") for a in "xyz"]
+    at = [F.coalesce(*(F.col(f"_{k}{a}") + far * spread[a] / 10_000 for k, (*_, far) in enumerate(steps)), spread[a] / 10.0)
+        .alias(f"pos_{a}") for a in "xyz"]
     where = F.coalesce(*(F.when(F.col(f"_{k}x").isNotNull(), name) for k, (name, *_) in enumerate(steps)), F.lit("deterministic-global"))
     return j.select("id", *at, where.alias("provenance"))
 
@@ -88,12 +95,24 @@ def entities(communities: DataFrame, users: DataFrame, posts: DataFrame, comment
     home = best_anchor(active).select(F.col("user_id").alias("id"), F.col("community_id").alias("home"))
     total = active.groupBy(F.col("user_id").alias("id")).agg(F.sum("activity_count").alias("total"))
     u = users.join(home, "id", "left").join(total, "id", "left")
-    parent = F.when(F.col("parent_id").like("t1_%"), F.concat(F.lit("comment_"), F.expr("substring(parent_id, 4)"))).otherwise(F.concat(F.lit("post_"), F.expr("substring(parent_id, 4)")))
+    parent = F.when(F.col("parent_id").like("t1_%"), F.concat(F.lit("comment_"), F.expr("substring(parent_id, 4)"))).otherwise(F.concat(F.lit(
+        "post_"), F.expr("substring(parent_id, 4)")))
     parts = [
-        communities.select(typed_id("community", "id").alias("id"), label(F.col("name"), F.concat(F.lit("Community "), F.col("id").cast("string"))).alias("label"), F.lit("community").alias("type"), F.col("subscribers").cast("long").alias("value"), none.alias("parent_id"), none.alias("author_id"), typed_id("community", "id").alias("community_id")),
-        u.select(typed_id("user", "id").alias("id"), label(F.col("username"), F.concat(F.lit("User "), F.col("id").cast("string"))).alias("label"), F.lit("user").alias("type"), F.coalesce("total", F.lit(0)).cast("long").alias("value"), none.alias("parent_id"), none.alias("author_id"), typed_id("community", "home").alias("community_id")),
-        posts.select(typed_id("post", "id").alias("id"), label(F.col("title"), F.concat(F.lit("Post "), F.col("id").cast("string"))).alias("label"), F.lit("post").alias("type"), F.col("score").cast("long").alias("value"), typed_id("community", "community_id").alias("parent_id"), typed_id("user", "author_id").alias("author_id"), typed_id("community", "community_id").alias("community_id")),
-        comments.select(typed_id("comment", "id").alias("id"), label(F.col("body"), F.concat(F.lit("Comment "), F.col("id"))).alias("label"), F.lit("comment").alias("type"), F.col("score").cast("long").alias("value"), parent.alias("parent_id"), typed_id("user", "author_id").alias("author_id"), typed_id("community", "community_id").alias("community_id")),
+        communities.select(typed_id("community", "id").alias("id"), label(F.col("name"), F.concat(F.lit("Community "), F.col("id")
+            .cast("string"))).alias("label"), F.lit("community").alias("type"), F.col("subscribers").cast("long")
+            .alias("value"), none.alias("parent_id"), none.alias("author_id"), typed_id("community", "id")
+            .alias("community_id")),
+        u.select(typed_id("user", "id").alias("id"), label(F.col("username"), F.concat(F.lit("User "), F.col("id")
+            .cast("string"))).alias("label"), F.lit("user").alias("type"), F.coalesce("total", F.lit(0))
+            .cast("long").alias("value"), none.alias("parent_id"), none.alias("author_id"), typed_id("community", "home")
+            .alias("community_id")),
+        posts.select(typed_id("post", "id").alias("id"), label(F.col("title"), F.concat(F.lit("Post "), F.col("id")
+            .cast("string"))).alias("label"), F.lit("post").alias("type"), F.col("score").cast("long")
+            .alias("value"), typed_id("community", "community_id").alias("parent_id"), typed_id("user", "author_id")
+            .alias("author_id"), typed_id("community", "community_id").alias("community_id")),
+        comments.select(typed_id("comment", "id").alias("id"), label(F.col("body"), F.concat(F.lit("Comment "), F.col("id")))
+            .alias("label"), F.lit("comment").alias("type"), F.col("score").cast("long").alias("value"), parent.alias("parent_id"), typed_id(
+            "user", "author_id").alias("author_id"), typed_id("community", "community_id").alias("community_id")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -105,12 +124,14 @@ def structural_links(rows: DataFrame) -> DataFrame:
     """source, target and relation from the entities' own references, to entities that exist."""
     found = structural(rows)
     keys = rows.select(F.col("id"))
-    return found.join(keys.withColumnRenamed("id", "source"), "source", "left_semi").join(keys.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target", "relation")
+    return found.join(keys.withColumnRenamed("id", "source"), "source", "left_semi").join(keys.withColumnRenamed("id", "target"), "target",
+        "left_semi").select("source", "target", "relation")
 
 
 def quantiles(rows: DataFrame) -> DataFrame:
     """type and the 5th and 95th percentile of its values, nearest rank."""
-    return rows.groupBy("type").agg(*(F.expr(f"percentile_disc({p}) within group (order by value)").cast("long").alias(n) for n, p in (("low", 0.05), ("high", 0.95))))
+    return rows.groupBy("type").agg(*(F.expr(f"percentile_disc({p}) within group (order by value)").cast("long")
+        .alias(n) for n, p in (("low", 0.05), ("high", 0.95))))
 
 
 def tombstoned(docs: DataFrame) -> DataFrame:
@@ -125,7 +146,8 @@ def validation(rows: DataFrame, expected: dict[str, int] | None = None, position
     positions (pos_x, pos_y, pos_z) must be finite, within 1e12, and not all the same on any
     axis; documents (id) must be of entities.
     """
-    checks = [F.count("*").alias("n"), F.count_if(F.col("label") == "").alias("empty_labels"), *(F.count_if(F.col("type") == t).alias(f"n_{t}") for t in ("community", "user", "post", "comment"))]
+    checks = [F.count("*").alias("n"), F.count_if(F.col("label") == "").alias("empty_labels"), *(F.count_if(F.col("type") == t)
+        .alias(f"n_{t}") for t in ("community", "user", "post", "comment"))]
     found = rows.agg(*checks)
     ok = (F.col("empty_labels") == 0) & (F.col("n") > 0)
     for t, n in (expected or {}).items():
@@ -145,5 +167,6 @@ def validation(rows: DataFrame, expected: dict[str, int] | None = None, position
 def checksum(rows: DataFrame, name: str, watermark: str) -> DataFrame:
     """One row: sha-256 of the name, the watermark and the number of each type."""
     counts = rows.groupBy("type").agg(F.count("*").alias("n"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "n"))), lambda x: F.concat(x["type"], F.lit("="), x["n"].cast("string"))), ",")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "n"))), lambda x: F.concat(x["type"], F.lit("="), x["n"].cast(
+        "string"))), ",")
     return counts.agg(text.alias("counts")).select("counts", F.sha2(F.concat_ws(":", F.lit(name), F.lit(watermark), "counts"), 256).alias("checksum"))

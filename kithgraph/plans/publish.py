@@ -110,13 +110,17 @@ def typed_projection(entities: DataFrame, active: DataFrame, relationships: Data
 
     o = overlap_projection(relationships)
     parts = [
-        active.select(typed_id("user", "user_id").alias("source"), typed_id("community", "community_id").alias("target"), F.lit("user_activity").alias("relation"), F.lit(True).alias("directed"), F.col("activity_count").cast("long").alias("weight")),
-        o.select(typed_id("community", "u").alias("source"), typed_id("community", "v").alias("target"), F.lit("overlap").alias("relation"), F.lit(False).alias("directed"), F.col("weight").cast("long").alias("weight")),
+        active.select(typed_id("user", "user_id").alias("source"), typed_id("community", "community_id")
+            .alias("target"), F.lit("user_activity").alias("relation"), F.lit(True).alias("directed"), F.col("activity_count")
+            .cast("long").alias("weight")),
+        o.select(typed_id("community", "u").alias("source"), typed_id("community", "v").alias("target"), F.lit("overlap")
+            .alias("relation"), F.lit(False).alias("directed"), F.col("weight").cast("long").alias("weight")),
         links.select("source", "target", "relation", F.lit(True).alias("directed"), F.lit(1).cast("long").alias("weight")),
     ]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     keys = entities.select("id")
-    held = both.join(keys.withColumnRenamed("id", "source"), "source", "left_semi").join(keys.withColumnRenamed("id", "target"), "target", "left_semi")
+    held = both.join(keys.withColumnRenamed("id", "source"), "source", "left_semi").join(keys.withColumnRenamed("id", "target"), "target",
+        "left_semi")
     return held.select("source", "target", "relation", "directed", "weight").orderBy(F.desc("weight"), "source", "target", "relation").limit(cap)
 
 
@@ -141,7 +145,8 @@ def stable_ids(old: DataFrame, new: DataFrame, subscribers: DataFrame | None = N
     h, g = F.xxhash64(F.col("id").cast("string")), F.xxhash64(F.lit("g"), F.col("id").cast("string"))
     digest = new.groupBy("group_id").agg(F.sha2(F.concat_ws(":", F.count("*"), F.bit_xor(h), F.sum(g.cast("decimal(38, 0)"))), 256).alias("_d"))
     m = matched(old, new, subscribers).select(F.col("new_id").alias("group_id"), F.col("old_id").cast("string").alias("_old"))
-    return digest.join(m, "group_id", "left").select("group_id", F.coalesce("_old", F.concat(F.lit(prefix), F.left("_d", F.lit(16)))).alias("stable_id"))
+    return digest.join(m, "group_id", "left").select("group_id", F.coalesce("_old", F.concat(F.lit(prefix), F.left("_d", F.lit(16))))
+        .alias("stable_id"))
 
 
 def macro_identities(old: DataFrame, new: DataFrame) -> dict[str, dict[str, str]]:
@@ -153,9 +158,11 @@ def macro_identities(old: DataFrame, new: DataFrame) -> dict[str, dict[str, str]
     """
     both = new.select("id", F.col("group_id").alias("new_id"), "size").join(old.select("id", F.col("group_id").alias("old_id")), "id")
     m = mutual_best(both.groupBy("new_id", "old_id").agg(F.sum("size").alias("weight")))
-    ids = stable_ids(old.limit(0), new, prefix="m:new:").join(m.select(F.col("new_id").alias("group_id"), F.col("old_id").cast("string").alias("_old")), "group_id", "left")
+    ids = stable_ids(old.limit(0), new, prefix="m:new:").join(m.select(F.col("new_id").alias("group_id"), F.col("old_id")
+        .cast("string").alias("_old")), "group_id", "left")
     roles = old.groupBy(F.col("group_id").cast("string").alias("_old")).agg(F.min("role").alias("role"))
-    rows = ids.join(roles, "_old", "left").select("group_id", F.coalesce("_old", "stable_id").alias("stable_id"), "role").orderBy("group_id").limit(len(PALETTE) * 4).collect()
+    rows = ids.join(roles, "_old", "left").select("group_id", F.coalesce("_old", "stable_id").alias("stable_id"), "role").orderBy("group_id").limit(
+        len(PALETTE) * 4).collect()
     kept = {r["stable_id"]: r["role"] for r in rows if r["role"] is not None}
     given = palette_roles([r["stable_id"] for r in rows], kept)
     return {str(r["group_id"]): {"stable_id": r["stable_id"], "role": given[r["stable_id"]]} for r in rows}
@@ -170,7 +177,8 @@ def representative_clusters(landmarks: DataFrame, most: int = 12) -> DataFrame:
     """The most telling communities of each macro group, in order."""
     w = Window.partitionBy("macro_id").orderBy(F.desc("distinctiveness"), F.desc("confidence"), "id")
     kept = landmarks.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
-    return kept.groupBy("macro_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col("id").cast("string").alias("id")))), lambda x: x["id"]), ",").alias("clusters"))
+    return kept.groupBy("macro_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col("id")
+        .cast("string").alias("id")))), lambda x: x["id"]), ",").alias("clusters"))
 
 
 def first_community(members: DataFrame) -> DataFrame:

@@ -48,7 +48,8 @@ class Catalog:
     placement: str = PLACEMENT
 
     def tables(self) -> dict[str, DataFrame]:
-        return {"entities": self.entities, "documents": self.documents, "links": self.links, "report": self.report, "quantiles": self.quantiles, "checksum": self.checksum}
+        return {"entities": self.entities, "documents": self.documents, "links": self.links, "report": self.report, "quantiles": self.quantiles,
+            "checksum": self.checksum}
 
 
 def hashed_seed(key: Column, reach: float) -> list[Column]:
@@ -88,9 +89,11 @@ def build_catalog(c: Corpus, watermark: str, rounds: int = layout.ROUNDS["world"
         comments.select(typed_id("comment", "id").alias("id"), F.lit(None).cast("string").alias("title"), "body")
     )
     overlap = relational.overlap_projection(c.relationships)
-    links = catalog.structural_links(rows).select("source", "target", "relation", F.lit(True).alias("directed"), F.lit(1).cast("long").alias("weight"))
+    links = catalog.structural_links(rows).select("source", "target", "relation", F.lit(True).alias("directed"), F.lit(1)
+        .cast("long").alias("weight"))
     links = links.unionByName(
-        overlap.select(typed_id("community", "u").alias("source"), typed_id("community", "v").alias("target"), F.lit("overlap").alias("relation"), F.lit(False).alias("directed"), F.col("weight").cast("long").alias("weight"))
+        overlap.select(typed_id("community", "u").alias("source"), typed_id("community", "v").alias("target"), F.lit("overlap")
+            .alias("relation"), F.lit(False).alias("directed"), F.col("weight").cast("long").alias("weight"))
     )
     report = staged(catalog.validation(whole, positions=whole, documents=documents), "catalog-report")
     return Catalog(whole, documents, links, report, catalog.quantiles(rows), catalog.checksum(rows, "catalog", watermark), watermark)
@@ -115,10 +118,12 @@ def projected_links(nodes: DataFrame, active: DataFrame, relationships: DataFram
 
     order = [F.desc("weight"), "source", "target"]
     a = active.select(
-        typed_id("user", "user_id").alias("source"), typed_id("community", "community_id").alias("target"), F.lit("user_activity").alias("relation"), F.lit(True).alias("directed"), F.col("activity_count").cast("long").alias("weight")
+        typed_id("user", "user_id").alias("source"), typed_id("community", "community_id").alias("target"), F.lit("user_activity").alias(
+            "relation"), F.lit(True).alias("directed"), F.col("activity_count").cast("long").alias("weight")
     )
     o = relational.reciprocal(relationships).select(
-        typed_id("community", "u").alias("source"), typed_id("community", "v").alias("target"), F.lit("overlap").alias("relation"), F.lit(False).alias("directed"), F.col("weight").cast("long").alias("weight")
+        typed_id("community", "u").alias("source"), typed_id("community", "v").alias("target"), F.lit("overlap").alias("relation"), F.lit(
+            False).alias("directed"), F.col("weight").cast("long").alias("weight")
     )
     parts = [among(x).select("source", "target", "relation", "directed", "weight").orderBy(*order).limit(most) for x in (a, o)]
     kinds = [r for t, rs in (("post", ["authorship", "published_in"]), ("comment", ["authorship", "reply", "comment_on"])) if caps.get(t) for r in rs]
@@ -144,7 +149,8 @@ def landmarks(members: DataFrame, entities: DataFrame, previous: DataFrame | Non
     else:
         j = j.join(previous.select("community_id", *(F.col(a).alias(f"_p{a}") for a in AXES)), "community_id", "left")
     seeds = hashed_seed(F.col("community_id"), 1000.0)
-    kept = [F.coalesce(*([F.col(f"_c{a}")] if moved else [F.col(f"_p{a}"), F.col(f"_c{a}")]), seed).alias(a) for a, seed in zip(AXES, seeds, strict=True)]
+    kept = [F.coalesce(*([F.col(f"_c{a}")] if moved else [F.col(f"_p{a}"), F.col(f"_c{a}")]), seed).alias(a) for a, seed in zip(AXES, seeds,
+        strict=True)]
     label = F.coalesce("label", F.concat(F.lit("Community "), "community_id")).alias("label")
     return j.select("community_id", label, "size", *kept)
 
@@ -162,11 +168,13 @@ class Revision:
     summary: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
-        return {"nodes": self.nodes, "members": self.members, "communities": self.communities, "links": self.links, "routes": self.routes, "bundles": self.bundles, "summary": self.summary}
+        return {"nodes": self.nodes, "members": self.members, "communities": self.communities, "links": self.links, "routes": self.routes,
+            "bundles": self.bundles, "summary": self.summary}
 
 
 def build_revision(
-    built: Catalog, groups: DataFrame, active: DataFrame, relationships: DataFrame, previous: Revision | None = None, moved: bool = False, caps: dict[str, int] | None = None, most_nodes: int = NODES, most_links: int = LINKS
+    built: Catalog, groups: DataFrame, active: DataFrame, relationships: DataFrame, previous: Revision | None = None, moved: bool = False, caps: dict[
+        str, int] | None = None, most_nodes: int = NODES, most_links: int = LINKS
 ) -> Revision:
     """A revision over a catalog and communities (groups: id, group_id).
 
@@ -176,7 +184,8 @@ def build_revision(
     caps = CAPS if caps is None else caps
     if min(most_nodes, most_links) < 1 or min(caps.values()) < 0:
         raise ValueError("caps must be positive")
-    old = built.entities.limit(0).select("id", F.lit("").alias("group_id")) if previous is None else previous.members.select("id", F.col("community_id").alias("group_id"))
+    old = built.entities.limit(0).select("id", F.lit("").alias("group_id")) if previous is None else previous.members.select("id", F.col(
+        "community_id").alias("group_id"))
     ids = staged(publish.stable_ids(old, groups), "revision-ids")
     every = groups.join(ids, "group_id").select("id", F.col("stable_id").alias("community_id"))
     nodes = staged(selected_nodes(built.entities, caps, most_nodes), "revision-nodes")
@@ -187,7 +196,8 @@ def build_revision(
     first = publish.first_community(members)
     a, b = (first.select(F.col("id").alias(e), F.col("community_id").alias(f"c{e}")) for e in ("source", "target"))
     across = links.join(a, "source").join(b, "target").where("csource <> ctarget")
-    routes = staged(across.groupBy(F.least("csource", "ctarget").alias("source"), F.greatest("csource", "ctarget").alias("target")).agg(F.sum("weight").alias("weight")), "revision-routes")
+    routes = staged(across.groupBy(F.least("csource", "ctarget").alias("source"), F.greatest("csource", "ctarget")
+        .alias("target")).agg(F.sum("weight").alias("weight")), "revision-routes")
     return Revision(nodes, members, found, links, routes, spatial.bundles(routes, found, 0.0), summary(nodes, links, found))
 
 
@@ -242,13 +252,15 @@ class AffinityBuild:
     identities: dict[str, dict[str, str]] = field(default_factory=dict)
 
 
-def presented(pairs: DataFrame, members: DataFrame, macro: DataFrame, names: DataFrame, texts: DataFrame, identities: dict[str, dict[str, str]]) -> DataFrame:
+def presented(pairs: DataFrame, members: DataFrame, macro: DataFrame, names: DataFrame, texts: DataFrame, identities: dict[str, dict[str,
+    str]]) -> DataFrame:
     """One row for each fine community with label, evidence, colours and shares.
 
     pairs: u, v, affinity. members: id, community_id. macro: id (a community), group_id.
     names: id, name. texts: id, text. identities: stable id and colour of each macro group.
     """
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("id"), "affinity"), F.struct(F.col("v").alias("id"), "affinity"))).alias("e")).select("e.*")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("id"), "affinity"), F.struct(F.col("v")
+        .alias("id"), "affinity"))).alias("e")).select("e.*")
     strength = ends.groupBy("id").agg(F.sum("affinity").alias("strength"))
     known = members.join(strength, "id", "left").join(names, "id").withColumn("strength", F.coalesce("strength", F.lit(0.0)))
     told = staged(known, "presented-members")
@@ -261,21 +273,26 @@ def presented(pairs: DataFrame, members: DataFrame, macro: DataFrame, names: Dat
     mean = told.groupBy(F.col("community_id").alias("group_id")).agg(F.avg("strength").alias("mean"), F.count("*").alias("size"))
     graph = communities.community_graph(pairs, members).select("u", "v", F.col("weight").alias("affinity"))
     inner = members.select(F.col("id").alias("u"), F.col("community_id").alias("cu"))
-    own = pairs.join(inner, "u").join(members.select(F.col("id").alias("v"), F.col("community_id").alias("cv")), "v").where("cu = cv").groupBy(F.col("cu").alias("u")).agg(F.sum("affinity").alias("affinity"))
+    own = pairs.join(inner, "u").join(members.select(F.col("id").alias("v"), F.col("community_id").alias("cv")), "v").where("cu = cv").groupBy(
+        F.col("cu").alias("u")).agg(F.sum("affinity").alias("affinity"))
     loops = own.select("u", F.col("u").alias("v"), (F.col("affinity") / 2).alias("affinity"))  # both ends of a loop count
     shares = affinity.macro_share(graph.unionByName(loops), macro).withColumnRenamed("id", "group_id").drop("is_bridge")
     place = layout.spectral(graph, macro).select(F.col("id").alias("group_id"), "position")
-    look = F.create_map(*(x for g, v in identities.items() for x in (F.lit(g), F.struct(F.lit(v["stable_id"]).alias("macro_id"), F.lit(v["role"]).alias("colour")))))
+    look = F.create_map(*(x for g, v in identities.items() for x in (F.lit(g), F.struct(F.lit(v["stable_id"])
+        .alias("macro_id"), F.lit(v["role"]).alias("colour")))))
     j = mean.join(macro.select(F.col("id").alias("group_id"), F.col("group_id").alias("macro")), "group_id")
     for extra in (labelled, tops, shares, place):
         j = j.join(extra, "group_id", "left")
-    j = j.withColumns({"distinctiveness": distinctiveness(F.col("mean")), "confidence": confidence(F.col("size")), "_look": look[F.col("macro").cast("string")]})
+    j = j.withColumns({"distinctiveness": distinctiveness(F.col("mean")), "confidence": confidence(F.col("size")), "_look": look[F.col(
+        "macro").cast("string")]})
     bridge = is_bridge(F.coalesce("primary_share", F.lit(0.0)), F.coalesce("secondary_share", F.lit(0.0)))
     colour = shade(F.col("_look.colour"), F.coalesce("position", F.lit(0.0)), (F.col("distinctiveness") + F.col("confidence")) / 2)
     name = F.coalesce("label", F.array_join(F.slice("representatives", 1, 3), " · "), F.lit("Community"))
     return j.select(
-        F.col("group_id").alias("community_id"), F.col("_look.macro_id").alias("macro_id"), name.alias("label"), F.array_join(F.slice("representatives", 1, 3), " · ").alias("evidence"),
-        "representatives", "size", "distinctiveness", "confidence", "primary_share", "secondary_share", bridge.alias("is_bridge"), colour.alias("colour"), F.col("label").isNull().alias("fallback"), "fingerprint",
+        F.col("group_id").alias("community_id"), F.col("_look.macro_id").alias("macro_id"), name.alias("label"), F.array_join(F.slice(
+            "representatives", 1, 3), " · ").alias("evidence"),
+        "representatives", "size", "distinctiveness", "confidence", "primary_share", "secondary_share", bridge.alias("is_bridge"), colour.alias(
+            "colour"), F.col("label").isNull().alias("fallback"), "fingerprint",
     )
 
 
@@ -291,7 +308,8 @@ def build_affinity(c: Corpus, watermark: str, per_node: int = 24, most: int = 1_
     members = fine.select("id", "community_id")
     strong = kept.select("u", "v", F.col("weight").alias("affinity"))
     graph = staged(communities.community_graph(strong, members), "affinity-graph")
-    tried = communities.multiplex_partitions(graph.select(F.lit("affinity").alias("layer"), "u", "v", F.col("weight").alias("raw"), F.lit(1.0).alias("weight")), list(communities.MACRO))
+    tried = communities.multiplex_partitions(graph.select(F.lit("affinity").alias("layer"), "u", "v", F.col("weight")
+        .alias("raw"), F.lit(1.0).alias("weight")), list(communities.MACRO))
     macro = staged(macro_selection(tried), "affinity-macro")
     if macro.isEmpty():
         raise publish.Rejected(f"no resolution gives {MACRO_GROUPS[0]} to {MACRO_GROUPS[1]} macro groups")
@@ -304,7 +322,8 @@ def build_affinity(c: Corpus, watermark: str, per_node: int = 24, most: int = 1_
 
 def macro_selection(tried: DataFrame, groups: tuple[int, int] = MACRO_GROUPS) -> DataFrame:
     """id and group_id of the partition (resolution, id, community_id, modularity) with most modularity of those with a fit number of groups."""
-    by = tried.groupBy("resolution").agg(F.count_distinct("community_id").alias("n"), F.max("modularity").alias("q")).where(F.col("n").between(*groups))
+    by = tried.groupBy("resolution").agg(F.count_distinct("community_id").alias("n"), F.max("modularity")
+        .alias("q")).where(F.col("n").between(*groups))
     best = by.orderBy(F.desc("q"), "resolution").limit(1).select("resolution")
     return tried.join(F.broadcast(best), "resolution").select("id", F.col("community_id").alias("group_id"))  # best: one row
 
@@ -318,7 +337,8 @@ def promotion_gates(shown: DataFrame, groups: tuple[int, int] = MACRO_GROUPS, le
     return by.crossJoin(part).withColumn("passed", ok)  # one-row frames
 
 
-def promote(revisions: publish.Store, built: Catalog, build: AffinityBuild, active: DataFrame, relationships: DataFrame, previous: Revision | None = None) -> str:
+def promote(revisions: publish.Store, built: Catalog, build: AffinityBuild, active: DataFrame, relationships: DataFrame, previous: Revision
+    | None = None) -> str:
     """Publish a revision of an affinity build; raises Rejected at a gate, or where the catalog is of another time."""
     if built.watermark != build.watermark:
         raise publish.Rejected(f"the build is of {build.watermark}, the catalog of {built.watermark}")
@@ -340,7 +360,8 @@ def collected(tables: dict[str, DataFrame], typed: DataFrame | None = None) -> D
     """name, label and value of gauges: rows of each table, and nodes by type."""
     parts = [df.agg(F.count("*").alias("value")).select(F.lit("rows").alias("name"), F.lit(t).alias("label"), "value") for t, df in tables.items()]
     if typed is not None:
-        parts.append(typed.groupBy(F.col("type").alias("label")).agg(F.count("*").alias("value")).select(F.lit("nodes").alias("name"), "label", "value"))
+        parts.append(typed.groupBy(F.col("type").alias("label")).agg(F.count("*").alias("value")).select(F.lit("nodes")
+            .alias("name"), "label", "value"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -348,7 +369,8 @@ def version_record(versions: DataFrame, nodes: DataFrame, links: DataFrame, now:
     """The next version's row: its number, counts, how long it took and when."""
     next_ = versions.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))
     n = nodes.agg(F.count("*").alias("node_count")).crossJoin(links.agg(F.count("*").alias("link_count")))  # one-row frames
-    return next_.crossJoin(n).select("id", "node_count", "link_count", F.lit("completed").alias("status"), F.lit(now).cast("timestamp").alias("created_at"), F.lit(float(seconds)).alias("seconds"))
+    return next_.crossJoin(n).select("id", "node_count", "link_count", F.lit("completed").alias("status"), F.lit(now)
+        .cast("timestamp").alias("created_at"), F.lit(float(seconds)).alias("seconds"))
 
 
 def numbered(rows: DataFrame, key: str, start: int) -> DataFrame:

@@ -69,7 +69,8 @@ class Explorer:
 
     def region(self, bounds: tuple[float, float, float, float, float, float], detail: str = "medium", most: int | None = None, start: int = 0) -> DataFrame:
         empty = self.positions.limit(0).select(F.col("id").alias("entity_id"), F.lit(None).cast("timestamp").alias("restored_at"))
-        return spatial.region(self.positions, self.suppressed if self.suppressed is not None else empty, bounds, detail, limit("region_nodes", most), start)
+        return spatial.region(self.positions, self.suppressed if self.suppressed is not None else empty, bounds, detail, limit(
+            "region_nodes", most), start)
 
     def overview(self, most: int | None = None) -> DataFrame:
         n = limit("overview", most)
@@ -96,7 +97,8 @@ class Explorer:
         return search.facets(self._visible(self.documents), query, by)
 
     def scene(self, community: str, kinds: list[str], most: int | None = None) -> DataFrame:
-        hidden = self.suppressed if self.suppressed is not None else self.entities.limit(0).select(F.col("id").alias("entity_id"), F.lit(None).cast("timestamp").alias("restored_at"))
+        hidden = self.suppressed if self.suppressed is not None else self.entities.limit(0).select(F.col("id")
+            .alias("entity_id"), F.lit(None).cast("timestamp").alias("restored_at"))
         return scopes.community_scene(self.entities, hidden, community, kinds, limit("region_nodes", most))
 
     def thread(self, root: str, depth: int = 3, most: int | None = None) -> DataFrame:

@@ -30,7 +30,8 @@ class Corpus:
     @cached_property
     def communities(self) -> DataFrame:
         subscribers = F.greatest(F.col("s_acctbal").cast("int"), F.lit(0))
-        return self.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), subscribers.alias("subscribers"), F.col("s_nationkey").alias("nation"))
+        return self.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), subscribers.alias("subscribers"),
+            F.col("s_nationkey").alias("nation"))
 
     @cached_property
     def users(self) -> DataFrame:
@@ -48,11 +49,13 @@ class Corpus:
         """Posts, those without a community (orders without lines) included."""
         # The first line by aggregation, which needs neither a window nor a sort of all lines.
         order = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-        first = self.table("lineitem").groupBy("l_orderkey").agg(F.min(order).alias("first")).select("l_orderkey", F.col("first.l_suppkey").alias("l_suppkey"))
+        first = self.table("lineitem").groupBy("l_orderkey").agg(F.min(order).alias("first")).select("l_orderkey", F.col("first.l_suppkey")
+            .alias("l_suppkey"))
         title = F.concat_ws(" ", "o_orderpriority", "o_orderstatus")
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", title.alias("title"))
         return orders.join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-            F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("author_id"), F.col("l_suppkey").alias("community_id"), "title", (F.col("o_totalprice") / 1000).cast("int").alias("score"), F.col("o_orderdate").alias("created_at")
+            F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("author_id"), F.col("l_suppkey").alias("community_id"), "title", (F.col(
+                "o_totalprice") / 1000).cast("int").alias("score"), F.col("o_orderdate").alias("created_at")
         )
 
     @cached_property
@@ -63,17 +66,21 @@ class Corpus:
     def comments(self) -> DataFrame:
         owner = self.table("orders").select("o_orderkey", "o_custkey")
         key = F.concat_ws("_", "l_orderkey", "n")
-        parent = F.when(F.col("n") == 1, F.concat(F.lit("t3_"), F.col("l_orderkey").cast("string"))).otherwise(F.concat(F.lit("t1_"), F.col("l_orderkey").cast("string"), F.lit("_"), (F.col("n") - 1).cast("string")))
+        parent = F.when(F.col("n") == 1, F.concat(F.lit("t3_"), F.col("l_orderkey").cast("string"))).otherwise(F.concat(F.lit("t1_"), F.col(
+            "l_orderkey").cast("string"), F.lit("_"), (F.col("n") - 1).cast("string")))
         return self.lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select(
-            key.alias("id"), F.col("l_orderkey").alias("post_id"), F.col("o_custkey").alias("author_id"), F.col("l_suppkey").alias("community_id"), parent.alias("parent_id"),
-            F.concat_ws(" ", F.lit("flag"), "l_returnflag", F.lit("status"), "l_linestatus").alias("body"), F.col("l_quantity").cast("int").alias("score"), (F.col("n") - 1).cast("int").alias("depth"), F.col("l_shipdate").alias("created_at"),
+            key.alias("id"), F.col("l_orderkey").alias("post_id"), F.col("o_custkey").alias("author_id"), F.col("l_suppkey").alias(
+                "community_id"), parent.alias("parent_id"),
+            F.concat_ws(" ", F.lit("flag"), "l_returnflag", F.lit("status"), "l_linestatus").alias("body"), F.col("l_quantity").cast("int").alias(
+                "score"), (F.col("n") - 1).cast("int").alias("depth"), F.col("l_shipdate").alias("created_at"),
         )
 
     @cached_property
     def cross_references(self) -> DataFrame:
         """Consecutive lines of an order from different communities."""
         w = Window.partitionBy("l_orderkey").orderBy("n")
-        steps = self.lines.select("l_orderkey", F.col("l_suppkey").alias("source"), F.lead("l_suppkey").over(w).alias("target"), F.lead("l_shipdate").over(w).alias("observed_at"))
+        steps = self.lines.select("l_orderkey", F.col("l_suppkey").alias("source"), F.lead("l_suppkey")
+            .over(w).alias("target"), F.lead("l_shipdate").over(w).alias("observed_at"))
         return steps.where("target is not null and source <> target").select(F.col("l_orderkey").alias("post_id"), "source", "target", "observed_at")
 
     @cached_property
@@ -85,7 +92,9 @@ class Corpus:
         """Embeddings as nodes with positions."""
         kind = F.element_at(F.array(*(F.lit(t) for t in ("community", "user", "post", "comment"))), (F.col("vec_id") % 4 + 1).cast("int"))
         axis = [F.element_at("embedding", k + 1).cast("double").alias(f"pos_{a}") for k, a in enumerate("xyz")]
-        return self.table("embeddings").select(typed_id("point", "vec_id").alias("id"), F.concat(F.lit("P"), F.col("vec_id").cast("string")).alias("name"), (F.col("vec_id") * 7 % 1000).cast("string").alias("val"), kind.alias("type"), F.col("label").alias("community_id"), *axis)
+        return self.table("embeddings").select(typed_id("point", "vec_id").alias("id"), F.concat(F.lit("P"), F.col("vec_id")
+            .cast("string")).alias("name"), (F.col("vec_id") * 7 % 1000).cast("string").alias("val"), kind.alias("type"), F.col("label")
+            .alias("community_id"), *axis)
 
     @cached_property
     def activity(self) -> DataFrame:
@@ -112,9 +121,12 @@ class Corpus:
         total = self.kept_activity.groupBy("user_id").agg(F.sum("activity_count").alias("total"))
         users = self.users.join(total, F.col("id") == F.col("user_id"), "left")
         parts = [
-            self.communities.select(typed_id("community", "id").alias("id"), "name", F.col("subscribers").cast("string").alias("val"), F.lit("community").alias("type")),
-            users.select(typed_id("user", "id").alias("id"), F.col("username").alias("name"), F.coalesce("total", F.lit(0)).cast("string").alias("val"), F.lit("user").alias("type")),
-            self.posts.select(typed_id("post", "id").alias("id"), F.col("title").alias("name"), F.col("score").cast("string").alias("val"), F.lit("post").alias("type")),
+            self.communities.select(typed_id("community", "id").alias("id"), "name", F.col("subscribers")
+                .cast("string").alias("val"), F.lit("community").alias("type")),
+            users.select(typed_id("user", "id").alias("id"), F.col("username").alias("name"), F.coalesce("total", F.lit(0))
+                .cast("string").alias("val"), F.lit("user").alias("type")),
+            self.posts.select(typed_id("post", "id").alias("id"), F.col("title").alias("name"), F.col("score")
+                .cast("string").alias("val"), F.lit("post").alias("type")),
         ]
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

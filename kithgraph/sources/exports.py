@@ -29,7 +29,8 @@ def ndjson_rows(nodes: DataFrame, links: DataFrame) -> DataFrame:
     n = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct(F.lit("node").alias("kind"), "id", "name", "val", "type")).alias("line"))
     l_ = links.select(F.lit("link").alias("kind"), F.to_json(F.struct(F.lit("link").alias("kind"), "source", "target")).alias("line"))
     counts = nodes.agg(F.count("*").alias("nodes")).crossJoin(links.agg(F.count("*").alias("links")))  # one-row frames
-    return n.unionByName(l_).unionByName(counts.select(F.lit("meta").alias("kind"), F.to_json(F.struct(F.lit("meta").alias("kind"), "nodes", "links")).alias("line")))
+    return n.unionByName(l_).unionByName(counts.select(F.lit("meta").alias("kind"), F.to_json(F.struct(F.lit("meta")
+        .alias("kind"), "nodes", "links")).alias("line")))
 
 
 def write_ndjson(nodes: DataFrame, links: DataFrame, path: str) -> None:
@@ -51,8 +52,10 @@ def flattened(replies: DataFrame, most_depth: int) -> DataFrame:
     level = replies.select(F.col("raw"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"))
     out = None
     for depth in range(most_depth + 1):
-        rows = level.select(F.get_json_object("raw", "$.id").alias("id"), "parent_id", F.lit(depth).alias("depth"), F.get_json_object("raw", "$.body").alias("body"), F.get_json_object("raw", "$.replies").alias("replies"))
-        flat = rows.select("id", "parent_id", "depth", "body", (F.col("body") == "[removed]").alias("removed"), (F.col("body") == "[deleted]").alias("deleted"))
+        rows = level.select(F.get_json_object("raw", "$.id").alias("id"), "parent_id", F.lit(depth).alias("depth"), F.get_json_object("raw",
+            "$.body").alias("body"), F.get_json_object("raw", "$.replies").alias("replies"))
+        flat = rows.select("id", "parent_id", "depth", "body", (F.col("body") == "[removed]").alias("removed"), (F.col("body") == "[deleted]")
+            .alias("deleted"))
         out = flat if out is None else out.unionByName(flat)
         # Members of a JSON array as texts of their own.
         inner = F.explode(F.from_json("replies", "array<string>"))

@@ -110,17 +110,21 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], touch: str | None
 
 def audited(action: str, kind: str, user: str, now: str, rows: DataFrame) -> DataFrame:
     """Audit rows for resources (resource_id, details)."""
-    return rows.select(F.lit(action).alias("action"), F.lit(kind).alias("resource_type"), F.col("resource_id").cast("string").alias("resource_id"), F.lit(user).alias("user_id"), "details", F.lit(now).cast("timestamp").alias("at"))
+    return rows.select(F.lit(action).alias("action"), F.lit(kind).alias("resource_type"), F.col("resource_id")
+        .cast("string").alias("resource_id"), F.lit(user).alias("user_id"), "details", F.lit(now).cast("timestamp")
+        .alias("at"))
 
 
 def suppress(space: Workspace, entity: str, kind: str, reason: str, user: str, now: str) -> None:
     """Hide an entity from all public reads, with an audit row; one that was restored is hidden again."""
     spark, t = space.spark, F.lit(now).cast("timestamp")
     row = spark.range(1).select(
-        F.lit(entity).alias("entity_id"), F.lit(kind).alias("entity_type"), F.lit(reason).alias("reason"), F.lit(user).alias("created_by"), t.alias("created_at"), F.lit(None).cast("string").alias("restored_by"), F.lit(None).cast("timestamp").alias("restored_at")
+        F.lit(entity).alias("entity_id"), F.lit(kind).alias("entity_type"), F.lit(reason).alias("reason"), F.lit(user).alias("created_by"), t.alias(
+            "created_at"), F.lit(None).cast("string").alias("restored_by"), F.lit(None).cast("timestamp").alias("restored_at")
     )
     space.upsert("suppressions", row, ["entity_id"])
-    note = spark.range(1).select(F.lit(entity).alias("resource_id"), F.to_json(F.struct(F.lit(kind).alias("entity_type"), F.lit(reason).alias("reason"))).alias("details"))
+    note = spark.range(1).select(F.lit(entity).alias("resource_id"), F.to_json(F.struct(F.lit(kind).alias("entity_type"), F.lit(reason)
+        .alias("reason"))).alias("details"))
     space.append("audit", audited("suppress_public_entity", "public_entity_suppression", user, now, note))
 
 
@@ -131,6 +135,7 @@ def restore(space: Workspace, entity: str, user: str, now: str) -> None:
     if rows.where(hit).isEmpty():
         raise LookupError(f"{entity} is not hidden")
     t = F.lit(now).cast("timestamp")
-    space.replace("suppressions", rows.withColumns({"restored_by": F.when(hit, F.lit(user)).otherwise(F.col("restored_by")), "restored_at": F.when(hit, t).otherwise(F.col("restored_at"))}))
+    space.replace("suppressions", rows.withColumns({"restored_by": F.when(hit, F.lit(user)).otherwise(F.col("restored_by")), "restored_at": F.when(
+        hit, t).otherwise(F.col("restored_at"))}))
     note = space.spark.range(1).select(F.lit(entity).alias("resource_id"), F.lit("{}").alias("details"))
     space.append("audit", audited("restore_public_entity", "public_entity_suppression", user, now, note))

@@ -31,7 +31,8 @@ def refreshed(active: DataFrame, pairs: DataFrame, posts: DataFrame, comments: D
     new = activity(posts.join(a, "author_id", "left_semi"), comments.join(a, "author_id", "left_semi"))
     delta = pair_delta(old, new)
     now = pairs.select("u", "v", "overlap_count").unionByName(delta.select("u", "v", F.col("delta").alias("overlap_count")))
-    return active.join(d, "user_id", "left_anti").unionByName(new), now.groupBy("u", "v").agg(F.sum("overlap_count").alias("overlap_count")).where("overlap_count > 0")
+    return active.join(d, "user_id", "left_anti").unionByName(new), now.groupBy("u", "v").agg(F.sum("overlap_count")
+        .alias("overlap_count")).where("overlap_count > 0")
 
 
 def mode(users: int, dirty: DataFrame, known: bool, forced: bool = False) -> str:
@@ -60,7 +61,8 @@ def _timed(events: DataFrame, late: str) -> DataFrame:
 def windowed_counts(events: DataFrame, width: str = "5 minutes", step: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Events by sliding window and type, with a bound for late ones where events is a stream."""
     rows = _timed(events, late) if events.isStreaming else events
-    return rows.groupBy(F.window("ts", width, step), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return rows.groupBy(F.window("ts", width, step), "event_type").agg(F.count("*").alias("n"), F.sum("value")
+        .alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def session_counts(events: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -73,13 +75,15 @@ def session_counts(events: DataFrame, gap: str = "5 minutes", late: str = "10 mi
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events by window and type."""
     rows = _timed(events, late) if events.isStreaming else events
-    return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value")
+        .alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def rate(events: DataFrame, key: str = "event_type", width: str = "5 minutes", step: str = "1 minute") -> DataFrame:
     """Events a second by sliding window and key, with quantiles of their values."""
     w = F.window("ts", width, step).alias("w")
-    by = events.groupBy(w, key).agg(F.count("*").alias("n"), *(F.expr(f"percentile_disc({p}) within group (order by value)").alias(f"p{round(100 * p)}") for p in (0.5, 0.95)))
+    by = events.groupBy(w, key).agg(F.count("*").alias("n"), *(F.expr(f"percentile_disc({p}) within group (order by value)")
+        .alias(f"p{round(100 * p)}") for p in (0.5, 0.95)))
     seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
     return by.select(F.col("w.start").alias("start"), key, (F.col("n") / seconds).alias("per_second"), "p50", "p95")
 
