@@ -34,7 +34,8 @@ def rendered_turn(role: Column, text: Column) -> Column:
 def _hashed(turns: DataFrame) -> DataFrame:
     """With _conv and _turn, which hold id and number so that nulls are equal, and two hashes of role and text."""
     known = [F.col("role").isNull(), F.col("text").isNull(), F.col("role"), F.col("text")]
-    return turns.select(F.struct("conv_id").alias("_conv"), F.struct("turn").alias("_turn"), F.xxhash64(*known).alias("_a"), F.xxhash64(F.lit("b"), *reversed(known)).alias("_b"), "role", "text")
+    return turns.select(F.struct("conv_id").alias("_conv"), F.struct("turn").alias("_turn"), F.xxhash64(*known)
+        .alias("_a"), F.xxhash64(F.lit("b"), *reversed(known)).alias("_b"), "role", "text")
 
 
 _TURN = ["_conv", "_turn", "_a", "_b"]
@@ -48,15 +49,19 @@ def prefixes(turns: DataFrame) -> DataFrame:
     here = Window.partitionBy("_conv", "_part").orderBy(*order)
     sizes = dealt.groupBy("_conv", "_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("_conv").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumns({"_off": F.coalesce(F.sum("n").over(before), F.lit(0)), "turns": F.sum("n").over(Window.partitionBy("_conv"))}).drop("n")
+    sizes = sizes.withColumns({"_off": F.coalesce(F.sum("n").over(before), F.lit(0)), "turns": F.sum("n")
+        .over(Window.partitionBy("_conv"))}).drop("n")
     placed = dealt.withColumn("_nth", F.row_number().over(here)).join(sizes, ["_conv", "_part"])
     placed = placed.withColumn("place", (F.col("_off") + F.col("_nth")).cast("long")).drop("_off", "_nth")
     placed = shared.staged(placed.withColumns({"_g": F.xxhash64("place", "_a", "_b"), "_h": F.xxhash64("_b", "place", "_a")}), "chat-placed")
     carried = placed.groupBy("_conv", "_part").agg(F.bit_xor("_g").alias("_g0"), F.bit_xor("_h").alias("_h0"), F.sum("_len").alias("_len0"))
-    carried = carried.select("_conv", "_part", *(F.coalesce(f(c).over(before), F.lit(0)).alias(c) for f, c in ((F.bit_xor, "_g0"), (F.bit_xor, "_h0"), (F.sum, "_len0"))))
+    carried = carried.select("_conv", "_part", *(F.coalesce(f(c).over(before), F.lit(0)).alias(c) for f, c in ((F.bit_xor, "_g0"), (F.bit_xor,
+        "_h0"), (F.sum, "_len0"))))
     along = Window.partitionBy("_conv", "_part").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = placed.withColumns({"p": F.bit_xor("_g").over(along), "q": F.bit_xor("_h").over(along), "start": F.sum("_len").over(along) - F.col("_len")}).join(carried, ["_conv", "_part"])
-    return running.select(*_TURN, "place", "turns", (F.col("start") + F.col("_len0")).alias("start"), F.col("p").bitwiseXOR(F.col("_g0")).alias("p"), F.col("q").bitwiseXOR(F.col("_h0")).alias("q"))
+    running = placed.withColumns({"p": F.bit_xor("_g").over(along), "q": F.bit_xor("_h").over(along), "start": F.sum("_len")
+        .over(along) - F.col("_len")}).join(carried, ["_conv", "_part"])
+    return running.select(*_TURN, "place", "turns", (F.col("start") + F.col("_len0")).alias("start"), F.col("p")
+        .bitwiseXOR(F.col("_g0")).alias("p"), F.col("q").bitwiseXOR(F.col("_h0")).alias("q"))
 
 
 def maximal(prefixed: DataFrame) -> DataFrame:
@@ -75,4 +80,5 @@ def formatted(turns: DataFrame) -> DataFrame:
     stay = shared.staged(maximal(known), "chat-maximal")
     places = known.join(stay.select("_conv", "copies"), "_conv").select(*_TURN, "place", "turns", "copies", "start")
     told = _hashed(turns).dropDuplicates(_TURN).join(places, _TURN)
-    return told.select(F.col("_conv.conv_id").alias("conv_id"), "place", F.col("turns").alias("n_turns"), F.col("copies").alias("n_copies"), "start", rendered_turn(F.col("role"), F.col("text")).alias("rendered"))
+    return told.select(F.col("_conv.conv_id").alias("conv_id"), "place", F.col("turns").alias("n_turns"), F.col("copies")
+        .alias("n_copies"), "start", rendered_turn(F.col("role"), F.col("text")).alias("rendered"))

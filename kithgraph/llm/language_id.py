@@ -94,7 +94,8 @@ class _Scorer:
         rows = np.repeat(np.arange(len(size)), each)
         weight = np.minimum(WINDOW, size[rows] - WINDOW * (np.arange(len(rows)) - first[rows]))
         padded = padded.reshape(-1, WINDOW)
-        chance = np.concatenate([np.zeros((0, len(self.network.languages)))] + [self.windows(padded[k : k + 2048]) for k in range(0, len(padded), 2048)])
+        chance = np.concatenate([np.zeros((0, len(self.network.languages)))] + [self.windows(padded[k : k + 2048]) for k in range(0, len(
+            padded), 2048)])
         return np.stack([np.bincount(rows, weight * c, len(size)) for c in chance.T], axis=1) / np.maximum(size, 1)[:, None]
 
 
@@ -107,7 +108,8 @@ def train(windows: np.ndarray, label: np.ndarray, languages: list[str], epochs:
     """Adam on the mean cross-entropy of (n, WINDOW) bytes."""
     rng = np.random.default_rng(seed)
     hidden = len(WIDTHS) * FILTERS
-    p = {"e": rng.normal(0, 0.5, (256, EMBEDDED)), "b": np.zeros(hidden), "o": rng.normal(0, 0.3, (hidden, len(languages))), "c": np.zeros(len(languages))}
+    p = {"e": rng.normal(0, 0.5, (256, EMBEDDED)), "b": np.zeros(hidden), "o": rng.normal(0, 0.3, (hidden, len(languages))), "c": np.zeros(
+        len(languages))}
     p |= {f"w{w}": rng.normal(0, 0.5 / np.sqrt(w), (w, EMBEDDED, FILTERS)) for w in WIDTHS}
     mean, square, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for _ in range(epochs):
@@ -154,7 +156,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     part = F.create_map(*(x for r in common for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * sample / r["count"])))))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     span = F.length("text") - STRETCH
-    stretches = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(span, F.lit(0)) + 1).cast("int") + 1, STRETCH) for k in range(STRETCHES)]
+    stretches = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(span, F.lit(0)) + 1)
+        .cast("int") + 1, STRETCH) for k in range(STRETCHES)]
     chosen = usable.where(chance < part[F.col("lang")]).select("lang", F.xxhash64("doc_id").alias("h"), F.array(*stretches).alias("stretches"))
     found = chosen.orderBy("h", "lang", "stretches").limit(2 * sample * len(common)).toPandas()
     found = found.groupby("lang", sort=False).head(sample)
@@ -188,7 +191,8 @@ def predicted(docs: DataFrame, network: Network | None, keep: list[str] | None =
             letter = batch.column(flag).to_numpy(zero_copy_only=False)
             best = np.where(letter, chance.argmax(axis=1), len(network.languages))
             score = np.where(letter, np.clip(chance.max(axis=1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(languages[best]), pa.array(score)], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(languages[best]), pa.array(score)], names=[*names,
+                "lang_pred", "score"])
 
     flag = "_letter" + "_" * max(map(len, names), default=0)  # longer than any name of docs
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(flag)

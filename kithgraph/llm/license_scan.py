@@ -73,7 +73,8 @@ class Template:
         return 1 - 0.5 ** (len(self.words) / 4)
 
 
-TEMPLATES = (*(Template(label, phrase, (phrase,), k < BASE) for k, (label, phrase) in enumerate(NAMES)), *(Template(label, text, phrases) for label, phrases, text in TEXTS))
+TEMPLATES = (*(Template(label, phrase, (phrase,), k < BASE) for k, (label, phrase) in enumerate(NAMES)), *(Template(label, text, phrases)
+    for label, phrases, text in TEXTS))
 
 
 @dataclass(frozen=True)
@@ -152,21 +153,27 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     for a in index:
         postings.setdefault(a.word, []).append(a)
     text = F.coalesce("text", F.lit(""))
-    by_word = F.create_map(*(c for w, some in sorted(postings.items()) for c in (F.lit(w), F.array(*(F.struct(F.lit(a.template).alias("t"), F.lit(a.number).alias("a"), F.lit(a.at).alias("at")) for a in some)))))
+    by_word = F.create_map(*(c for w, some in sorted(postings.items()) for c in (F.lit(w), F.array(*(F.struct(F.lit(a.template)
+        .alias("t"), F.lit(a.number).alias("a"), F.lit(a.at).alias("at")) for a in some)))))
     size = Counter(a.template for a in index)
     facts = F.array(
         *(
             F.struct(
-                F.lit(need[n]).alias("need"), F.lit(t.tolerance).alias("tolerance"), F.lit(size[n]).alias("indexed"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.lit(t.specific).alias("specific"),
-                F.array(*(F.struct(F.lit(at).alias("at"), F.lit(k).alias("n"), F.lit(f" {p} ").alias("phrase")) for at, k, p in t.keys)).alias("keys"),
+                F.lit(need[n]).alias("need"), F.lit(t.tolerance).alias("tolerance"), F.lit(size[n]).alias("indexed"), F.lit(t.label).alias(
+                    "label"), F.lit(t.base).alias("base"), F.lit(t.specific).alias("specific"),
+                F.array(*(F.struct(F.lit(at).alias("at"), F.lit(k).alias("n"), F.lit(f" {p} ").alias("phrase")) for at, k, p in t.keys)).alias(
+                    "keys"),
             )
             for n, t in enumerate(templates)
         )
     )
 
-    rows = docs.select("doc_id", F.regexp_count(text, F.lit(f"[^{_GAP}]++")).cast("long").alias("n_words"), F.when(may_hold(text, templates), F.regexp_extract_all(lowered(text), F.lit(f"({WORD})"), F.lit(1))).alias("words"))
-    rows = rows.withColumn("hits", F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: h["w"].isin(*sorted(postings))))
-    votes = F.flatten(F.transform("hits", lambda h: F.transform(by_word[h["w"]], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("d"), p["a"].alias("a")))))
+    rows = docs.select("doc_id", F.regexp_count(text, F.lit(f"[^{_GAP}]++")).cast("long").alias("n_words"), F.when(may_hold(text, templates),
+        F.regexp_extract_all(lowered(text), F.lit(f"({WORD})"), F.lit(1))).alias("words"))
+    rows = rows.withColumn("hits", F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: h["w"].isin(*sorted(
+        postings))))
+    votes = F.flatten(F.transform("hits", lambda h: F.transform(by_word[h["w"]], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"])
+        .alias("d"), p["a"].alias("a")))))
     rows = rows.withColumn("votes", F.array_sort(votes))
 
     def share(v: Column, i: Column) -> Column:
@@ -190,7 +197,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
 
     def told(v: Column) -> Column:
         fact = F.get(facts, v["t"])
-        return F.struct(v["t"].alias("template"), v["d"].alias("at"), fact["label"].alias("label"), fact["base"].alias("base"), v["share"].alias("share"), (v["share"] * fact["specific"]).alias("score"))
+        return F.struct(v["t"].alias("template"), v["d"].alias("at"), fact["label"].alias("label"), fact["base"].alias("base"), v["share"].alias(
+            "share"), (v["share"] * fact["specific"]).alias("score"))
 
     return rows.select("doc_id", "n_words", F.coalesce(F.transform(verified, told).cast(_FOUND), F.array().cast(_FOUND)).alias("found"))
 

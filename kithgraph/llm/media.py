@@ -52,8 +52,10 @@ def as_gifs(docs: DataFrame) -> DataFrame:
         for batch, data, offsets in shared.pieces(batches, "text"):
             size = np.diff(offsets)
             body = data.tobytes()
-            padded = [body[a:b].ljust(max(1, -(-(b - a) // WIDTH)) * WIDTH, b"\0") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(stored(padded), pa.binary())], names=["doc_id", "n_bytes", "media"])
+            padded = [body[a:b].ljust(max(1, -(-(b - a) // WIDTH)) * WIDTH, b"\0") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(),
+                strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(stored(padded), pa.binary())], names=[
+                "doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, n_bytes long, media binary")
@@ -85,10 +87,13 @@ def frames(media: DataFrame) -> DataFrame:
             columns = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(9)]
             long, longs = pa.int64(), pa.list_(pa.int64())
             arrays = [pa.array(c, t) for c, t in zip(columns[1:], [pa.int32(), long, long, pa.int32(), pa.int32(), longs, longs, longs], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(columns[0], pa.int64())), *arrays], names=["doc_id", "frame", "start_ms", "end_ms", "width", "height", "red", "green", "blue"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(columns[0], pa.int64())), *arrays], names=["doc_id",
+                "frame", "start_ms", "end_ms", "width", "height", "red", "green", "blue"])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "media").mapInArrow(make, f"doc_id {kind}, frame int, start_ms long, end_ms long, width int, height int, red array<long>, green array<long>, blue array<long>")
+    return media.select("doc_id", "media").mapInArrow(make,
+        f"doc_id {kind}, frame int, start_ms long, end_ms long, width int, height int, red array<long>, green array<long>, blue "
+        f"array<long>")
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -106,13 +111,16 @@ def digests(media: DataFrame) -> DataFrame:
                     ms, n = ms + 10 * f.delay, n + 1
                 payload = b"".join(parts)
                 feature = f"frames={n};ms={ms};" + ";".join(f"{c}={','.join(map(str, b))}" for c, b in zip("rgb", bins.tolist(), strict=True))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(body), hashlib.sha256(body).hexdigest(), feature))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(body), hashlib.sha256(body)
+                    .hexdigest(), feature))
             long, text = pa.int64(), pa.string()
             arrays = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), [long, text, long, long, text, text], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *arrays], names=_DIGESTS)
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(make, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(make,
+        f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 "
+        f"string, feature string")
 
 
 _DIGESTS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -103,15 +103,18 @@ def tilted(histogram: DataFrame, targets: DataFrame, most: float = MOST, toleran
         x, rate = F.col("size") / F.col("mean"), _rate(F.col("size"), most)
         share = F.col("n") * F.col("size") * rate
         steep = F.when(rate < most, share * x).otherwise(0.0)
-        sums = sized.join(open_.select(*keys, "mean", "at"), keys).groupBy(*keys).agg(F.sum(share.cast(_EXACT)).cast("double").alias("taken"), F.sum(steep.cast(_EXACT)).cast("double").alias("curve"))
+        sums = sized.join(open_.select(*keys, "mean", "at"), keys).groupBy(*keys).agg(F.sum(share.cast(_EXACT))
+            .cast("double").alias("taken"), F.sum(steep.cast(_EXACT)).cast("double").alias("curve"))
         at, gap = F.col("at"), F.col("taken") - F.col("target")
         low, high = F.when(gap <= 0, at).otherwise(F.col("low")), F.when(gap > 0, at).otherwise(F.col("high"))
         newton = F.when(F.col("curve") > 0, at - gap / F.col("curve"))
-        between = F.when((low > float("-inf")) & (high < float("inf")), (low + high) / 2).otherwise(at - F.signum(gap) * F.greatest(F.lit(1.0), F.abs(at)))
+        between = F.when((low > float("-inf")) & (high < float("inf")), (low + high) / 2).otherwise(at - F.signum(gap) * F.greatest(F.lit(
+            1.0), F.abs(at)))
         done = F.abs(gap) <= tolerance * F.col("target")
         moved = F.when(done, at).when((newton > low) & (newton < high), newton).otherwise(between)
         state = state.join(sums, keys, "left").select(
-            *targets.columns, "mean", F.when(F.col("done"), at).otherwise(moved).alias("at"), F.coalesce(low, "low").alias("low"), F.coalesce(high, "high").alias("high"), (F.col("done") | F.coalesce(done, F.lit(False))).alias("done")
+            *targets.columns, "mean", F.when(F.col("done"), at).otherwise(moved).alias("at"), F.coalesce(low, "low").alias("low"), F.coalesce(
+                high, "high").alias("high"), (F.col("done") | F.coalesce(done, F.lit(False))).alias("done")
         )
     return state.drop("low", "high", "done")
 
@@ -156,7 +159,8 @@ def decisions(sizes: DataFrame) -> DataFrame:
     multipliers = tilted(histogram.select(*keys, "n"), _keyed(targets).drop("source"))
     rated = histogram.select(*keys, "n").join(multipliers, ["_s", "_null"])
     rated = rated.select(*keys, "n", "source_size", "target", F.when(F.col("size") > 0, _rate(F.col("size"), MOST)).otherwise(1.0).alias("rate"))
-    solved = rated.groupBy("_s", "_null").applyInPandas(_rounded, "_s string, _null boolean, size long, source_size long, target double, rate double, floor long, extra long")
+    solved = rated.groupBy("_s", "_null").applyInPandas(_rounded,
+        "_s string, _null boolean, size long, source_size long, target double, rate double, floor long, extra long")
     solved = shared.staged(solved, "mix-rates")
     # The extra-th document of each source and size, by ranks inside salted groups.
     some = solved.where("extra > 0").select(*keys, "extra")
@@ -168,7 +172,8 @@ def decisions(sizes: DataFrame) -> DataFrame:
     counts = ranked.groupBy(*keys, "_salt").agg(F.count("*").alias("n"))
     placed = ranked.join(shared.salt_offsets(counts, keys).select(*keys, "_salt", "_off"), [*keys, "_salt"])
     at_limit = placed.where(F.col("_off") + F.col("_nth") == F.col("extra") - 1)
-    limits = at_limit.select(*keys, F.col("_salt").alias("last_salt"), F.col("_h").alias("last_hash"), "tied", (F.col("extra") - F.col("_off") - F.col("_first")).alias("ties"))
+    limits = at_limit.select(*keys, F.col("_salt").alias("last_salt"), F.col("_h").alias("last_hash"), "tied", (F.col("extra") - F.col(
+        "_off") - F.col("_first")).alias("ties"))
     return shared.staged(solved.join(limits, keys, "left"), "mix-decisions")
 
 
@@ -195,7 +200,8 @@ def mixed(docs: DataFrame, decided: DataFrame) -> DataFrame:
     unsettled = at_limit & (F.col("ties") < F.col("tied"))
 
     def told(rows: DataFrame, one_more: Column) -> DataFrame:
-        return rows.select(*names, "source_size", "target", "rate", (F.col("floor") + F.when((F.col("extra") > 0) & one_more, 1).otherwise(0)).cast("long").alias("copies"))
+        return rows.select(*names, "source_size", "target", "rate", (F.col("floor") + F.when((F.col("extra") > 0) & one_more, 1)
+            .otherwise(0)).cast("long").alias("copies"))
 
     if not numbered:
         return told(joined, before | at_limit)

@@ -176,7 +176,8 @@ def _placer(table: dict[str, np.ndarray], offsets: np.ndarray) -> Callable[[Iter
             sequence = table["sequence"][at] + k // table["per"][at]
             offset = table["offset"][at] + (k % table["per"][at]) * length
             kept = [c for c in batch.schema.names if c not in ("_salt", "_nth", "_row")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept,
+                "sequence_id", "offset"])
 
     return place
 
@@ -198,7 +199,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = np.cumsum(grid, axis=1) - grid
     ranked = shared.salted(short, ["length"], ["_row"], F.col("_salt"))
     names = [c for c in items.columns]
-    schema = items.withColumn("length", F.col("length").cast("long")).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    schema = items.withColumn("length", F.col("length").cast("long")).withColumns({"sequence_id": F.lit(0)
+        .cast("long"), "offset": F.lit(0).cast("long")}).schema
     packed = ranked.select(*names, "_salt", "_nth").mapInArrow(_placer(places(plan(grid.sum(axis=1), capacity)), before), schema)
     full = rows.where(F.col("length") >= capacity).select(*names, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)
@@ -225,7 +227,8 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
             at = bounds[row] + start
             body = memoryview(ids.astype("<u4", copy=False).tobytes())
             crc = [zlib.crc32(body[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
-            columns = [batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(length.astype(np.int64)), pa.array(crc, pa.int64())]
+            columns = [batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(
+                length.astype(np.int64)), pa.array(crc, pa.int64())]
             if with_ids:  # pieces follow one another, so the ids' own order is theirs
                 columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, bounds[-1]).astype(np.int32)), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])

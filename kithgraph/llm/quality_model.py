@@ -83,7 +83,8 @@ class Model:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.bias + total / max(count, 1)))))
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, int]], alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3, epochs: int = 4, seed: int = 7) -> Model:
+def train(examples: list[tuple[np.ndarray, np.ndarray, int]], alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3,
+    epochs: int = 4, seed: int = 7) -> Model:
     """FTRL-proximal on (numbers, values, label); each coordinate has its own rate, and z and n as state."""
     size = (1 << BITS) + 1  # the last one is the bias
     z, n = np.zeros(size), np.zeros(size)
@@ -125,7 +126,8 @@ def vectors(docs: DataFrame) -> DataFrame:
         for batch, data, offsets in shared.pieces(batches, "text"):
             numbers, values = zip(*map(vector_of, texts_of(data, offsets)), strict=True)
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in (np.concatenate(numbers).astype(np.int32), np.concatenate(values).astype(np.float32))]
+            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in (np.concatenate(numbers)
+                .astype(np.int32), np.concatenate(values).astype(np.float32))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], names=["doc_id", "label", "numbers", "values"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -138,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     usable = shared.thinned(usable.select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id", sample)
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     # At most `sample` rows of an id and a label.
-    found = vectors(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample).toArrow()
+    found = vectors(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(
+        sample).toArrow()
     if not found.num_rows:
         return Model(np.zeros(1 << BITS, np.float32), 0.0)
     pick = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
@@ -156,7 +159,8 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in shared.pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([model.score(t) for t in texts_of(data, offsets)], pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([model.score(t) for t in texts_of(data, offsets)],
+                pa.float64())], names=[*names, "score"])
 
     return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(make, schema)
 

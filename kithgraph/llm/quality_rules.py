@@ -86,7 +86,8 @@ def counts_of(text: bytes) -> tuple[tuple[int, ...], dict[int, int]]:
             seen.add(xxhash.xxh3_64_intdigest(line))
             lines[normal] = lines.get(normal, 0) + n
     repeated = int((np.cumsum(cover)[:-1] > 0).sum())
-    return (len(h), len(text.translate(None, _NO_CHARACTER)), len(text) - len(text.translate(None, _SYMBOLS)), with_words - len(seen), repeated), lines
+    return (len(h), len(text.translate(None, _NO_CHARACTER)), len(text) - len(text.translate(None, _SYMBOLS)), with_words - len(seen),
+        repeated), lines
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -105,7 +106,8 @@ def measured(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     host = F.xxhash64(F.col("source").isNull(), "source").alias("host")
-    return docs.select("doc_id", host, "text").mapInArrow(make, f"doc_id {kind}, host long, {', '.join(f'{k} long' for k in _COUNTS)}, lines array<struct<line: long, words: int>>")
+    return docs.select("doc_id", host, "text").mapInArrow(make,
+        f"doc_id {kind}, host long, {', '.join(f'{k} long' for k in _COUNTS)}, lines array<struct<line: long, words: int>>")
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

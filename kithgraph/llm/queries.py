@@ -77,7 +77,8 @@ def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_gif_media, op4_entropy_mixing, op5_language_id, op6_simhash, op7_chat_snapshots, op8_quality_classifier, op9_quality_rules, op10_zstd_warc)
+    f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_gif_media, op4_entropy_mixing, op5_language_id, op6_simhash,
+        op7_chat_snapshots, op8_quality_classifier, op9_quality_rules, op10_zstd_warc)
 }
 
 
@@ -88,7 +89,8 @@ def _license_sql() -> str:
     need = license_scan.needed(templates, index)
     size = Counter(a.template for a in index)
     anchors = ", ".join(f"({a.template}, {a.number}, {a.at}, '{a.word}')" for a in index)
-    facts = ", ".join(f"({n}, {need[n]}, {t.tolerance}, {size[n]}, '{t.label}', {str(t.base).lower()}, {t.specific!r})" for n, t in enumerate(templates))
+    facts = (", ".join(f"({n}, {need[n]}, {t.tolerance}, {size[n]}, '{t.label}', {str(t.base).lower()}, {t.specific!r})" for n, t in enumerate(
+        templates)))
     keys = ", ".join(f"({n}, {at}, {k}, ' {p} ')" for n, t in enumerate(templates) for at, k, p in t.keys)
     return f"""
 WITH anchors(t, a, place, word) AS (VALUES {anchors}),

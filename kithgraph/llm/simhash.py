@@ -71,7 +71,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in shared.pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints_of(data, offsets).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints_of(data, offsets)
+                .view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, fp long")
@@ -183,7 +184,8 @@ def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
         for t, (a, b) in enumerate(pairs):
             # Four 8-bit blocks of the two 16-bit blocks that the coarse key leaves open.
             rest = [_block(fp, 2 * c + h, 8) for c in range(4) if c not in (a, b) for h in (0, 1)]
-            subs = [F.lit((64 + t * 6 + s) << 48).bitwiseOR(F.shiftleft(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)), 16)).bitwiseOR(F.shiftleft(rest[i], 8)).bitwiseOR(rest[j]) for s, (i, j) in enumerate(pairs)]
+            subs = [F.lit((64 + t * 6 + s) << 48).bitwiseOR(F.shiftleft(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)), 16))
+                .bitwiseOR(F.shiftleft(rest[i], 8)).bitwiseOR(rest[j]) for s, (i, j) in enumerate(pairs)]
             fine.append(F.when(F.shiftright("key", 32) == t, F.array(*subs)))
         again = dealt.join(large, "key", "left_semi").select("fp", F.explode(F.coalesce(*fine)).alias("key"))
         rows = dealt.join(large, "key", "left_anti").select("fp", "key").unionByName(again)
@@ -205,11 +207,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = shared.staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
         # Small star: every smaller neighbour, and the vertex itself, goes to the smallest one.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col(
+            "m").alias("v")))
         now = shared.staged(small.distinct(), "stars")
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v")
+        .alias("node"), F.col("v").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -131,7 +131,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, offsets in shared.pieces(batches, "text"):
         keys = keys_of(*shingles_of(data, offsets)).view(np.int64)
         bounds = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("vertex"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.ravel()))], names=["vertex", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("vertex"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.ravel()))], names=[
+            "vertex", "keys"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +186,8 @@ def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _by_blocks(rows: DataFrame) -> DataFrame:
     """u, v: edges inside blocks of rows (block, vertex, shingles)."""
-    return rows.select("block", "vertex", "shingles").repartition("block").sortWithinPartitions("block", "vertex").mapInArrow(_linked_blocks, "u long, v long")
+    return rows.select("block", "vertex", "shingles").repartition("block").sortWithinPartitions("block", "vertex").mapInArrow(_linked_blocks,
+        "u long, v long")
 
 
 def _places(blocks: Column, *salt: Column) -> Column:
@@ -201,12 +203,14 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, offsets in shared.pieces(batches, "text"):
         h, bounds = shingles_of(data, offsets)
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("vertex"), batch.column("cluster"), pa.array(np.diff(bounds)), lists], names=["vertex", "cluster", "n", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("vertex"), batch.column("cluster"), pa.array(np.diff(bounds)), lists], names=[
+            "vertex", "cluster", "n", "shingles"])
 
 
 def _components(edges: list[DataFrame]) -> DataFrame:
     """vertex and label of everything with an edge."""
-    return shared.staged(simhash.components(reduce(DataFrame.unionByName, edges)).select(F.col("node").alias("vertex"), F.col("root").alias("label")), "similar-labels")
+    return shared.staged(simhash.components(reduce(DataFrame.unionByName, edges)).select(F.col("node")
+        .alias("vertex"), F.col("root").alias("label")), "similar-labels")
 
 
 def _joined(rows: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
@@ -223,19 +227,25 @@ def _links_of_large(texts: DataFrame, keys: DataFrame, found: DataFrame, block:
     while (left := total - known.where("vertex <> label").count()) <= 0.9 * before:
         before = left
         firsts = _joined(texts, known, "vertex", "left").where("label is null or label = vertex").drop("label")
-        weight = firsts.groupBy("cluster").agg(_blocks(F.sum("n"), block).alias("blocks"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+        weight = firsts.groupBy("cluster").agg(_blocks(F.sum("n"), block).alias("blocks"), F.count("*")
+            .alias("texts")).where("texts > 1").drop("texts")
         dealt = _joined(firsts, shared.staged(weight, "similar-weights"), "cluster")
-        edges.append(shared.staged(_by_blocks(dealt.withColumn("block", F.xxhash64("cluster", _places(F.col("blocks"), F.lit(len(edges)))))), "similar-edges"))
+        edges.append(shared.staged(_by_blocks(dealt.withColumn("block", F.xxhash64("cluster", _places(F.col("blocks"), F.lit(len(edges)))))),
+            "similar-edges"))
         known = _components(edges)
     # Keys that texts of several components have.
     owned = _joined(texts.select("vertex", "n"), known, "vertex", "left").select("vertex", "n", F.coalesce("label", "vertex").alias("label"))
     dealt = shared.staged(_joined(keys, owned, "vertex"), "similar-owned")
     parts = dealt.groupBy("key", "label").agg(F.sum("n").alias("n"))
-    mixed_ = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
-    mixed_ = mixed_.select("key", F.col("main.label").alias("main"), _blocks(F.col("n"), block).alias("rows"), _blocks(F.col("n") - F.col("main.n"), block).alias("queries"))
+    mixed_ = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*")
+        .alias("labels")).where("labels > 1")
+    mixed_ = mixed_.select("key", F.col("main.label").alias("main"), _blocks(F.col("n"), block).alias("rows"), _blocks(F.col("n") - F.col(
+        "main.n"), block).alias("queries"))
     some = _joined(dealt.select("key", "vertex", "label"), shared.staged(mixed_, "similar-mixed"), "key")
-    as_row = some.select("key", "vertex", _places(F.col("rows")).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("queries") - 1)).alias("q"))
-    as_query = some.where("label <> main").select("key", "vertex", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("r"), _places(F.col("queries"), F.lit("q")).alias("q"))
+    as_row = some.select("key", "vertex", _places(F.col("rows")).alias("r"), F.explode(F.sequence(F.lit(0)
+        .cast("long"), F.col("queries") - 1)).alias("q"))
+    as_query = some.where("label <> main").select("key", "vertex", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))
+        .alias("r"), _places(F.col("queries"), F.lit("q")).alias("q"))
     pairs = as_row.unionByName(as_query).select("vertex", F.xxhash64("key", "r", "q").alias("block"))
     return [*edges, shared.staged(_by_blocks(pairs.join(texts.select("vertex", "shingles"), "vertex")), "similar-edges")]
 
@@ -249,7 +259,8 @@ def keyed(texts: DataFrame) -> DataFrame:
 def linked_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """vertex and root (one vertex of the component) of every text (docs.text) that is linked to a different one."""
     texts = docs.select(vertex().alias("vertex"), "text")
-    edges = shared.staged(keyed(texts).repartition("key").sortWithinPartitions("key", "vertex").select("key", "vertex").mapInArrow(_stars, "u long, v long").distinct(), "similar-candidates")
+    edges = shared.staged(keyed(texts).repartition("key").sortWithinPartitions("key", "vertex").select("key", "vertex")
+        .mapInArrow(_stars, "u long, v long").distinct(), "similar-candidates")
     near = shared.staged(simhash.components(edges).select(F.col("node").alias("vertex"), F.col("root").alias("cluster")), "similar-clusters")
     some = _joined(texts, near, "vertex").dropDuplicates(["vertex"])
     some = shared.staged(some.mapInArrow(_shingled, "vertex long, cluster long, n long, shingles array<long>"), "similar-shingles")
@@ -270,7 +281,8 @@ def members(docs: DataFrame) -> DataFrame:
     """vertex and root of every text that shingles or fingerprints link to a different one."""
     near = linked_texts(docs).select(F.col("vertex").alias("u"), F.col("root").alias("v"))
     prints = simhash.near_duplicates(docs.select(vertex().alias("doc_id"), "text"))
-    return simhash.components(near.unionByName(prints.select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")))).select(F.col("node").alias("vertex"), "root")
+    return simhash.components(near.unionByName(prints.select(F.col("doc_id").alias("u"), F.col("component_id")
+        .alias("v")))).select(F.col("node").alias("vertex"), "root")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -279,7 +291,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     What goes is decided on hashes and ids; the rows themselves are only filtered.
     """
     found = shared.staged(members(docs), "similar")
-    tally = shared.staged(docs.select(vertex().alias("vertex"), "doc_id").groupBy("vertex", "doc_id").agg(F.count("*").alias("copies")), "similar-tally")
+    tally = shared.staged(docs.select(vertex().alias("vertex"), "doc_id").groupBy("vertex", "doc_id")
+        .agg(F.count("*").alias("copies")), "similar-tally")
     firsts = tally.groupBy("vertex").agg(F.min("doc_id").alias("first"))
     best = F.min(F.struct(F.isnull("first").alias("none"), "first", "vertex")).alias("best")
     chosen = _joined(firsts, found, "vertex").groupBy("root").agg(best).select("best.vertex", "best.first")

@@ -78,7 +78,8 @@ def record(kind: str, page: str | None, url: str, digest: str, size: int, payloa
     if page is not None:
         fields.insert(6, ("X-Page-ID", page))
     if refers_to is not None:
-        fields[4:4] = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers_to} response {digest}')}>"), ("X-Refers-To-Page-ID", refers_to)]
+        fields[4:4] = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To",
+            f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers_to} response {digest}')}>"), ("X-Refers-To-Page-ID", refers_to)]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -233,7 +234,8 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) and return the staged table of archives (content)."""
     body = F.coalesce("html", F.lit("")).cast("binary")
     digest = F.sha1(body)
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), body.alias("payload"), digest.alias("digest"), F.length(body).alias("n"))
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), body.alias("payload"), digest.alias("digest"), F.length(body)
+        .alias("n"))
     first = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.min("page_id").alias("first_id"), F.count("*").alias("pages"))
     # Only payloads of several pages are joined; all other rows pass by.
     shared_by = shared.staged(first.where("pages > 1").drop("pages"), "warc-shared")
@@ -247,7 +249,8 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
             for page, url, payload, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "refers_to")), strict=True):
                 payload = payload.as_py()
                 page, first = page.as_py(), refers_to.as_py()
-                records.append(record("response" if first is None else "revisit", page, url.as_py(), digest_of(payload), len(payload), payload, first))
+                records.append(record("response" if first is None else "revisit", page, url.as_py(), digest_of(payload), len(payload),
+                    payload, first))
                 held += len(records[-1])
                 if held >= ARCHIVE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array([archive(records, known)], pa.binary())], names=["content"])
@@ -256,7 +259,8 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([archive(records, known)], pa.binary())], names=["content"])
 
     other = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    flagged = told.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", F.when(other, F.col("first_id")).cast("string").alias("refers_to"))
+    flagged = told.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", F.when(other, F.col("first_id"))
+        .cast("string").alias("refers_to"))
     return shared.staged(flagged.mapInArrow(write, "content binary"), "warc")
 
 
@@ -274,7 +278,8 @@ def read_archives(archives: DataFrame, columns: Sequence[str] = COLUMNS) -> Data
         else:
             size, digest = len(r.payload), digest_of(r.payload)
         refers_to = f.get("x-refers-to-page-id", f.get("warc-refers-to"))
-        return {"page_id": f.get("x-page-id"), "url": f.get("warc-target-uri"), "record_type": r.kind, "refers_to": refers_to, "payload_bytes": size, "payload_digest": digest, "payload": r.payload, "fields": list(f.items())}
+        return {"page_id": f.get("x-page-id"), "url": f.get("warc-target-uri"), "record_type": r.kind, "refers_to": refers_to,
+            "payload_bytes": size, "payload_digest": digest, "payload": r.payload, "fields": list(f.items())}
 
     def batch_of(rows: list[dict[str, object]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in columns], names=list(columns))
