@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithgraph.llm import shared
@@ -33,6 +33,8 @@ from kithgraph.llm.textbytes import again, hashes, mixed, stretches, texts_of, w
 BITS = 18
 #: Most labelled documents that the classifier is fitted on.
 SAMPLE = 6000
+#: Most feature numbers of theirs, which bounds what the driver holds (12 bytes each).
+NUMBERS = 16_000_000
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF) for k in range(1, 7)]
 
 
@@ -134,14 +136,21 @@ def vectors(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "label").mapInArrow(make, f"doc_id {kind}, label int, numbers array<int>, values array<float>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn quality from labels (doc_id, quality), on at most `sample` of its rows with crc32(doc_id) mod 3 not 1."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = NUMBERS) -> Model:
+    """Learn quality from labels (doc_id, quality), on at most `sample` of its rows with crc32(doc_id) mod 3 not 1.
+
+    They come in the order of a hash of their ids, until their vectors have `most` numbers.
+    """
     usable = labels.where((shared.crc_of() % 3 != 1) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     usable = shared.thinned(usable.select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id", sample)
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    # At most `sample` rows of an id and a label.
-    found = vectors(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(
-        sample).toArrow()
+    # At most `sample` rows of an id and a label, and about `most` numbers of features in all.
+    rows = vectors(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    rows = shared.staged(rows.withColumn("row", F.monotonically_increasing_id()), "quality-vectors")
+    order = [F.xxhash64("doc_id"), "doc_id", "label", "row"]
+    sizes = rows.select("row", "doc_id", "label", F.size("numbers").alias("n")).orderBy(*order).limit(sample)
+    held = sizes.withColumn("_held", F.sum("n").over(Window.orderBy(*order))).where(F.col("_held") <= most).select("row")
+    found = rows.join(F.broadcast(held), "row").orderBy(*order).toArrow()
     if not found.num_rows:
         return Model(np.zeros(1 << BITS, np.float32), 0.0)
     pick = np.argsort(found.column("doc_id").to_numpy(), kind="stable")

@@ -35,6 +35,8 @@ RADIUS = 2
 SHINGLE, SEED = 3, 42
 #: Fingerprints in a bucket beyond which it is dealt again.
 LIMIT = 16_384
+#: Part of all rows above which a fingerprint's rows are joined where they are.
+HOT_PART = 1e-4
 #: Words of 64 comparisons that are worked on at once.
 _AT_ONCE = 1 << 15
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -219,10 +221,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the smallest id that links reach) for every document."""
     prints = shared.staged(fingerprints(docs), "simhash")
-    distinct = shared.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    distinct = shared.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows_")), "simhash-distinct")
     member = components(links(distinct))
     placed = shared.staged(member.join(distinct, member["node"] == distinct["fp"]).select("fp", "root", "first_id"), "simhash-members")
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     moved = placed.join(least, "root").select("fp", "component_id")
-    classes = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "rows_")
+    classes = shared.staged(classes, "simhash-classes")
+    # Fingerprints with more than a part of all rows: at most 1 / HOT_PART of them, so they can be broadcast.
+    total = distinct.agg(F.sum("rows_")).first()[0] or 0
+    hot = F.col("rows_") > HOT_PART * total
+    often = F.broadcast(classes.where(hot).select("fp", "component_id"))
+    spread = prints.join(often.select("fp"), "fp", "left_anti").join(classes.where(~hot).select("fp", "component_id"), "fp")
+    return prints.join(often, "fp").unionByName(spread).select("doc_id", "fp", "component_id")

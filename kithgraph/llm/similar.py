@@ -7,7 +7,8 @@ themselves: a search from text to text compares each with those not yet reached
 one of its rarest shingles (a prefix that no pair at 0.8 can avoid), so nothing in a block
 is missed, what is reached once is not compared again, and pairs are never written.
 
-A block holds about BLOCK shingles. Most clusters are one block. Larger ones, such as one
+A key that a third of all texts have is shuffled once for each piece of texts, since texts
+of a piece that share a key are linked where they are read. A block holds about BLOCK shingles. Most clusters are one block. Larger ones, such as one
 very large family of near copies or texts chained by chance keys, are dealt into blocks;
 what is linked inside them contracts to one text each, which are dealt again until that
 joins no more. Where a cluster still has several components, each key that texts of
@@ -52,10 +53,10 @@ _XORS = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS), np.uint64)
 _FACTORS = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the different shingles of every row of UTF-8, ascending, and the rows' bounds in them; no row is without one."""
+def shingles_of(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different shingles of every row (or some) of UTF-8, ascending, and the rows' bounds in them; no row is without one."""
     found = []
-    for text in texts_of(data, offsets):
+    for text in texts_of(data, offsets) if rows is None else (data[offsets[r] : offsets[r + 1]].tobytes() for r in rows.tolist()):
         h = windows(word_hashes(text, lower=True), SHINGLE)
         found.append(np.unique(h) if len(h) else hashes([b" ".join(text.lower().split())]))
     return np.concatenate([np.zeros(0, np.uint64), *found]), np.concatenate([[0], np.cumsum([len(h) for h in found])]).astype(np.int64)
@@ -135,21 +136,46 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "vertex", "keys"])
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key and vertex of every different text of a piece, once for each key of the piece; edges to the rest.
+
+    Texts of a piece that share a key are linked at once: an edge is a row with the other
+    text, and with that as its key, so that a key of many texts is shuffled a few times only.
+    """
+    for batch, data, offsets in shared.pieces(batches, "text"):
+        v = batch.column("vertex").to_numpy(zero_copy_only=False)
+        rows = np.sort(np.unique(v, return_index=True)[1])
+        key = keys_of(*shingles_of(data, offsets, rows)).ravel().view(np.int64)
+        vertex_ = np.repeat(v[rows], BANDS)
+        order = np.argsort(key, kind="stable")
+        key, vertex_ = key[order], vertex_[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        head = vertex_[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        other = pa.array(np.where(new, 0, vertex_), mask=new)
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(new, key, vertex_)), pa.array(head), other], names=["key", "vertex", "other"])
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An edge from the first vertex of each run of equal keys to each other; rows come sorted, a run may go on in the next batch."""
+    """The edges among rows, and one from the first vertex of each run of equal keys to each other; rows come sorted, a run may go on."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         key, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "vertex"))
-        if last:
-            key, v = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], v])
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        head = v[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        last = key[-1], head[-1]
-        some = head != v
-        yield pa.RecordBatch.from_arrays([pa.array(head[some]), pa.array(v[some])], names=["u", "v"])
+        made = batch.column("other").is_valid().to_numpy(zero_copy_only=False)
+        u, w = v[made], batch.column("other").fill_null(0).to_numpy(zero_copy_only=False)[made]
+        key, v = key[~made], v[~made]
+        if len(key):
+            if last:
+                key, v = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], v])
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            head = v[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            last = key[-1], head[-1]
+            some = head != v
+            u, w = np.concatenate([u, head[some]]), np.concatenate([w, v[some]])
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w)], names=["u", "v"])
 
 
 def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,10 +285,12 @@ def keyed(texts: DataFrame) -> DataFrame:
 def linked_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """vertex and root (one vertex of the component) of every text (docs.text) that is linked to a different one."""
     texts = docs.select(vertex().alias("vertex"), "text")
-    edges = shared.staged(keyed(texts).repartition("key").sortWithinPartitions("key", "vertex").select("key", "vertex")
-        .mapInArrow(_stars, "u long, v long").distinct(), "similar-candidates")
+    dealt = texts.mapInArrow(_dealt, "key long, vertex long, other long").repartition("key").sortWithinPartitions("key", "vertex")
+    edges = shared.staged(dealt.mapInArrow(_stars, "u long, v long").distinct(), "similar-candidates")
     near = shared.staged(simhash.components(edges).select(F.col("node").alias("vertex"), F.col("root").alias("cluster")), "similar-clusters")
-    some = _joined(texts, near, "vertex").dropDuplicates(["vertex"])
+    # Copies of a text are one row before they meet a table that is too large to broadcast.
+    few = near.count() <= BROADCAST_ROWS
+    some = texts.join(F.broadcast(near), "vertex").dropDuplicates(["vertex"]) if few else texts.dropDuplicates(["vertex"]).join(near, "vertex")
     some = shared.staged(some.mapInArrow(_shingled, "vertex long, cluster long, n long, shingles array<long>"), "similar-shingles")
     weight = shared.staged(some.groupBy("cluster").agg(_blocks(F.sum("n"), block).alias("blocks")), "similar-weights")
     dealt = _joined(some, weight, "cluster")
