@@ -4,13 +4,13 @@ Filters of widths 2, 3 and 4 over learnt byte embeddings, max pooling over windo
 WINDOW bytes, and a softmax; trained in numpy on labelled texts. For scoring, each
 filter is turned into tables of whole numbers over byte pairs and bytes, so a window's
 activations are a few look-ups and additions, and results do not depend on batches. A
-text is all its windows; its language is the one with the largest mean probability,
-weighted by bytes.
+text is all its windows, which overlap by what the widest filter needs; its language is
+the one with the largest mean probability, weighted by bytes.
 
 Defined results: und with score 0 where a text is null or has no letter, and for every
 text if there is nothing to learn from; of languages with equal probability the first by
 name; equal texts get equal results; an empty table gives no rows; other columns are
-carried on, whatever their names. A text of any length is worked on in parts of LONG bytes.
+carried on, whatever their names. Windows of a text of any length are worked on some at a time.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ from kithgraph.llm import shared
 
 WINDOW = 64
 WIDTHS = (2, 3, 4)
+#: Bytes from one window to the next, so that every n-gram of a text lies in one of them.
+STRIDE = WINDOW - max(WIDTHS) + 1
 FILTERS, EMBEDDED = 8, 8
 #: Texts for each language that the network is trained on, at most.
 SAMPLE = 400
 #: Characters of the stretches of a text that are trained on, and their number.
 STRETCH, STRETCHES = 160, 3
 UNKNOWN = "und"
-#: Bytes of a text (whole windows) beyond which it is worked on in parts.
-LONG = 1 << 20
 
 
 @dataclass
@@ -81,22 +81,21 @@ class _Scorer:
         return _softmax(hidden @ self.network.out + self.network.out_bias)
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """(rows, languages): the mean probabilities of each row's windows by bytes."""
-        if len(offsets) == 2 and len(data) > LONG:  # a text of its own, some windows at a time
-            parts = [data[k : k + LONG] for k in range(0, len(data), LONG)]
-            return sum(len(p) * self.texts(p, np.array([0, len(p)])) for p in parts) / len(data)
+        """(rows, languages): the mean probabilities of each row's windows by the bytes that each adds."""
         size = np.diff(offsets)
-        each = (size + WINDOW - 1) // WINDOW
+        each = np.where(size > 0, np.maximum(1, -(-(size - (WINDOW - STRIDE)) // STRIDE)), 0)
         first = np.cumsum(each) - each
-        row = np.repeat(np.arange(len(size)), size)
-        padded = np.zeros(int(each.sum()) * WINDOW, np.uint8)
-        padded[np.arange(len(data)) + (first * WINDOW - offsets[:-1])[row]] = data
         rows = np.repeat(np.arange(len(size)), each)
-        weight = np.minimum(WINDOW, size[rows] - WINDOW * (np.arange(len(rows)) - first[rows]))
-        padded = padded.reshape(-1, WINDOW)
-        chance = np.concatenate([np.zeros((0, len(self.network.languages)))] + [self.windows(padded[k : k + 2048]) for k in range(0, len(
-            padded), 2048)])
-        return np.stack([np.bincount(rows, weight * c, len(size)) for c in chance.T], axis=1) / np.maximum(size, 1)[:, None]
+        nth = np.arange(len(rows)) - first[rows]
+        start, end = offsets[:-1][rows] + nth * STRIDE, offsets[1:][rows]
+        weight = np.where(nth == each[rows] - 1, size[rows] - STRIDE * nth, STRIDE)
+        total = np.zeros((len(size), len(self.network.languages)))
+        for lo in range(0, len(rows), 2048):
+            some = slice(lo, lo + 2048)
+            at = start[some, None] + np.arange(WINDOW)
+            bytes_ = np.where(at < end[some, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
+            np.add.at(total, rows[some], weight[some, None] * self.windows(bytes_))
+        return total / np.maximum(size, 1)[:, None]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
