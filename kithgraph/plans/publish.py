@@ -17,6 +17,10 @@ from kithgraph.operators.ranking import first_by, mutual_best
 QUOTAS = {"community": 70_000, "user": 30_000, "post": 0, "comment": 0}
 
 
+#: Macro groups that can be told apart; a build that is published has a dozen at most.
+MOST_GROUPS = 1_000
+
+
 class Rejected(RuntimeError):
     """A revision that fails a gate; the pointer still names the one before."""
 
@@ -161,8 +165,10 @@ def macro_identities(old: DataFrame, new: DataFrame) -> dict[str, dict[str, str]
     ids = stable_ids(old.limit(0), new, prefix="m:new:").join(m.select(F.col("new_id").alias("group_id"), F.col("old_id")
         .cast("string").alias("_old")), "group_id", "left")
     roles = old.groupBy(F.col("group_id").cast("string").alias("_old")).agg(F.min("role").alias("role"))
-    rows = ids.join(roles, "_old", "left").select("group_id", F.coalesce("_old", "stable_id").alias("stable_id"), "role").orderBy("group_id").limit(
-        len(PALETTE) * 4).collect()
+    named = ids.join(roles, "_old", "left").select("group_id", F.coalesce("_old", "stable_id").alias("stable_id"), "role")
+    rows = named.orderBy("group_id").limit(MOST_GROUPS + 1).collect()
+    if len(rows) > MOST_GROUPS:
+        raise ValueError(f"over {MOST_GROUPS} macro groups, which no palette tells apart")
     kept = {r["stable_id"]: r["role"] for r in rows if r["role"] is not None}
     given = palette_roles([r["stable_id"] for r in rows], kept)
     return {str(r["group_id"]): {"stable_id": r["stable_id"], "role": given[r["stable_id"]]} for r in rows}

@@ -844,7 +844,7 @@ def _octree(c: Corpus) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        pos = frame[["pos_x", "pos_y", "pos_z"]].to_numpy()[:2000]
+        pos = frame[["pos_x", "pos_y", "pos_z"]].to_numpy()
         mass = 1.0 + np.arange(len(pos)) % 3
         d = pos[:, None] - pos[None]
         pairs = mass[:, None] * ((mass[None] / np.maximum((d * d).sum(axis=2), 1e-6))[:, :, None] * d).sum(axis=1)
@@ -853,7 +853,8 @@ def _octree(c: Corpus) -> DataFrame:
         return pd.DataFrame({"n": [len(frame)], "exact": [bool(np.linalg.norm(whole - pairs) <= 1e-6 * size)], "near": [bool(np.linalg.norm(
             part - pairs) <= 0.15 * size)]})
 
-    by = c.points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(8))).groupBy("block").applyInPandas(compare,
+    blocks = max(1, c.points.count() // 500)
+    by = c.points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInPandas(compare,
         "n long, exact boolean, near boolean")
     return by.agg(F.sum("n").alias("n"), F.bool_and("exact").alias("exact"), F.bool_and("near").alias("near"))
 
@@ -863,7 +864,7 @@ def _pins(c: Corpus) -> DataFrame:
     """A warm world layout: what is pinned stays where it was."""
     nodes = c.points.select("id", "val", *(F.when(F.col("community_id") < 5, F.col(a)).alias(a) for a in layout.AXES), (F.col("community_id") < 5)
         .alias("pinned"))
-    laid = layout.layout(nodes, _point_links(c), "world", 20)
+    laid = layout.layout(nodes, _point_links(c), "world")
     return laid.join(c.points.where("community_id < 5").select("id"), "id", "left_semi").select("id", F.round("pos_x", 6).alias("pos_x"))
 
 
@@ -904,7 +905,7 @@ add(
 
 
 def _catalog(c: Corpus) -> revisions.Catalog:
-    return revisions.build_catalog(c, NOW, rounds=10)
+    return revisions.build_catalog(c, NOW)
 
 
 _UP_TO = f"(SELECT * FROM posts WHERE created_at <= TIMESTAMP '{NOW}')"
