@@ -93,8 +93,9 @@ def tilted(histogram: DataFrame, targets: DataFrame, most: float = MOST, toleran
     reached = F.col("mean").isNull() | (F.col("target") <= 0) | (F.col("target") >= most * F.col("words") * (1 - 1e-12))
     start = F.when(F.col("target") <= 0, F.lit(-1e9)).when(reached, F.lit(1e9)).otherwise(F.lit(0.0))
     state = state.withColumns({"at": start, "low": F.lit(float("-inf")), "high": F.lit(float("inf")), "done": reached}).drop("words")
+    sources = None
     for _ in range(rounds):
-        state = shared.staged(state, "mix-multipliers")
+        state = shared.staged(state, "mix-multipliers", sources)
         sources, left = state.agg(F.count("*"), F.count_if(~F.col("done"))).first()
         if not left:
             break

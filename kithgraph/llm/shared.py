@@ -17,6 +17,8 @@ from kithgraph.plans.staging import shared_dir
 
 #: Bytes of text that are worked on at once; one longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
+#: Files of a small staged table, and rows of a file of a larger one.
+LEAST_FILES, FILE_ROWS = 8, 250_000
 
 
 _OPEN = threading.local()
@@ -36,13 +38,17 @@ def passing(spark: SparkSession) -> Iterator[None]:
         _OPEN.paths = outer
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs no recomputation of what is above,
-    and whatever was non-deterministic in df is fixed from here on.
+    and whatever was non-deterministic in df is fixed from here on. A table that is known
+    to have `rows` rows at most is written in files of that many, not in one for each
+    shuffle partition.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if getattr(_OPEN, "paths", None) is not None:
         _OPEN.paths.append(path)

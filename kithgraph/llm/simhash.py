@@ -178,7 +178,8 @@ def links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
     pairs = list(combinations(range(4), 2))
     coarse = [F.lit(t << 32).bitwiseOR(F.shiftleft(_block(fp, a, 16), 16)).bitwiseOR(_block(fp, b, 16)) for t, (a, b) in enumerate(pairs)]
     dealt = distinct.select("fp", F.explode(F.array(*coarse)).alias("key"))
-    large = shared.staged(dealt.groupBy("key").count().where(F.col("count") > limit).select("key"), "simhash-large")
+    most = len(pairs) * distinct.count() // limit  # keys that may be above the limit
+    large = shared.staged(dealt.groupBy("key").count().where(F.col("count") > limit).select("key"), "simhash-large", most)
     if large.isEmpty():
         rows = dealt
     else:
@@ -206,12 +207,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Large star: every larger neighbour of a vertex goes to the vertex's smallest one.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = shared.staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        large = shared.staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars", state[0])
         # Small star: every smaller neighbour, and the vertex itself, goes to the smallest one.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col(
             "m").alias("v")))
-        now = shared.staged(small.distinct(), "stars")
+        now = shared.staged(small.distinct(), "stars", 2 * state[0])
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v")
@@ -223,11 +224,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = shared.staged(fingerprints(docs), "simhash")
     distinct = shared.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows_")), "simhash-distinct")
     member = components(links(distinct))
-    placed = shared.staged(member.join(distinct, member["node"] == distinct["fp"]).select("fp", "root", "first_id"), "simhash-members")
+    n = distinct.count()
+    placed = shared.staged(member.join(distinct, member["node"] == distinct["fp"]).select("fp", "root", "first_id"), "simhash-members", n)
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     moved = placed.join(least, "root").select("fp", "component_id")
     classes = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "rows_")
-    classes = shared.staged(classes, "simhash-classes")
+    classes = shared.staged(classes, "simhash-classes", n)
     # Fingerprints with more than a part of all rows: at most 1 / HOT_PART of them, so they can be broadcast.
     total = distinct.agg(F.sum("rows_")).first()[0] or 0
     hot = F.col("rows_") > HOT_PART * total

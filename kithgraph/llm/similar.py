@@ -233,10 +233,10 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "vertex", "cluster", "n", "shingles"])
 
 
-def _components(edges: list[DataFrame]) -> DataFrame:
-    """vertex and label of everything with an edge."""
-    return shared.staged(simhash.components(reduce(DataFrame.unionByName, edges)).select(F.col("node")
-        .alias("vertex"), F.col("root").alias("label")), "similar-labels")
+def _components(edges: list[DataFrame], most: int) -> DataFrame:
+    """vertex and label of everything with an edge, of `most` vertices."""
+    found = simhash.components(reduce(DataFrame.unionByName, edges))
+    return shared.staged(found.select(F.col("node").alias("vertex"), F.col("root").alias("label")), "similar-labels", most)
 
 
 def _joined(rows: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
@@ -247,18 +247,18 @@ def _joined(rows: DataFrame, right: DataFrame, on: str | list[str], how: str = "
 def _links_of_large(texts: DataFrame, keys: DataFrame, found: DataFrame, block: int) -> list[DataFrame]:
     """Edges of clusters of several blocks, besides those found inside blocks; texts has vertex, cluster, n, shingles."""
     edges = [found]
-    known, before = _components(edges), math.inf
     total = texts.count()
+    known, before = _components(edges, total), math.inf
     # One text of each component, dealt anew while that joins a tenth of them.
     while (left := total - known.where("vertex <> label").count()) <= 0.9 * before:
         before = left
         firsts = _joined(texts, known, "vertex", "left").where("label is null or label = vertex").drop("label")
         weight = firsts.groupBy("cluster").agg(_blocks(F.sum("n"), block).alias("blocks"), F.count("*")
             .alias("texts")).where("texts > 1").drop("texts")
-        dealt = _joined(firsts, shared.staged(weight, "similar-weights"), "cluster")
+        dealt = _joined(firsts, shared.staged(weight, "similar-weights", left), "cluster")
         edges.append(shared.staged(_by_blocks(dealt.withColumn("block", F.xxhash64("cluster", _places(F.col("blocks"), F.lit(len(edges)))))),
             "similar-edges"))
-        known = _components(edges)
+        known = _components(edges, total)
     # Keys that texts of several components have.
     owned = _joined(texts.select("vertex", "n"), known, "vertex", "left").select("vertex", "n", F.coalesce("label", "vertex").alias("label"))
     dealt = shared.staged(_joined(keys, owned, "vertex"), "similar-owned")
@@ -287,12 +287,14 @@ def linked_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     texts = docs.select(vertex().alias("vertex"), "text")
     dealt = texts.mapInArrow(_dealt, "key long, vertex long, other long").repartition("key").sortWithinPartitions("key", "vertex")
     edges = shared.staged(dealt.mapInArrow(_stars, "u long, v long").distinct(), "similar-candidates")
-    near = shared.staged(simhash.components(edges).select(F.col("node").alias("vertex"), F.col("root").alias("cluster")), "similar-clusters")
+    near = simhash.components(edges).select(F.col("node").alias("vertex"), F.col("root").alias("cluster"))
+    near = shared.staged(near, "similar-clusters", 2 * edges.count())
     # Copies of a text are one row before they meet a table that is too large to broadcast.
-    few = near.count() <= BROADCAST_ROWS
+    most = near.count()
+    few = most <= BROADCAST_ROWS
     some = texts.join(F.broadcast(near), "vertex").dropDuplicates(["vertex"]) if few else texts.dropDuplicates(["vertex"]).join(near, "vertex")
     some = shared.staged(some.mapInArrow(_shingled, "vertex long, cluster long, n long, shingles array<long>"), "similar-shingles")
-    weight = shared.staged(some.groupBy("cluster").agg(_blocks(F.sum("n"), block).alias("blocks")), "similar-weights")
+    weight = shared.staged(some.groupBy("cluster").agg(_blocks(F.sum("n"), block).alias("blocks")), "similar-weights", most)
     dealt = _joined(some, weight, "cluster")
     found = shared.staged(_by_blocks(dealt.withColumn("block", F.xxhash64("cluster", _places(F.col("blocks"))))), "similar-edges")
     large = weight.where("blocks > 1").select("cluster")
@@ -302,7 +304,7 @@ def linked_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         inside = _joined(found, members_.withColumnRenamed("vertex", "u"), "u", "left_semi").select("u", "v")
         keys = shared.staged(keyed(_joined(texts, members_, "vertex", "left_semi")), "similar-keys")
         links += _links_of_large(_joined(some, large, "cluster", "left_semi"), keys, inside, block)
-    return _components(links).select("vertex", F.col("label").alias("root"))
+    return _components(links, most).select("vertex", F.col("label").alias("root"))
 
 
 def members(docs: DataFrame) -> DataFrame:
@@ -321,15 +323,16 @@ def representatives(docs: DataFrame) -> DataFrame:
     found = shared.staged(members(docs), "similar")
     tally = shared.staged(docs.select(vertex().alias("vertex"), "doc_id").groupBy("vertex", "doc_id")
         .agg(F.count("*").alias("copies")), "similar-tally")
+    most = tally.count()
     firsts = tally.groupBy("vertex").agg(F.min("doc_id").alias("first"))
     best = F.min(F.struct(F.isnull("first").alias("none"), "first", "vertex")).alias("best")
     chosen = _joined(firsts, found, "vertex").groupBy("root").agg(best).select("best.vertex", "best.first")
     chosen = _joined(firsts, found, "vertex", "left_anti").unionByName(chosen)
     row = lambda of, doc_id: [F.col(of).alias("_vertex"), F.xxhash64(of, F.isnull(doc_id), doc_id).alias("_row")]
-    chosen = shared.staged(chosen.select(*row("vertex", "first")), "similar-chosen")
+    chosen = shared.staged(chosen.select(*row("vertex", "first")), "similar-chosen", most)
     counted = tally.select(*row("vertex", "doc_id"), "copies")
-    gone = shared.staged(counted.join(chosen, ["_vertex", "_row"], "left_anti").drop("copies"), "similar-gone")
-    twice = shared.staged(counted.where("copies > 1").join(chosen, ["_vertex", "_row"], "left_semi").drop("copies"), "similar-twice")
+    gone = shared.staged(counted.join(chosen, ["_vertex", "_row"], "left_anti").drop("copies"), "similar-gone", most)
+    twice = shared.staged(counted.where("copies > 1").join(chosen, ["_vertex", "_row"], "left_semi").drop("copies"), "similar-twice", most)
     rows, back = shared.set_aside(docs)
     own = f"_doc{docs.columns.index('doc_id')}"
     rows = rows.withColumn("_vertex", vertex()).withColumn("_row", F.xxhash64("_vertex", F.isnull(own), own))
