@@ -114,11 +114,12 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], alpha: float = 2.0
 
 def vector_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The different feature numbers of a text, and the part of its n-grams that each is."""
-    count = np.zeros(1 << BITS, np.int64)
-    for numbers in features(text):
-        count += np.bincount(numbers, minlength=1 << BITS)
-    some = np.flatnonzero(count)
-    return some, count[some] / max(1, int(count.sum()))
+    numbers, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in features(text):
+        new, n = np.unique(part, return_counts=True)
+        numbers, place = np.unique(np.concatenate([numbers, new]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([counts, n]), len(numbers)).astype(np.int64)
+    return numbers, counts / max(1, int(counts.sum()))
 
 
 def vectors(docs: DataFrame) -> DataFrame:
